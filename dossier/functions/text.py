@@ -87,25 +87,23 @@ def restore_tilde_words(c: Column, words: dict[str, str] | None = None) -> Colum
     return F.when(c.contains("~"), glued).otherwise(c)
 
 
-def _single_blank_lines(c: Column) -> Column:
+def single_blank_lines(c: Column) -> Column:
+    """At most one blank line in a row and none at the ends."""
     once = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return F.regexp_replace(once, r"\A\n+|\n+\z", "")
 
 
-def normalize_page_text(c: Column) -> Column:
-    """Line endings, dash runs, blanks, tilde words; single blank lines between blocks and none at the ends."""
+def clean_lines(c: Column) -> Column:
+    """Line endings, dash runs, blanks inside and around every line. Works on the whole text, not line by line."""
     text = clean_hyphen_runs(normalize_newlines(F.coalesce(c, F.lit(""))))
     text = F.regexp_replace(text, r"[ \t\xa0]+", " ")
-    text = F.regexp_replace(text, rf"(?mdU)^{SPACE_IN_LINE}+|{SPACE_IN_LINE}+$", "")
-    return _single_blank_lines(restore_tilde_words(text))
+    return F.regexp_replace(text, rf"(?mdU)^{SPACE_IN_LINE}+|{SPACE_IN_LINE}+$", "")
 
 
 _ONLY_MARKS = r"""\A[-—_=~.*,:;|\\/()\[\]{}'"`]+\z"""
 
 
-def is_noisy_line(line: Column) -> Column:
-    """A line of marks only, or with hardly any letters and more symbols than letters and digits."""
-    s = strip_unicode(line)
+def _is_noise(s: Column) -> Column:
     alpha = F.regexp_count(s, F.lit(r"\p{L}"))
     alnum = F.regexp_count(s, F.lit(r"[\p{L}\p{N}]"))
     symbols = F.regexp_count(s, F.lit(r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]"))
@@ -114,10 +112,16 @@ def is_noisy_line(line: Column) -> Column:
     )
 
 
-def index_page_text(c: Column) -> Column:
-    """Normalised page text without its noisy lines."""
-    kept = F.filter(F.split(normalize_page_text(c), "\n", -1), lambda line: ~is_noisy_line(line))
-    return _single_blank_lines(F.array_join(kept, "\n"))
+def is_noisy_line(line: Column) -> Column:
+    """A line of marks only, or with hardly any letters and more symbols than letters and digits."""
+    return _is_noise(strip_unicode(line))
+
+
+def drop_noisy_lines(c: Column) -> Column:
+    """Text with cleaned lines, without the noisy ones."""
+    # A noisy line has fewer than three letters, so most lines are settled by one cheap look.
+    kept = F.filter(F.split(c, "\n", -1), lambda line: line.rlike(r"\p{L}\P{L}*\p{L}\P{L}*\p{L}") | ~_is_noise(line))
+    return single_blank_lines(F.array_join(kept, "\n"))
 
 
 def limit_text(c: Column, n: int, end: str = "") -> Column:
