@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from dossier.functions.text import squeeze, strip
 
@@ -20,7 +21,7 @@ def percent(a: str | None, b: str | None) -> float:
     return sum(block.size for block in blocks) * 2.0 * 100.0 / (len(left) + len(right))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([percent(x, y) for x, y in zip(a, b)], dtype="float64")
 
