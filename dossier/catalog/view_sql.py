@@ -150,7 +150,7 @@ VIEW_SQL: dict[str, str] = {
     "v_page_variants": """
         SELECT conv_id AS doc_id, turn + 1 AS page_number, CAST(v AS BIGINT) AS variant,
                CASE v WHEN 0 THEN CASE WHEN turn % 2 = 0 THEN text ELSE left(text, 90) END
-                      WHEN 1 THEN 'ESCRITURA NOTARIA 12 LIBRO 3' || chr(10) || upper(text)
+                      WHEN 1 THEN 'ESCRITURA NOTARIA 12 LIBRO 3' || chr(10) || lower(text) || ' Folio'
                       ELSE 'folio mercantil ' || text || ' FECHA 12' END AS text
         FROM conversations, (VALUES (0), (1), (2)) AS t(v)""",
     "v_deed_texts": """

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.functions.lists import once
+
 DIMENSION = 64
 Embedder = Callable[[list[str]], list[list[float]]]
 _REGISTRY: dict[str, Embedder | None] = {"hashed": None}
@@ -37,24 +39,26 @@ def hashed_vector(text: str, dimension: int = DIMENSION) -> list[float]:
     return [c / norm for c in counts] if norm else [0.0] * dimension
 
 
-def _with_hashed(df: DataFrame, text: str, out: str, dimension: int) -> DataFrame:
-    tokens = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    slot = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimension))
-    # Each step is its own column because the next one reads it inside a lambda.
-    counted = df.withColumn("_slots", F.transform(tokens, slot)).withColumn(
-        "_counts", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter("_slots", lambda s: s == i)).cast("double"))
-    )
-    norm = F.sqrt(F.aggregate("_counts", F.lit(0.0), lambda acc, c: acc + c * c))
-    scaled = counted.withColumn("_norm", norm).withColumn(
-        out, F.transform("_counts", lambda c: F.when(F.col("_norm") > 0, c / F.col("_norm")).otherwise(0.0))
-    )
-    return scaled.drop("_slots", "_counts", "_norm")
+def hashed_column(text: Column, dimension: int = DIMENSION) -> Column:
+    """Unit vector of word counts in ``dimension`` hashed slots; all zeros for a text without words."""
+    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    slots = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dimension)))
+    numbers = F.sequence(F.lit(0), F.lit(dimension - 1))
+
+    def counted(s: Column) -> Column:
+        return F.transform(numbers, lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
+
+    def scaled(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * c))
+        return once(norm, lambda n: F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(0.0)))
+
+    return once(once(slots, counted), scaled)
 
 
 def embed_chunks(df: DataFrame, embedder: Embedder | None = None, text: str = "text", out: str = "values", dimension: int = DIMENSION) -> DataFrame:
     """Adds one vector per text. An external embedder gets whole Arrow batches and must return one vector per text."""
     if embedder is None:
-        return _with_hashed(df, text, out, dimension)
+        return df.withColumn(out, hashed_column(F.col(text), dimension))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -268,7 +268,7 @@ class Views:
             F.posexplode(
                 F.array(
                     F.expr("case when turn % 2 = 0 then text else left(text, 90) end"),
-                    F.expr("concat('ESCRITURA NOTARIA 12 LIBRO 3\n', upper(text))"),
+                    F.expr("concat('ESCRITURA NOTARIA 12 LIBRO 3\n', lower(text), ' Folio')"),
                     F.expr("concat('folio mercantil ', text, ' FECHA 12')"),
                 )
             ).alias("variant", "text"),
