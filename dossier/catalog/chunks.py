@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.catalog import register, view_sql
-from dossier.operators import chunk_quality, chunking, pages
+from dossier.operators import chunk_quality, chunking
 
 
 @register("chunk_fixed", r"""
@@ -13,7 +13,7 @@ from dossier.operators import chunk_quality, chunking, pages
       SELECT doc_id, s, trim(substr(t, CAST(s + 1 AS BIGINT), 1200)) AS chunk FROM (
         SELECT doc_id, t, unnest(range(0, length(t), 1050)) AS s FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents))) WHERE chunk <> ''""")
 def _(v):
-    return chunking.chunk_fixed(v.table("documents").select("doc_id", "text"))
+    return chunking.chunk_fixed(v.texts("documents").select("doc_id", "text"))
 
 
 @register("split_paragraphs", r"""
@@ -27,12 +27,12 @@ def _(v):
 
 @register("split_oversized")
 def _(v):
-    return v.table("documents").select("doc_id", F.posexplode(chunking.split_oversized(F.col("text"))).alias("piece_index", "text"))
+    return v.texts("documents").select("doc_id", F.posexplode(chunking.split_oversized(F.col("text"))).alias("piece_index", "text"))
 
 
 def page_chunks(v):
-    documents = v.table("documents").select("doc_id", "text")
-    return chunking.chunk_pages(pages.build_index_pages(v.pages()).select("doc_id", "page_number", F.col("index_text").alias("text")), documents)
+    documents = v.texts("documents").select("doc_id", "text")
+    return chunking.chunk_pages(v.pages(), documents)
 
 
 @register("chunk_pages")
@@ -42,14 +42,14 @@ def _(v):
 
 @register("chunk_text_for_index")
 def _(v):
-    return chunking.chunk_text_for_index(v.table("documents").select("doc_id", "text"))
+    return chunking.chunk_text_for_index(v.texts("documents").select("doc_id", "text"))
 
 
 view_sql.register_view("v_turns", "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS chunk_index, text FROM conversations")
 
 
 def turns(v):
-    return v.table("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
+    return v.texts("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
 
 
 @register("chunk_page_map", """
@@ -89,7 +89,7 @@ _SUM = "q_empty + q_tilde + q_glyph + q_mixed + q_quote + q_short + q_symbol"
            CAST((CASE WHEN q_empty > 0 THEN 1 ELSE 0 END) + (CASE WHEN q_tilde > 0 THEN 1 ELSE 0 END) + (CASE WHEN q_glyph > 0 THEN 1 ELSE 0 END)
              + q_mixed + q_quote + (CASE WHEN q_short > 0 THEN 1 ELSE 0 END) + q_symbol AS BIGINT) AS reasons FROM v_quality""")
 def _(v):
-    extra = v.table("documents").selectExpr(
+    extra = v.texts("documents").selectExpr(
         "doc_id + 100000 as doc_id", "0L as page_number",
         r"""case when doc_id % 4 = 0 then text else concat(substr(text, 1, 60), '\na\nb1\n\nc\n7 £ pa\'labra') end as text""",
     )

@@ -124,7 +124,7 @@ _ODD = "CASE doc_id % 9 WHEN 0 THEN ' N/A ' WHEN 1 THEN 'sin   datos' WHEN 2 THE
 
 
 def odd_values(v):
-    return v.table("documents").selectExpr("doc_id", f"{_ODD} as value")
+    return v.texts("documents").selectExpr("doc_id", f"{_ODD} as value")
 
 
 @register("null_like", f"SELECT doc_id, coalesce(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) IN ({_NULLS}), FALSE) AS null_like, {meaningful_sql('value')} AS meaningful FROM (SELECT doc_id, {_ODD} AS value FROM documents)")
@@ -167,7 +167,7 @@ def _(v):
     raw = F.expr(
         "case doc_id % 5 when 0 then 'Contratación de  obra' when 1 then left(text, 100) when 2 then concat('Poder; ', left(text, 90), ' .,') when 3 then 'ab' else text end"
     )
-    rows = v.table("documents").select("doc_id", raw.alias("raw"))
+    rows = v.texts("documents").select("doc_id", raw.alias("raw"))
     return rows.select("doc_id", values.sanitize_act(F.col("raw")).alias("act"), values.sanitize_act(F.col("raw"), on_save=True).alias("act_on_save"))
 
 
@@ -452,7 +452,7 @@ _RESPONSE = r"""case doc_id % 5 when 0 then ' ' when 1 then 'no es json' else co
 
 
 def raw_outputs(v):
-    return v.table("documents").selectExpr(
+    return v.texts("documents").selectExpr(
         "doc_id", "'llm' as source_key", "'llm' as source", "1L as stage_order", "cast(null as bigint) as page_number", f"{_RESPONSE} as response"
     )
 

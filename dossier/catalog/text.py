@@ -49,7 +49,7 @@ view_sql.register_view("v_assembled", r"""
 
 @register("collapse_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", text.collapse_ws(F.col("text")).alias("text"))
+    return v.texts("documents").select("doc_id", text.collapse_ws(F.col("text")).alias("text"))
 
 
 @register("normalize_newlines", r"SELECT doc_id, page_number, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM v_pages")
@@ -178,12 +178,12 @@ _RULES_SQL = " UNION ALL ".join(
 
 @register("analyze_rules_text", _RULES_SQL)
 def _(v):
-    return pages.analyze_rules_text(v.table("documents").select("doc_id", "text")).select("doc_id", F.inline("checklist"))
+    return pages.analyze_rules_text(v.texts("documents").select("doc_id", "text")).select("doc_id", F.inline("checklist"))
 
 
 @register("limit_text", "SELECT doc_id, CASE WHEN length(text) <= 220 THEN text ELSE rtrim(text[1:220]) || '...' END AS preview FROM documents")
 def _(v):
-    return v.table("documents").select("doc_id", text.limit_text(F.col("text"), 220, "...").alias("preview"))
+    return v.texts("documents").select("doc_id", text.limit_text(F.col("text"), 220, "...").alias("preview"))
 
 
 @register("parse_page_numbers", r"""

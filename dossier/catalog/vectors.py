@@ -22,7 +22,7 @@ view_sql.register_view("v_embedded", f"""
 
 
 def turn_chunks(v):
-    return v.table("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
+    return v.texts("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
 
 
 def embedded(v):
@@ -178,7 +178,7 @@ def _(v):
       SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS rank FROM v_turns WHERE text NOT IN ('', '0')) WHERE rank <= 3
     UNION ALL SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE rtrim(text[1:500]) END, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v_turns)""")
 def _(v):
-    found = vectors.fallback_snippets(turn_chunks(v), v.table("documents").select("doc_id", "text"), 3, 500)
+    found = vectors.fallback_snippets(turn_chunks(v), v.texts("documents").select("doc_id", "text"), 3, 500)
     return found.select("doc_id", "snippet", F.col("rank").cast("long").alias("rank"))
 
 

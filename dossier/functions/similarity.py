@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,14 +12,49 @@ from pyspark.sql.types import DoubleType
 
 from dossier.functions.text import squeeze, strip
 
+# Below this many byte pairs the plain matcher is faster than setting up arrays.
+_SMALL = 4096
+
+
+def _longest_common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Length and start positions of the longest common stretch; of equals, the first in ``a``, then in ``b``."""
+    run = np.zeros(len(b) + 1, dtype=np.int32)
+    grown = np.empty(len(b), dtype=np.int32)
+    best, end_a, end_b = 0, 0, 0
+    for i in range(len(a)):
+        np.add(run[:-1], 1, out=grown)
+        np.multiply(grown, b == a[i], out=run[1:])
+        longest = int(run.max())
+        if longest > best:
+            best, end_a, end_b = longest, i + 1, int(run.argmax())
+    return best, end_a - best, end_b - best
+
+
+def common_bytes(left: bytes, right: bytes) -> int:
+    """Bytes covered by the longest common substring and, recursively, by those left and right of it."""
+    if left == right:
+        return len(left)
+    total, stack = 0, [(left, right)]
+    while stack:
+        a, b = stack.pop()
+        if not a or not b:
+            continue
+        if len(a) * len(b) <= _SMALL:
+            blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+            total += sum(block.size for block in blocks)
+            continue
+        n, i, j = _longest_common(np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8))
+        if n:
+            total += n
+            stack += [(a[:i], b[:j]), (a[i + n :], b[j + n :])]
+    return total
+
 
 def percent(a: str | None, b: str | None) -> float:
-    """Share of bytes covered by the longest common substring and, recursively, by those left and right of it."""
-    left, right = (a or "").encode().decode("latin-1"), (b or "").encode().decode("latin-1")
+    left, right = (a or "").encode(), (b or "").encode()
     if not left and not right:
         return 0.0
-    blocks = SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks()
-    return sum(block.size for block in blocks) * 2.0 * 100.0 / (len(left) + len(right))
+    return common_bytes(left, right) * 2.0 * 100.0 / (len(left) + len(right))
 
 
 @F.pandas_udf(DoubleType())

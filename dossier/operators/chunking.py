@@ -168,10 +168,10 @@ def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE)
         )
     )
     blocks = (
-        segments.where(F.size("segments") > 0)
-        .groupBy("doc_id", F.expr(f"page_number div {BLOCK_PAGES}").alias("block"))
+        segments.groupBy("doc_id", F.expr(f"page_number div {BLOCK_PAGES}").alias("block"))
         .agg(per_page.alias("pages"))
         .select("doc_id", "block", spread.alias("segments"))
+        .where(F.size("segments") > 0)
         .withColumn("lengths", F.transform("segments", lambda s: F.length(s["text"])))
     )
     maps = _with_block_map(blocks.select("doc_id", "block", "lengths"), size).select("doc_id", "block", "map")

@@ -451,7 +451,9 @@ def resolve_deeds(regex: DataFrame, candidates: DataFrame, decisions: DataFrame)
     ``regex`` and ``candidates`` are candidate tables. One row per document and field that has a value.
     """
     scored = score_candidates(candidates)
-    decided = apply_decisions(merge_candidates(scored), score_candidates(candidates.unionByName(regex)), decisions)
+    # Only the candidates a decision names are scored a second time.
+    named = candidates.unionByName(regex).join(decisions.select("doc_id", "field", "source_key"), ["doc_id", "field", "source_key"], "left_semi")
+    decided = apply_decisions(merge_candidates(scored), score_candidates(named), decisions)
     filled = regex_fallback(decided, score_candidates(regex))
     cleaned = filled.withColumn("value", sanitize_field(F.col("field"), F.col("value")))
     return cleaned.where(F.col("value").isNotNull() | F.col("field").isin(ARRAY_FIELDS))

@@ -38,3 +38,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input over the task slots when it comes in fewer partitions than there are slots.
+
+    Meant for CPU-heavy work on texts that arrive in a few files. A scan of a large table has many more partitions than
+    slots and is returned as it is, so no shuffle is added there.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
