@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import collapse_ws, squeeze, strip
+from dossier.functions.text import collapse_ws, strip
 
 # Spellings that mean "no value".
 NULL_LIKE = ["null", "n/a", "na", "none", "sin dato", "sin datos", "no aplica", "no disponible", "nd", "n.d.", "s/d"]
@@ -26,13 +28,19 @@ _PROSE_ON_SAVE = r"(?iuU)\b(?:candidates?|proponer\s+a\s+sus\s+clientes|aptos?\s
 _TRAILING_MARKS = " \t\n\r\x00\x0b;,.:-"
 
 
+# One expression each instead of trimming, folding and comparing: these tests run on every candidate value.
+_NULL_LIKE = r"(?iU)\A[\s\x00]*(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in NULL_LIKE) + r")[\s\x00]*\z"
+_NOTHING = _NULL_LIKE + r"|\A[ \t\n\r\x00\x0b]*\z"
+_LABEL = r"(?i)\A(?:" + "|".join(LABEL_WORDS) + r")\z"
+
+
 def is_null_like(c: Column) -> Column:
-    return F.lower(strip(squeeze(c))).isin(NULL_LIKE)
+    return c.rlike(_NULL_LIKE)
 
 
 def is_meaningful(c: Column) -> Column:
     """A text that is neither null, blank nor null-like."""
-    return F.coalesce((strip(c) != "") & ~is_null_like(strip(c)), F.lit(False))
+    return F.coalesce(~c.rlike(_NOTHING), F.lit(False))
 
 
 def is_meaningful_list(c: Column) -> Column:
@@ -109,7 +117,7 @@ def sanitize_act(c: Column, on_save: bool = False) -> Column:
 def sanitize_field(field: Column, value: Column) -> Column:
     """Field-dependent clean-up of one scalar value; fields without a rule pass through."""
     s = collapse_ws(strip(value))
-    usable = is_meaningful(value) & ~F.lower(s).isin(LABEL_WORDS)
+    usable = is_meaningful(value) & ~s.rlike(_LABEL)
     number = F.regexp_replace(s, r"[^0-9A-Za-z\-/.,]", "")
     as_number = F.when(s.rlike(r"(?U)\d") & (F.length(number) >= 2), number)
     as_text = F.when(F.length(s) >= 4, s)

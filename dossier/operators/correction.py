@@ -10,6 +10,7 @@ from dossier.functions.ranking import top_per_key
 from dossier.functions.similarity import comparable, similarity_percent
 from dossier.functions.text import limit_text, strip
 from dossier.operators.vectors import merge_metadata
+from dossier.session import spread_for_cpu
 
 OVERLAP_WEIGHT = 12
 LENGTH_WEIGHT = 18
@@ -101,6 +102,9 @@ def best_candidate(candidates: DataFrame, chunks: DataFrame, targets: DataFrame)
         .withColumn("ratio", F.least(a, b) / F.greatest(a, b))
         .withColumn("penalty", F.when(F.col("_listed"), F.abs(F.col("candidate_index") - F.col("_place")) * POSITION_WEIGHT).otherwise(0))
     )
+    # Comparing texts costs far more than moving them, so partitions are sized by slots, not by bytes; the final pick per
+    # chunk uses the same keys and needs no further shuffle.
+    prepared = spread_for_cpu(prepared, "doc_id", "chunk_index")
     measured = prepared.withColumn("similarity", similarity_percent(comparable(F.col("current_text")), comparable(F.col("candidate_text"))))
     score = F.col("similarity") + F.col("overlap") * OVERLAP_WEIGHT + F.col("ratio") * LENGTH_WEIGHT - F.col("penalty")
     scored = measured.withColumn("score", score)

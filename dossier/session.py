@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs more than building a large column expression itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -48,3 +50,13 @@ def widen(df: DataFrame, *keys: str) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
+
+
+def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
+    """Fixed number of partitions by key, ahead of work that is expensive per row.
+
+    Adaptive execution merges partitions by their bytes, which would leave a few tasks with all of the work.
+    """
+    spark = df.sparkSession
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(slots, *keys)
