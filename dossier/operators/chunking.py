@@ -215,7 +215,10 @@ def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE)
         strip(F.array_join(F.transform("m", lambda s: s["text"]), "\n\n")).alias("text"),
         F.array_distinct(F.transform("m", lambda s: s["page"])).alias("page_numbers"),
     )
-    without_pages = documents.join(blocks.select("doc_id"), "doc_id", "left_anti")
+    # Anything but spaces and zeros is sure to end up in a segment; only other texts are cut to find out.
+    filled = F.col("text").rlike(r"(?U)[^\s0]") | (F.size(page_segments(F.col("text"), size)) > 0)
+    with_pages = pages.where((F.col("page_number") > 0) & filled).select("doc_id")
+    without_pages = documents.join(with_pages, "doc_id", "left_anti")
     from_text = without_pages.select("doc_id", F.posexplode(pack_paragraphs(F.col("text"), size)).alias("chunk_index", "text")).withColumn(
         "page_numbers", F.array().cast("array<int>")
     )

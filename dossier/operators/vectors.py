@@ -124,23 +124,29 @@ def focused_context(missing: DataFrame, vectors: DataFrame, chunks: DataFrame, d
     """Snippets for the missing fields of each document, with the same kind of fallback."""
     queries = embed_chunks(retry_queries(missing), text="query_text", out="vector")
     typed = queries.join(documents.select("doc_id", "document_type"), "doc_id")
-    asked = documents.join(missing.where(F.size("missing") > 0).select("doc_id"), "doc_id", "left_semi")
-    return _with_fallback(retrieve(typed, vectors, k), chunks, asked, "retry_local_fallback", 10, 10000)
+    asked = missing.where(F.size("missing") > 0).select("doc_id")
+    return _with_fallback(retrieve(typed, vectors, k), chunks, documents, "retry_local_fallback", 10, 10000).join(asked, "doc_id", "left_semi")
 
 
 def _with_fallback(hits: DataFrame, chunks: DataFrame, documents: DataFrame, key: str, n: int, max_chars: int) -> DataFrame:
-    empty = documents.join(hits.select("doc_id"), "doc_id", "left_anti")
-    local = fallback_snippets(chunks.join(empty.select("doc_id"), "doc_id", "left_semi"), empty, n, max_chars)
-    return hits.unionByName(
-        local.select("doc_id", F.lit(key).alias("query_key"), "snippet", "rank", F.lit(None).cast("double").alias("similarity"))
+    """Hits, or the fallback snippets of a document without any hit.
+
+    Fallback snippets are taken for every document and dropped where there are hits, so the hits are computed once
+    instead of once per branch. The window sees at most queries times k plus ``n`` rows per document.
+    """
+    local = fallback_snippets(chunks, documents, n, max_chars).select(
+        "doc_id", F.lit(key).alias("query_key"), "snippet", "rank", F.lit(None).cast("double").alias("similarity"), F.lit(0).alias("_hit")
     )
+    both = hits.withColumn("_hit", F.lit(1)).unionByName(local)
+    found = both.withColumn("_found", F.max("_hit").over(Window.partitionBy("doc_id")))
+    return found.where(F.col("_hit") == F.col("_found")).drop("_hit", "_found")
 
 
 def fallback_snippets(chunks: DataFrame, documents: DataFrame, n: int, max_chars: int) -> DataFrame:
     """First ``n`` non-empty chunks of a document, or the head of its text when it has none."""
     usable = chunks.where((F.col("text") != "") & (F.col("text") != "0"))
     first = top_per_key(usable, ["doc_id"], [F.asc("chunk_index")], n, rank="rank").select("doc_id", F.col("text").alias("snippet"), "rank")
-    bare = documents.join(chunks.select("doc_id"), "doc_id", "left_anti").where(F.col("text") != "")
+    bare = documents.where(F.col("text") != "").join(chunks.select("doc_id"), "doc_id", "left_anti")
     return first.unionByName(bare.select("doc_id", limit_text(F.col("text"), max_chars).alias("snippet"), F.lit(1).alias("rank")))
 
 
