@@ -1,7 +1,7 @@
 """Common-substring similarity."""
 
-from __future__ import annotations
-
+import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -57,10 +57,42 @@ def percent(a: str | None, b: str | None) -> float:
     return common_bytes(left, right) * 2.0 * 100.0 / (len(left) + len(right))
 
 
+def upper_bound(left: bytes, right: bytes) -> float:
+    """No similarity can exceed what the two texts share as bags of bytes."""
+    if not left and not right:
+        return 0.0
+    counts = [np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) for x in (left, right)]
+    return float(np.minimum(*counts).sum()) * 2.0 * 100.0 / (len(left) + len(right))
+
+
 @F.pandas_udf(DoubleType())
 def similarity_percent(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([percent(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def similarity_if_leading(
+    batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]],
+) -> Iterator[pd.Series]:
+    """Similarity of rows that can still win in their group, null for the others.
+
+    Takes ``(group, other_points, text, text)`` with rows of a group side by side. A row is skipped only when its other
+    points plus the upper bound stay below the best total seen in its group, so the winner is never skipped.
+    """
+    group, best = None, -math.inf
+    for keys, points, left, right in batches:
+        out = []
+        for key, extra, x, y in zip(keys, points, left, right):
+            if key != group:
+                group, best = key, -math.inf
+            if x != y and best > -math.inf and extra + upper_bound(x.encode(), y.encode()) < best - 1e-9:
+                out.append(None)
+                continue
+            value = percent(x, y)
+            best = max(best, extra + value)
+            out.append(value)
+        yield pd.Series(out, dtype="float64")
+
+
 def comparable(text: Column) -> Column:
     return strip(squeeze(F.lower(text)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.pages import page_ids, page_overlap
 from dossier.functions.ranking import top_per_key
-from dossier.functions.similarity import comparable, similarity_percent
+from dossier.functions.similarity import comparable, similarity_if_leading
 from dossier.functions.text import limit_text, strip
 from dossier.operators.vectors import merge_metadata
 from dossier.session import spread_for_cpu
@@ -103,11 +103,16 @@ def best_candidate(candidates: DataFrame, chunks: DataFrame, targets: DataFrame)
         .withColumn("penalty", F.when(F.col("_listed"), F.abs(F.col("candidate_index") - F.col("_place")) * POSITION_WEIGHT).otherwise(0))
     )
     # Comparing texts costs far more than moving them, so partitions are sized by slots, not by bytes; the final pick per
-    # chunk uses the same keys and needs no further shuffle.
-    prepared = spread_for_cpu(prepared, "doc_id", "chunk_index")
-    measured = prepared.withColumn("similarity", similarity_percent(comparable(F.col("current_text")), comparable(F.col("candidate_text"))))
+    # chunk uses the same keys and needs no further shuffle. Likely winners come first, which lets the others be skipped.
+    points = F.col("overlap") * OVERLAP_WEIGHT + F.col("ratio") * LENGTH_WEIGHT - F.col("penalty")
+    texts = prepared.withColumn("_a", comparable(F.col("current_text"))).withColumn("_b", comparable(F.col("candidate_text")))
+    spread = spread_for_cpu(texts.withColumn("_points", points.cast("double")), "doc_id", "chunk_index").sortWithinPartitions(
+        "doc_id", "chunk_index", F.desc(F.col("_a") == F.col("_b")), F.desc("_points")
+    )
+    group = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    measured = spread.withColumn("similarity", similarity_if_leading(group, F.col("_points"), F.col("_a"), F.col("_b")))
     score = F.col("similarity") + F.col("overlap") * OVERLAP_WEIGHT + F.col("ratio") * LENGTH_WEIGHT - F.col("penalty")
-    scored = measured.withColumn("score", score)
+    scored = measured.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score"))
     return top_per_key(scored, ["doc_id", "chunk_index"], [F.desc("score"), F.asc("candidate_index")]).select(
         "doc_id", "chunk_index", "candidate_index", F.col("candidate_text").alias("text"), "similarity", "score"
     )

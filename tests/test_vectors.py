@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,26 @@ def test_best_candidate(spark):
     assert (best["candidate_index"], best["score"]) == (1, pytest.approx(100 + 12 + 18))
 
 
+def test_best_candidate_equals_exhaustive_search(spark):
+    rng = random.Random(4)
+    noise = lambda t, n: "".join(c if rng.random() > n else rng.choice("abc ") for c in t)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 160))).strip() + "x" for _ in range(30)]
+    chunks = spark.createDataFrame([(1, i, t, [i + 1]) for i, t in enumerate(base)], "doc_id long, chunk_index int, text string, page_numbers array<int>")
+    options = [(1, i, c, noise(t, rng.choice([0, 0.1, 0.5, 0.9])).strip() or "x", [i + 1 + c % 2]) for i, t in enumerate(base) for c in range(5)]
+    df = spark.createDataFrame(options, "doc_id long, chunk_index int, candidate_index int, text string, page_numbers array<int>")
+    targets = chunks.withColumnRenamed("text", "current_text")
+    got = {r["chunk_index"]: (r["candidate_index"], r["score"]) for r in correction.best_candidate(df, chunks, targets).collect()}
+    flat = lambda t: " ".join(t.split())
+    for i, t in enumerate(base):
+        best = (-1, -1e9)
+        for _, j, c, text, pages in options:
+            if j == i:
+                ratio = min(len(text), len(t)) / max(len(text), len(t))
+                score = similarity.percent(flat(t), flat(text)) + (12 if pages == [i + 1] else 0) + ratio * 18 - c * 8
+                best = (c, score) if score > best[1] + 1e-9 else best
+        assert got[i][0] == best[0] and got[i][1] == pytest.approx(best[1])
+
+
 def test_bounds(spark):
     cases = [("a" * 100, "b" * 39, "too_short"), ("a" * 100, "b" * 40, None), ("a" * 100, "b" * 1800, None), ("a" * 100, "b" * 1801, "too_long"), ("a" * 1000, "b" * 299, "too_short"), ("a" * 1000, "b" * 2200, None)]
     df = spark.createDataFrame(cases, "current string, corrected string, want string")
