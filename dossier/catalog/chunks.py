@@ -111,10 +111,10 @@ def _(v):
 
 
 @register("attach_page_map", r"""
-    SELECT doc_id, chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, CASE WHEN chunk_index % 2 = 0 THEN (chunk_index + 1) || ',' || (chunk_index + 2) END AS page_numbers_csv,
-           CASE WHEN chunk_index % 2 = 0 THEN chunk_index + 1 END AS primary_page FROM v_turns WHERE trim(text) <> ''""")
+    SELECT doc_id, chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, CASE WHEN length(text) > 500 THEN (chunk_index + 1) || ',' || (chunk_index + 2) END AS page_numbers_csv,
+           CASE WHEN length(text) > 500 THEN chunk_index + 1 END AS primary_page FROM v_turns WHERE trim(text) <> ''""")
 def _(v):
-    stored = turns(v).where("chunk_index % 2 = 0").withColumn("page_numbers", F.expr("array(chunk_index + 1, chunk_index + 2)"))
+    stored = turns(v).where("length(text) > 500").withColumn("page_numbers", F.expr("array(chunk_index + 1, chunk_index + 2)"))
     return chunking.attach_page_map(turns(v), stored).select("doc_id", "chunk_index", "text", "page_numbers_csv", "primary_page")
 
 

@@ -10,9 +10,12 @@ from dossier.functions.text import display_name
 from dossier.operators import quality_rules as rules
 
 
-@register("scope_to_owner", "SELECT id, status FROM v_tenders WHERE user_id = 7")
+@register("scope_to_owner", """
+    SELECT id, user_id, status FROM v_tenders WHERE user_id IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA')""")
 def _(v):
-    return rules.scope_to_owner(v.tenders(), 7).select("id", "status")
+    regions = v.table("region").where("r_name <> 'AFRICA'").selectExpr("r_regionkey as n_regionkey")
+    users = v.table("nation").join(regions, "n_regionkey").selectExpr("cast(n_nationkey as bigint) as id")
+    return rules.scope_to_owner(v.tenders(), users).select("id", "user_id", "status")
 
 
 @register("flag_foreign_parent", """

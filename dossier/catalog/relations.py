@@ -72,9 +72,10 @@ def _(v):
     return relations.user_letterheads(v.users(), v.companies(), v.letterheads())
 
 
-@register("letterhead_options", "SELECT id, title, is_default FROM v_letterheads WHERE company_id = 7")
+@register("letterhead_options", """
+    SELECT company_id, id, title, is_default, row_number() OVER (PARTITION BY company_id ORDER BY is_default DESC, title, id) - 1 AS position FROM v_letterheads""")
 def _(v):
-    return relations.letterhead_options(v.letterheads(), 7).select("id", "title", "is_default")
+    return relations.letterhead_options(v.letterheads())
 
 
 @register("vectors_for_document", """

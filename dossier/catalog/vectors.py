@@ -78,14 +78,15 @@ def _(v):
 
 view_sql.register_view("v_incoming", """
     SELECT namespace, document_type, label AS doc_id, 'acta-' || label || '-' || n AS id FROM (
-      SELECT 'licitaciones-acta' AS namespace, 'acta' AS document_type, CAST(label AS BIGINT) AS label, vec_id AS n FROM embeddings WHERE label IN (1, 3, 7) AND embedding[1] > 0)""")
+      SELECT 'licitaciones-acta' AS namespace, 'acta' AS document_type, CAST(label AS BIGINT) AS label, vec_id AS n FROM embeddings WHERE label IN (SELECT doc_id FROM labels WHERE quality = 1) AND embedding[1] > 0)""")
 
 
 def incoming(v):
-    return v.vectors().where("doc_id in (1, 3, 7) and values[0] > 0").withColumn("text", F.lit("nuevo"))
+    good = v.table("labels").where("quality = 1").select("doc_id")
+    return v.vectors().where("values[0] > 0").join(good, "doc_id", "left_semi").withColumn("text", F.lit("nuevo")).select(*v.vectors().columns)
 
 
-_MAINTAINED = """SELECT id, doc_id, CASE WHEN doc_id IN (1, 3, 7) THEN 'nuevo' ELSE text END AS text FROM v_vectors
+_MAINTAINED = """SELECT id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM v_incoming) THEN 'nuevo' ELSE text END AS text FROM v_vectors
     WHERE doc_id NOT IN (SELECT doc_id FROM v_incoming) OR id IN (SELECT id FROM v_incoming)"""
 
 
@@ -202,12 +203,13 @@ def _(v):
     SELECT 'acta-' || doc_id || '-' || n AS id, pages FROM (
       SELECT doc_id, pages, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS n FROM (
         SELECT t.doc_id, t.chunk_index AS o, CAST(t.chunk_index AS VARCHAR) AS pages FROM v_turns t JOIN v_document_index i ON i.id = t.doc_id
-        WHERE trim(coalesce(i.index_text, i.extracted_text, '')) <> '' AND t.doc_id % 2 = 0
+        WHERE trim(coalesce(i.index_text, i.extracted_text, '')) <> '' AND t.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
         UNION ALL SELECT i.id, 0, '4,5' FROM v_document_index i WHERE trim(coalesce(i.index_text, i.extracted_text, '')) <> ''
-          AND i.id NOT IN (SELECT doc_id FROM v_turns WHERE doc_id % 2 = 0)))""")
+          AND i.id NOT IN (SELECT doc_id FROM v_turns WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))))""")
 def _(v):
     index = v.document_index(with_text=True).selectExpr("id as doc_id", "'acta' as document_type", "storage_path", "user_id", "index_text", "extracted_text")
-    stored = turn_chunks(v).where("doc_id % 2 = 0").withColumn("page_numbers_csv", F.col("chunk_index").cast("string"))
+    good = v.table("labels").where("quality = 1").select("doc_id")
+    stored = turn_chunks(v).join(good, "doc_id", "left_semi").withColumn("page_numbers_csv", F.col("chunk_index").cast("string"))
     page_map = v.table("documents").selectExpr("doc_id", "0 as chunk_index", "array(4, 5) as page_numbers")
     built, _ = vectors.reindex(index, stored, page_map)
     return built.select("id", F.col("metadata")["page_numbers_csv"].alias("pages"))
@@ -254,7 +256,7 @@ def paged_chunks(v):
 
 
 def targets(v):
-    return paged_chunks(v).where("chunk_index % 4 <> 3").select("doc_id", "chunk_index", F.col("text").alias("current_text"), "page_numbers")
+    return paged_chunks(v).where("size(page_numbers) > 0").select("doc_id", "chunk_index", F.col("text").alias("current_text"), "page_numbers")
 
 
 view_sql.register_view("v_paged", "SELECT *, CASE WHEN chunk_index % 4 = 3 THEN CAST([] AS INTEGER[]) ELSE [chunk_index + 1, chunk_index + 2] END AS page_numbers FROM v_turns")
@@ -262,7 +264,7 @@ view_sql.register_view("v_paged", "SELECT *, CASE WHEN chunk_index % 4 = 3 THEN
 
 @register("related_chunks", """
     SELECT a.doc_id, a.chunk_index AS target_index, b.chunk_index FROM v_paged a JOIN v_paged b ON a.doc_id = b.doc_id
-    WHERE a.chunk_index % 4 <> 3 AND list_has_any(a.page_numbers, b.page_numbers)""")
+    WHERE list_has_any(a.page_numbers, b.page_numbers)""")
 def _(v):
     return correction.related_chunks(paged_chunks(v), targets(v))
 
@@ -282,18 +284,18 @@ def _(v):
     return correction.correction_requests(requests, chunks, chunks, sources).select("doc_id", "chunk_index", "reason")
 
 
-_VISION = "chunk_index % 3 = 0"
+_VISION = "length(text) >= 700"
 view_sql.register_view("v_chosen", """
     SELECT doc_id, chunk_index, text AS current_text, page_numbers,
-           CASE WHEN chunk_index % 3 = 0 AND doc_id % 4 <> 0 THEN 'ollama-vision' WHEN chunk_index % 5 <> 4 THEN 'targeted-ocr' END AS engine,
-           trim(CASE WHEN chunk_index % 3 = 0 AND doc_id % 4 <> 0 THEN substr(text, 1, 200) WHEN chunk_index % 5 <> 4 THEN CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE 'corto ' || chunk_index END END, ' ' || chr(9) || chr(10) || chr(13)) AS corrected_text,
-           CASE WHEN chunk_index % 3 = 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'tiempo' END ELSE 'No se pudieron extraer imágenes de las páginas del chunk.' END AS fallback_error
-    FROM v_paged WHERE chunk_index % 4 <> 3""")
+           CASE WHEN length(text) >= 700 AND doc_id % 4 <> 0 THEN 'ollama-vision' WHEN length(text) >= 200 THEN 'targeted-ocr' END AS engine,
+           trim(CASE WHEN length(text) >= 700 AND doc_id % 4 <> 0 THEN substr(text, 1, 200) WHEN length(text) >= 200 THEN CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE 'corto ' || chunk_index END END, ' ' || chr(9) || chr(10) || chr(13)) AS corrected_text,
+           CASE WHEN length(text) >= 700 THEN CASE WHEN doc_id % 4 = 0 THEN 'tiempo' END ELSE 'No se pudieron extraer imágenes de las páginas del chunk.' END AS fallback_error
+    FROM v_paged WHERE len(page_numbers) > 0""")
 
 
 def chosen(v):
     vision = turn_chunks(v).where(_VISION).selectExpr("doc_id", "chunk_index", "substr(text, 1, 200) as text", "case when doc_id % 4 = 0 then 'tiempo' end as error")
-    scanned = turn_chunks(v).where("chunk_index % 5 <> 4").selectExpr(
+    scanned = turn_chunks(v).where("length(text) >= 200").selectExpr(
         "doc_id", "chunk_index", "case when doc_id % 2 = 0 then text else concat('corto ', cast(chunk_index as string)) end as text"
     )
     return correction.choose_correction(targets(v), vision, scanned)
@@ -346,10 +348,10 @@ def _(v):
 
 
 @register("corrected_document_status", """
-    SELECT i.id AS doc_id, CASE WHEN i.id IN (SELECT doc_id FROM v_corrected WHERE changed) THEN CASE WHEN i.id % 2 = 0 THEN 'indexed' ELSE 'processed' END ELSE status END AS status FROM v_document_index i""")
+    SELECT i.id AS doc_id, CASE WHEN i.id IN (SELECT doc_id FROM v_corrected WHERE changed) THEN CASE WHEN status <> 'failed' THEN 'indexed' ELSE 'processed' END ELSE status END AS status FROM v_document_index i""")
 def _(v):
     index = v.document_index().selectExpr("id as doc_id", "status")
-    return correction.document_status(index, corrected(v), index.where("doc_id % 2 = 0"))
+    return correction.document_status(index, corrected(v), index.where("status <> 'failed'"))
 
 
 @register("best_candidate")

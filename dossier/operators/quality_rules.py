@@ -15,8 +15,11 @@ from dossier.functions.text import display_name
 DECLARATION_FORMATS = ["pdf", "xml", "xlsx", "xls", "csv"]
 
 
-def scope_to_owner(df: DataFrame, user_id: int) -> DataFrame:
-    return df.where(F.col("user_id") == user_id)
+def scope_to_owner(df: DataFrame, owner: int | DataFrame) -> DataFrame:
+    """Rows of one user, or of the users listed in a table with an ``id`` column."""
+    if isinstance(owner, DataFrame):
+        return df.join(owner.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    return df.where(F.col("user_id") == owner)
 
 
 def flag_foreign_parent(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

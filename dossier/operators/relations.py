@@ -91,8 +91,12 @@ def user_letterheads(users: DataFrame, companies: DataFrame, letterheads: DataFr
     )
 
 
-def letterhead_options(letterheads: DataFrame, company_id: int) -> DataFrame:
-    return letterheads.where(F.col("company_id") == company_id).orderBy(F.desc("is_default"), F.asc("title"))
+def letterhead_options(letterheads: DataFrame) -> DataFrame:
+    """Choices of every company: its own letterheads, defaults first, then by title; ``position`` starts at zero."""
+    order = [F.desc("is_default"), F.asc("title"), F.asc("id")]
+    bucket = F.struct(~F.col("is_default"), F.left("title", F.lit(4)))
+    options = dense_position(letterheads.select("company_id", "id", "title", "is_default"), ["company_id"], order, bucket)
+    return options.select("company_id", "position", "id", "title", "is_default")
 
 
 def vectors_for_document(vectors: DataFrame, documents: DataFrame) -> DataFrame:
