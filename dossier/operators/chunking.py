@@ -14,7 +14,9 @@ from dossier.functions.text import normalize_newlines, squeeze, strip
 
 CHUNK_SIZE = 1200
 OVERLAP = 150
+# Pages folded together at the lowest level and blocks folded together at the upper ones.
 BLOCK_PAGES = 256
+FAN_OUT = 4096
 # A character that cannot occur in text; it marks lines longer than a chunk.
 _MARK = "\ufdd0"
 
@@ -150,13 +152,57 @@ def _through(state: Column, block: Column, size: int) -> Column:
     return F.struct(buffer.alias("buffer"), chunk.alias("chunk"))
 
 
-def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE) -> DataFrame:
+def _then(first: Column, second: Column, size: int) -> Column:
+    """Block map of two neighbouring blocks taken as one."""
+
+    def onward(entry: Column) -> Column:
+        state = F.struct(entry["run"]["buffer"].alias("buffer"), entry["run"]["flushes"].alias("chunk"))
+        end = _through(state, second, size)
+        run = F.transform(F.array(end), lambda e: F.struct(e["chunk"].alias("flushes"), e["buffer"].alias("buffer")))[0]
+        return F.struct(entry["need"].alias("need"), run.alias("run"))
+
+    def shifted(entry: Column) -> Column:
+        return F.struct((first["total"] + 2 + entry["need"]).alias("need"), entry["run"].alias("run"))
+
+    # A first flush in the second block is only possible while the whole first block still fits.
+    later = F.when(first["total"] <= size - 3, F.transform(second["flush_at"], shifted)).otherwise(F.slice(second["flush_at"], 1, 0))
+    return F.struct(
+        (first["total"] + 2 + second["total"]).alias("total"), F.concat(F.transform(first["flush_at"], onward), later).alias("flush_at")
+    )
+
+
+def _block_starts(maps: DataFrame, size: int, levels: int) -> DataFrame:
+    """Buffer length and chunk number at the start of every block, by combining maps upwards and folding them downwards."""
+    members = F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps")
+    if levels == 0:
+        empty = F.struct(F.lit(0).alias("buffer"), F.lit(0).alias("chunk"))
+        groups = maps.groupBy("doc_id").agg(members).withColumn("start", empty)
+    else:
+        parents = maps.groupBy("doc_id", F.expr(f"block div {FAN_OUT}").alias("parent")).agg(members)
+        rest = F.slice("maps", 2, 2**31 - 2)
+        whole = F.reduce(rest, F.get("maps", F.lit(0))["map"], lambda acc, m: _then(acc, m["map"], size))
+        combined = parents.select("doc_id", F.col("parent").alias("block"), whole.alias("map"))
+        starts = _block_starts(combined, size, levels - 1).withColumnRenamed("block", "parent")
+        groups = parents.join(starts, ["doc_id", "parent"])
+    before = F.aggregate(
+        "maps",
+        F.struct(F.col("start").alias("state"), F.array().cast("array<struct<buffer:int,chunk:int>>").alias("before")),
+        lambda acc, m: F.struct(
+            _through(acc["state"], m["map"], size).alias("state"), F.concat(acc["before"], F.array(acc["state"])).alias("before")
+        ),
+    )["before"]
+    zipped = F.arrays_zip(F.transform("maps", lambda m: m["block"]).alias("block"), before.alias("state"))
+    return groups.select("doc_id", F.explode(zipped).alias("z")).select("doc_id", "z.block", F.col("z.state").alias("start"))
+
+
+def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE, levels: int = 1) -> DataFrame:
     """Page-aware chunks: paragraphs packed greedily up to ``size`` with the pages they come from.
 
     Packing runs through a document from front to back. To keep a huge document from ending up in one task, its pages
     are grouped into blocks of ``BLOCK_PAGES``; each block is reduced to a small map from incoming to outgoing buffer
     length, a document only folds over those maps, and with the buffer known at every block start the blocks number
-    their segments independently. Documents without usable pages are chunked from their text.
+    their segments independently. The maps of neighbouring blocks combine into maps of the same kind, so with ``levels``
+    above zero even the fold over blocks is split. Documents without usable pages are chunked from their text.
     """
     segments = pages.where(F.col("page_number") > 0).select(
         "doc_id", F.col("page_number").cast("int").alias("page_number"), page_segments(F.col("text"), size).alias("segments")
@@ -175,21 +221,7 @@ def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE)
         .withColumn("lengths", F.transform("segments", lambda s: F.length(s["text"])))
     )
     maps = _with_block_map(blocks.select("doc_id", "block", "lengths"), size).select("doc_id", "block", "map")
-    start = F.struct(F.lit(0).alias("buffer"), F.lit(0).alias("chunk"))
-    state = "struct<buffer:int,chunk:int>"
-    folded = F.aggregate(
-        "maps",
-        F.struct(start.alias("state"), F.array().cast(f"array<{state}>").alias("before")),
-        lambda acc, m: F.struct(
-            _through(acc["state"], m["map"], size).alias("state"), F.concat(acc["before"], F.array(acc["state"])).alias("before")
-        ),
-    )["before"]
-    starts = (
-        maps.groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps"))
-        .select("doc_id", F.explode(F.arrays_zip(F.transform("maps", lambda m: m["block"]).alias("block"), folded.alias("state"))).alias("z"))
-        .select("doc_id", "z.block", F.col("z.state").alias("start"))
-    )
+    starts = _block_starts(maps, size, levels)
 
     def number(acc: Column, length: Column) -> Column:
         fits, grown = _add(acc["buffer"], length, size)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from dossier.operators import chunking
@@ -94,16 +96,18 @@ def expected_chunks(pages):
     return groups
 
 
-def test_chunk_pages_equals_sequential_packing(spark, monkeypatch):
+@pytest.mark.parametrize("block, fan, levels", [(3, 4096, 0), (3, 2, 1), (2, 2, 2), (256, 4096, 1)])
+def test_chunk_pages_equals_sequential_packing(spark, monkeypatch, block, fan, levels):
     rng = random.Random(11)
-    monkeypatch.setattr(chunking, "BLOCK_PAGES", 3)
+    monkeypatch.setattr(chunking, "BLOCK_PAGES", block)
+    monkeypatch.setattr(chunking, "FAN_OUT", fan)
     docs = {d: [(n, random_text(rng)) for n in range(1, rng.randint(1, 25))] for d in range(40)}
     docs[100] = [(n, "ab") for n in range(1, 60)]
     rows = [(d, n, t) for d, ps in docs.items() for n, t in ps]
     pages = spark.createDataFrame(rows, "doc_id long, page_number int, text string")
     texts = spark.createDataFrame([(d, "") for d in docs], "doc_id long, text string")
     got = {}
-    for r in chunking.chunk_pages(pages, texts, SIZE).orderBy("doc_id", "chunk_index").collect():
+    for r in chunking.chunk_pages(pages, texts, SIZE, levels).orderBy("doc_id", "chunk_index").collect():
         got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["text"], r["page_numbers"]))
         assert len(r["text"]) <= SIZE
     for d, ps in docs.items():
