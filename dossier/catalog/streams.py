@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.catalog import register
+from dossier.operators.pages import build_index_pages
 from dossier.plans import documents as flow
 from dossier.streaming.events import audit_events
 
@@ -18,6 +19,6 @@ def _(v):
 
 @register("document_vectors")
 def _(v):
-    index_pages, documents = flow.clean_documents(v.pages())
-    facts = documents.selectExpr("doc_id", "'acta' as document_type", "concat('f/', cast(doc_id as string)) as storage_path", "doc_id % 25 as user_id")
-    return flow.chunk_vectors(flow.rated_chunks(index_pages, documents), facts).select("namespace", "id", "chunk_index", "text", F.size("values").alias("dimension"))
+    pages = v.pages()
+    facts = pages.select("doc_id").distinct().selectExpr("doc_id", "'acta' as document_type", "concat('f/', cast(doc_id as string)) as storage_path", "doc_id % 25 as user_id")
+    return flow.chunk_vectors(flow.rated_chunks(build_index_pages(pages)), facts).select("namespace", "id", "chunk_index", "text", F.size("values").alias("dimension"))

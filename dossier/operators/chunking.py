@@ -195,14 +195,14 @@ def _block_starts(maps: DataFrame, size: int, levels: int) -> DataFrame:
     return groups.select("doc_id", F.explode(zipped).alias("z")).select("doc_id", "z.block", F.col("z.state").alias("start"))
 
 
-def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE, levels: int = 1) -> DataFrame:
+def chunk_pages(pages: DataFrame, documents: DataFrame | None, size: int = CHUNK_SIZE, levels: int = 1) -> DataFrame:
     """Page-aware chunks: paragraphs packed greedily up to ``size`` with the pages they come from.
 
     Packing runs through a document from front to back. To keep a huge document from ending up in one task, its pages
     are grouped into blocks of ``BLOCK_PAGES``; each block is reduced to a small map from incoming to outgoing buffer
     length, a document only folds over those maps, and with the buffer known at every block start the blocks number
     their segments independently. The maps of neighbouring blocks combine into maps of the same kind, so with ``levels``
-    above zero even the fold over blocks is split. Documents without usable pages are chunked from their text.
+    above zero even the fold over blocks is split. Documents without usable pages are chunked from their text, if given.
     """
     segments = pages.where(F.col("page_number") > 0).select(
         "doc_id", F.col("page_number").cast("int").alias("page_number"), page_segments(F.col("text"), size).alias("segments")
@@ -247,6 +247,8 @@ def chunk_pages(pages: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE,
         strip(F.array_join(F.transform("m", lambda s: s["text"]), "\n\n")).alias("text"),
         F.array_distinct(F.transform("m", lambda s: s["page"])).alias("page_numbers"),
     )
+    if documents is None:
+        return _payload(from_pages)
     # Anything but spaces and zeros is sure to end up in a segment; only other texts are cut to find out.
     filled = F.col("text").rlike(r"(?U)[^\s0]") | (F.size(page_segments(F.col("text"), size)) > 0)
     with_pages = pages.where((F.col("page_number") > 0) & filled).select("doc_id")

@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from dossier.functions.embedding import Embedder, embed_chunks
 from dossier.operators.chunk_quality import chunk_quality
 from dossier.operators.chunking import chunk_pages
-from dossier.operators.pages import assemble_documents, build_index_pages
 from dossier.operators.vectors import build_vectors
 
 
-def clean_documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index pages and assembled documents."""
-    index_pages = build_index_pages(pages)
-    return index_pages, assemble_documents(index_pages)
+def rated_chunks(index_pages: DataFrame) -> DataFrame:
+    """Page-aware chunks of the index text with their quality.
 
-
-def rated_chunks(index_pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """Page-aware chunks of the index text with their quality."""
-    pages = index_pages.select("doc_id", "page_number", F.col("index_text").alias("text"))
-    return chunk_quality(chunk_pages(pages, documents.select("doc_id", F.col("index_text").alias("text"))))
+    The text of these documents is put together from the same pages, so a document without usable pages has no other text
+    to fall back on.
+    """
+    return chunk_quality(chunk_pages(index_pages.select("doc_id", "page_number", F.col("index_text").alias("text")), None))
 
 
 def chunk_vectors(chunks: DataFrame, documents: DataFrame, embedder: Embedder | None = None) -> DataFrame:

@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dossier.plans.documents import chunk_vectors, clean_documents, rated_chunks
+from dossier.operators.pages import assemble_documents, build_index_pages
+from dossier.plans.documents import chunk_vectors, rated_chunks
 
 
 def process_batch(folder: str) -> Callable[[DataFrame, int], None]:
-    """Batch function writing ``chunks`` and ``vectors`` below ``folder``.
+    """Batch function writing ``pages``, ``documents``, ``chunks`` and ``vectors`` below ``folder``.
 
     Every micro-batch owns one ``epoch`` partition in each table and overwrites it, so a repeated batch leaves no
-    duplicates and a lost executor costs a retry only. Vectors are built from the written chunks, not from the page plan.
+    duplicates and a lost executor costs a retry only. Each step reads what the previous one wrote, so no step is
+    computed twice.
     """
 
     def run(pages: DataFrame, epoch: int) -> None:
         spark = pages.sparkSession
-        index_pages, documents = clean_documents(pages.select("doc_id", "page_number", "text"))
-        _write(rated_chunks(index_pages, documents), folder, "chunks", epoch)
+        _write(build_index_pages(pages), folder, "pages", epoch)
+        cleaned = spark.read.parquet(f"{folder}/pages/epoch={epoch}")
+        _write(assemble_documents(cleaned), folder, "documents", epoch)
+        _write(rated_chunks(cleaned), folder, "chunks", epoch)
         chunks = spark.read.parquet(f"{folder}/chunks/epoch={epoch}")
-        facts = pages.select("doc_id", "document_type", "storage_path", "user_id").dropDuplicates(["doc_id"])
+        facts = cleaned.select("doc_id", "document_type", "storage_path", "user_id").dropDuplicates(["doc_id"])
         _write(chunk_vectors(chunks, facts), folder, "vectors", epoch)
 
     return run
@@ -34,11 +38,11 @@ def _write(df: DataFrame, folder: str, name: str, epoch: int) -> None:
 
 
 def current_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Latest version of every document in a table: rows of its highest epoch.
+    """Latest version of every document in a table.
 
-    A document that no longer yields any row in its newest epoch is looked up in the chunks table, which always has one.
+    The newest epoch is looked up in ``documents``, which has a row even for a document that no longer yields chunks.
     """
-    newest = spark.read.parquet(f"{folder}/chunks").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
+    newest = spark.read.parquet(f"{folder}/documents").groupBy("doc_id").agg(F.max("epoch").alias("epoch"))
     return spark.read.parquet(f"{folder}/{name}").join(newest, ["doc_id", "epoch"])
 
 

@@ -27,6 +27,8 @@ def test_documents_stream_is_incremental_and_repeatable(spark, tmp_path):
     assert {k: r["text"] for k, r in rows.items()} == {(1, 0): "texto nuevo del acta", (2, 0): "otro"}
     assert len(rows[(1, 0)]["values"]) == DIMENSION and rows[(1, 0)]["metadata"]["page_numbers_csv"] == "1"
     assert current_table(spark, out, "chunks").count() == 2
+    feed([page(2, 1, " -- ")])
+    assert [r["doc_id"] for r in current_table(spark, out, "vectors").collect()] == [1]
 
 
 def test_audit_stream(spark, tmp_path):
