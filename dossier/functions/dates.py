@@ -14,6 +14,14 @@ _DAY_FIRST = r"^([0-3]?[0-9])-([01]?[0-9])-([0-9]{4})$"
 _YEAR_FIRST = r"^([0-9]{4})-([01]?[0-9])-([0-3]?[0-9])(?:[T ].*)?$"
 _SHORT_YEAR_FIRST = r"^([0-9]{1,2})-([01]?[0-9])-([0-3]?[0-9])$"
 
+# English month names, the only ones a free-form parse understands.
+_PROSE_FORMATS = ["d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy"]
+_PROSE = r"^(?:[0-9]{1,2} [A-Za-z]{3,9} [0-9]{4}|[A-Za-z]{3,9} [0-9]{1,2},? [0-9]{4})$"
+
+
+def _prose(c: Column) -> Column:
+    return F.to_date(F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in _PROSE_FORMATS]))
+
 
 def _rolled(year: Column, month: Column, day: Column) -> Column:
     """Calendar date with overflow rolled forward: 31 February is 2 or 3 March."""
@@ -23,7 +31,10 @@ def _rolled(year: Column, month: Column, day: Column) -> Column:
 
 
 def normalize_date(c: Column) -> Column:
-    """ISO text of a date written day first, year first, or with a short year in front; anything else is null."""
+    """ISO text of a date written day first, year first, with a short year in front, or with an English month name.
+
+    Anything else is null.
+    """
     s = strip(F.replace(c, F.lit("/"), F.lit("-")))
 
     def part(pattern: str, i: int) -> Column:
@@ -37,6 +48,7 @@ def normalize_date(c: Column) -> Column:
             s.rlike(_SHORT_YEAR_FIRST),
             _rolled(F.when(short < 70, short + 2000).otherwise(short + 1900), part(_SHORT_YEAR_FIRST, 2), part(_SHORT_YEAR_FIRST, 3)),
         )
+        .when(s.rlike(_PROSE), _prose(s))
     )
     return F.when(is_meaningful(c), F.date_format(parsed, "yyyy-MM-dd"))
 

@@ -70,6 +70,7 @@ def test_dates(spark):
     cases = {
         "05/03/2024": "2024-03-05", "31-02-2024": "2024-03-02", "5-3-24": "2005-03-24", "99-12-31": "1999-12-31", "2024-05-06": "2024-05-06",
         "mañana": None, "n/a": None, "": None, "40-01-2024": None, "01-13-2024": None,
+        "15 March 2024": "2024-03-15", "mar 5, 2024": "2024-03-05", "15 mayo 2024": None,
     }
     for raw, iso in cases.items():
         assert one(spark, dates.normalize_date, raw) == iso, raw
