@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import packing, simhash
+from dossier.llm import fingerprints, mixing, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,3 +33,15 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     groups = simhash.near_duplicates(table(spark, folder, "documents"))
     return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    return mixing.mix_documents(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with their likeness."""
+    return fingerprints.compare_edits(table(spark, folder, "documents"))
