@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, mixing, packing, simhash
+from dossier.llm import fingerprints, language, mixing, packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,18 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and its edited text, with their likeness."""
     return fingerprints.compare_edits(table(spark, folder, "documents"))
+
+
+@query
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; learned from those that are not held out."""
+    docs = table(spark, folder, "documents").withColumn("held_out", language.held_out())
+    model = language.train(docs.where("not held_out"))
+    return language.identify(docs, model, "doc_id", "text", "held_out")
+
+
+@query
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, folder, "documents")
+    return pii.find_personal_data(docs, pii.train(docs))

@@ -46,7 +46,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` over bounded batches; ``each`` turns one batch into any number of batches."""
     bounded_batches(df.sparkSession)
 
