@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, language, mixing, packing, pii, simhash
+from dossier.llm import fingerprints, language, mixing, packing, pii, simhash, topk
+from dossier.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +61,26 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     docs = table(spark, folder, "documents")
     return pii.find_personal_data(docs, pii.train(docs))
+
+
+@query
+def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten highest inner products of every hundredth vector among all others."""
+    vectors = written(topk.whole_vectors(table(spark, folder, "embeddings")), "vectors")
+    return topk.top_inner_products(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+ORACLES["op3_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+"""
