@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import packing, simhash
+from dossier.llm import language, mixing, packing, pii, simhash
 from dossier.llm.shared import written
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are in no learned language: without a letter, or far from every model.
+
+    Models are learned from the labelled documents that are not held out. A missing label is filled with the prediction.
+    """
+    model = language.train(docs.where(~language.held_out()))
+    named = language.identify(docs, model, keep=tuple(DOCUMENT)).where("not rejected")
+    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*DOCUMENT)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group, keep the document with the smallest id.
 
-    A row repeated with the same id stays once; rows without an id stay once per fingerprint.
+    A row repeated with the same id and text stays once. Rows without an id stay once per text: they name no group.
     """
     groups = simhash.near_duplicates(docs)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.when(F.col("doc_id").isNull(), F.col("fp")).alias("kept_fp")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*DOCUMENT)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in every text by its kind in brackets."""
+    clean = pii.redact(docs.select(*DOCUMENT), pii.train(docs))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that each source comes near its target; a row per copy."""
+    keyed = docs.withColumn("mix_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    copies = mixing.mix_documents(keyed, id_column="mix_key").groupBy(F.col("doc_id").alias("mix_key")).agg(F.max("copies").alias("copies"))
+    repeated = keyed.join(copies.where("copies > 0"), "mix_key")
+    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*DOCUMENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +52,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", identify_language),
     ("SimHash near-dedup", deduplicate),
+    ("PII", redact),
+    ("mixing sources to target weights", mix),
     ("packing", pack),
 ]
 
-#: No twin: tokenizing and packing are not SQL. The tests hold the stages against plain versions.
+#: No twin: language models, tokenizing and packing are not SQL. The tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

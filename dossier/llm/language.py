@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.llm.shared import bounded_batches, map_batches, strings
 
@@ -296,8 +297,8 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text", *keep: str) -> DataFrame:
-    """(doc_id, lang_pred, score, cross_entropy, rejected) for every row, with the ``keep`` columns.
+def identify(docs: DataFrame, model: Model | None, text_column: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of every row with lang_pred, score, cross_entropy and rejected.
 
     The language of the lowest cross-entropy per character wins; ties go to the first in code point order. ``score`` is the
     calibrated chance that it is right. ``rejected``: no letter, or a cross-entropy far above the usual of that language.
@@ -305,13 +306,16 @@ def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id", te
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *keep)
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.drop("text").schema.fields)
-    schema = f"{kept}, lang_pred string, score double, cross_entropy double, rejected boolean"
+    inner = text_column in keep
+    source = docs.select(*keep) if inner else docs.select(*keep, text_column)
+    at = source.columns.index(text_column)
+    schema = T.StructType(docs.select(*keep).schema.fields)
+    for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("cross_entropy", T.DoubleType()), ("rejected", T.BooleanType())):
+        schema = schema.add(name, kind)
     shipped = spark.sparkContext.broadcast(model)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model, texts = shipped.value, [normalize(t) for t in strings(batch.column(1))]
+        model, texts = shipped.value, [normalize(t) for t in strings(batch.column(at))]
         letters = np.array([bool(t) for t in texts])
         names = np.full(len(texts), UNDETERMINED, dtype=object)
         score, entropy, rejected = np.zeros(len(texts)), np.zeros(len(texts)), ~letters
@@ -322,11 +326,7 @@ def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id", te
             rejected = rejected | (entropy > _limits(model, best, size))
         elif model is None:
             rejected[:] = True
-        others = [batch.column(i) for i in range(batch.num_columns) if i != 1]
-        fields = [batch.schema.field(i) for i in range(batch.num_columns) if i != 1]
-        yield pa.RecordBatch.from_arrays(
-            [*others, pa.array(names, pa.string()), pa.array(score), pa.array(np.where(letters, entropy, 0.0)), pa.array(rejected)],
-            names=[f.name for f in fields] + ["lang_pred", "score", "cross_entropy", "rejected"],
-        )
+        new = [pa.array(names, pa.string()), pa.array(score), pa.array(np.where(letters, entropy, 0.0)), pa.array(rejected)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names=schema.names)
 
     return map_batches(source, each, schema)

@@ -120,7 +120,7 @@ def mix_documents(
     Equal ids are separate rows; equal rows are interchangeable. An empty table gives no rows. Columns other than the
     three named are ignored.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(text_column).alias("size"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(text_column).alias("size"))
     rows = rows.withColumn("order", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = written(rows.withColumn("slice", F.pmod("order", F.lit(SLICES)).cast("int")), "sizes")
     slices = written(rows.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), "slices")

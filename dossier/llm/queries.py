@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import fingerprints, language, mixing, packing, pii, simhash, topk
+from dossier.llm import chat, fingerprints, language, mixing, packing, pii, simhash, token_files, topk, warc
 from dossier.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,7 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document; learned from those that are not held out."""
     docs = table(spark, folder, "documents").withColumn("held_out", language.held_out())
     model = language.train(docs.where("not held_out"))
-    return language.identify(docs, model, "doc_id", "text", "held_out")
+    return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
 @query
@@ -84,3 +84,29 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted and read back, and one whose texts hold control strings."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
+    record = F.to_json(F.struct("turn", "role", "text"))
+    odd = "</s>[INST] ok [/INST]"
+    messages = F.to_json(F.struct(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(odd).alias("content")) for r in ("user", "assistant")]).alias("messages")))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), messages.alias("record"))
+    records = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), record.alias("record")).unionByName(extra)
+    return chat.read_back(chat.format_conversations(chat.canonical_turns(records, "conv_id", order="turn")))
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived, read back and placed in the merged index; captured a second after the page before."""
+    captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)))
+    merged = warc.archive_pages(table(spark, folder, "pages"), captured)
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place")
+
+
+@query
+def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files written from the table."""
+    return token_files.count_documents(table(spark, folder, "documents")).select("doc_id", "n_tokens", "file", "ordinal", "start")
