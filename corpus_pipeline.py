@@ -28,6 +28,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.near_duplicates(docs)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    docs = docs.select(*DOCUMENT)
     named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*DOCUMENT)
 
@@ -40,7 +41,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that each source comes near its target; a row per copy."""
-    keyed = docs.withColumn("mix_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    keyed = docs.select(*DOCUMENT).withColumn("mix_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
     copies = mixing.mix_documents(keyed, id_column="mix_key").groupBy(F.col("doc_id").alias("mix_key")).agg(F.max("copies").alias("copies"))
     repeated = keyed.join(copies.where("copies > 0"), "mix_key")
     return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*DOCUMENT)

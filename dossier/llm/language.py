@@ -42,6 +42,8 @@ def keys_of(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
     The n-gram of a character is itself in the lowest 16 bits and the characters before it above; a text begins with
     blanks. Characters beyond the basic plane share one replacement character.
     """
+    if not texts:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     pad = " " * (order - 1)
     joined = [pad + t for t in texts]
     codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -94,6 +96,7 @@ class Model:
     grams: list[HashArray]  # order 1..n: [gram, language] log probability
     backoffs: list[HashArray]  # context length 1..n-1: [context, language] log weight
     unknown: np.ndarray  # log probability of an unseen character
+    chance: np.ndarray  # nats per character of drawing letters of the language at random
     calibration: dict
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
@@ -204,6 +207,7 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = O
     languages = sorted(counts)
     fitted = [_kneser_ney(*counts[x], order) for x in languages]
     unknown = np.log(np.array([u for *_, u in fitted], dtype=np.float64)).astype(np.float32)
+    chance = np.log([max(2, len(p[0][0])) for p, *_ in fitted])
     backoffs = [HashArray(*_union([b[n] for _, b, _ in fitted], lambda j, keys: np.zeros(len(keys)))) for n in range(order - 1)]
     arrays: list[HashArray] = []
     for n in range(1, order + 1):
@@ -211,10 +215,10 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = O
         def backed(j: int, keys: np.ndarray, n: int = n) -> np.ndarray:
             if n == 1:
                 return np.full(len(keys), unknown[j])
-            return Model(languages, arrays[: n - 1], backoffs[: n - 2], unknown, {}).log_probabilities(keys & np.uint64((1 << (16 * (n - 1))) - 1))[:, j] + _weight(backoffs[n - 2], keys >> np.uint64(16), j)
+            return Model(languages, arrays[: n - 1], backoffs[: n - 2], unknown, chance, {}).log_probabilities(keys & np.uint64((1 << (16 * (n - 1))) - 1))[:, j] + _weight(backoffs[n - 2], keys >> np.uint64(16), j)
 
         arrays.append(HashArray(*_union([p[n - 1] for p, *_ in fitted], backed)))
-    return Model(languages, arrays, backoffs, unknown, {})
+    return Model(languages, arrays, backoffs, unknown, chance, {})
 
 
 def _weight(array: HashArray, contexts: np.ndarray, j: int) -> np.ndarray:
@@ -243,7 +247,7 @@ def _calibrate(truth: np.ndarray, best: np.ndarray, lowest: np.ndarray, margin:
     usual = np.full((languages, 3), np.inf)
     for j in range(languages):
         own = (truth == j) & (best == j) & (size > 0)
-        if own.sum() >= 20:
+        if own.any():
             mean = np.average(lowest[own], weights=size[own])
             off = (lowest[own] - mean) ** 2
             usual[j] = mean, max(off.mean(), LEAST_DEVIATION**2), (off * size[own]).mean()
@@ -251,9 +255,10 @@ def _calibrate(truth: np.ndarray, best: np.ndarray, lowest: np.ndarray, margin:
 
 
 def _limits(model: Model, best: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Cross-entropy above which a text is rejected; shorter texts may be further off."""
+    """Cross-entropy above which a text is rejected: many deviations off, of which shorter texts have larger ones, and
+    nearer to random letters than to the usual text of the language."""
     mean, between, within = model.calibration["usual"][best].T
-    return mean + REJECT_SIGMAS * np.sqrt(np.maximum(between, within / np.maximum(size, 1)))
+    return np.maximum(mean + REJECT_SIGMAS * np.sqrt(np.maximum(between, within / np.maximum(size, 1))), (mean + model.chance[best]) / 2)
 
 
 def _confidence(model: Model, margin: np.ndarray, size: np.ndarray) -> np.ndarray:
