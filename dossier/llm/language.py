@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm.shared import bounded_batches, map_batches, strings
+from dossier.llm.shared import bounded_batches, map_batches, smallest, strings
 
 #: Characters in an n-gram. Four characters of 16 bits make one exact 64-bit key.
 ORDER = 4
@@ -269,8 +269,8 @@ def _confidence(model: Model, margin: np.ndarray, size: np.ndarray) -> np.ndarra
 def train(labelled: DataFrame, model_grams: int = MODEL_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """Models of all languages in ``labelled`` (doc_id, lang, text), counted over all of its texts; None without any letter.
 
-    The driver reads at most ``model_grams`` n-grams per language, which are the model, and the scores of
-    ``calibration_rows`` documents with the smallest seeded hash.
+    The driver reads at most ``model_grams`` n-grams per language, which are the model, and the scores of the
+    ``calibration_rows`` documents with the smallest seeded hash (of equal rows at the last place, so many again).
     """
     found = gram_counts(labelled.where("lang is not null and text is not null"), model_grams).toArrow()
     if not found.num_rows:
@@ -291,8 +291,8 @@ def train(labelled: DataFrame, model_grams: int = MODEL_GRAMS, calibration_rows:
         truth = [place.get(x, -1) for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(truth, pa.int64()), pa.array(best, pa.int64()), pa.array(lowest), pa.array(margin), pa.array(size, pa.int64())], names=["truth", "best", "lowest", "margin", "size"])
 
-    sample = labelled.where("lang is not null and text is not null").select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(calibration_rows)
-    rows = map_batches(sample.select("lang", "text"), each, "truth long, best long, lowest double, margin double, size long").toArrow()
+    sample = smallest(labelled.where("lang is not null and text is not null").select("lang", "text", "doc_id"), F.xxhash64("doc_id", "text", F.lit(7)), calibration_rows)
+    rows = map_batches(sample.select("lang", "text"), each, "truth long, best long, lowest double, margin double, size long").limit(2 * calibration_rows).toArrow()
     model.calibration = _calibrate(*(rows.column(c).to_numpy() for c in ("truth", "best", "lowest", "margin", "size")), len(model.languages))
     return model
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.shared import map_batches, strings, written
+from dossier.llm.shared import map_batches, smallest, strings, written
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 #: Kinds that only the method finds, in the order in which spans are listed after the base kinds.
@@ -249,7 +249,7 @@ def train(docs: DataFrame, train_spans: int = TRAIN_SPANS, text_column: str = "t
     kinds, votes, n = (np.array([r[c] for r in patterns]) for c in ("kind", "votes", "n"))
     chance, table = reliabilities(kinds, votes, n)
     known = {(r["kind"], tuple(r["votes"])): c for r, c in zip(patterns, chance, strict=True)}
-    sample = spans.orderBy("key", "kind", "votes", "active").limit(train_spans).collect()
+    sample = smallest(spans, F.col("key"), train_spans).orderBy("key", "kind", "votes", "active").limit(2 * train_spans).collect()
     weights = fit_spans([r["active"] for r in sample], np.array([known[r["kind"], tuple(r["votes"])] for r in sample]))
     return SpanModel(weights, table)
 

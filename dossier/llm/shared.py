@@ -65,3 +65,13 @@ def strings(column: pa.Array) -> list[str]:
 def word_count(text) -> Column:
     """Number of runs of anything but space and \\x09-\\x0D; null is 0."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows with the ``n`` smallest values of a numeric ``key`` (more only by ties at the last of them).
+
+    Only keys are sorted; the rows themselves stay where they are.
+    """
+    keyed = df.withColumn("_key", key)
+    last = keyed.select("_key").orderBy("_key").limit(n).agg(F.max("_key")).first()[0]
+    return keyed.where(F.col("_key") <= F.lit(last)).drop("_key")
