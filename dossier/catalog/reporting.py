@@ -90,7 +90,7 @@ def _(v):
       ('Resumen', 'Documentos', 'acta'), ('Resumen', 'Documentos', 'opinion'), ('Resumen', 'Documentos', 'regulation'),
       ('Resumen', 'Procesados', 'processed'), ('Resumen', 'Pendientes', 'pending'), ('Modulo 1', 'Empresas', 'company'), ('Modulo 1', 'Actas', 'acta'),
       ('Modulo 1', 'Opiniones', 'opinion'), ('Modulo 2', 'Regulaciones', 'regulation'), ('Modulo 2', 'Indexadas', 'indexed'), ('Modulo 2', 'Con error', 'failed'),
-      ('Modulo 3', 'Licitaciones creadas', 'tender'), ('Modulo 3', 'Checklist IA', 'tender'), ('Modulo 3', 'Documentos generados', 'none'),
+      ('Modulo 3', 'Expedientes creados', 'tender'), ('Modulo 3', 'Checklist IA', 'tender'), ('Modulo 3', 'Documentos generados', 'none'),
       ('Modulo 4', 'Expedientes validados', 'validation'), ('Modulo 4', 'Observaciones abiertas', 'open'), ('Modulo 4', 'Expedientes listos', 'ready'))
     SELECT u.id AS user_id, m.module, m.metric, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS value, CAST(coalesce(sum(r.t), 0) AS BIGINT) AS today
     FROM v_users u CROSS JOIN metrics m LEFT JOIN rows r ON r.user_id = u.id AND r.kind = m.kind GROUP BY 1, 2, 3""")

@@ -54,7 +54,7 @@ def vector_documents(v):
 
 
 @register("build_vectors", r"""
-    SELECT 'licitaciones-' || t AS namespace, t || '-' || doc_id || '-' || n AS id, n AS chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text,
+    SELECT 'documents-' || t AS namespace, t || '-' || doc_id || '-' || n AS id, n AS chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text,
            CAST(chunk_index AS VARCHAR) AS pages, CASE WHEN chunk_index % 2 = 0 THEN 'propio' ELSE 'f/' || doc_id END AS storage_path, CAST(doc_id % 25 AS VARCHAR) AS user_id, 6 AS entries
     FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'acta' ELSE 'opinion' END AS t, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS n
           FROM v_noted_chunks WHERE trim(text) <> '')""")
@@ -77,126 +77,176 @@ def _(v):
 
 
 view_sql.register_view("v_incoming", """
-    SELECT namespace, document_type, label AS doc_id, 'acta-' || label || '-' || n AS id FROM (
-      SELECT 'licitaciones-acta' AS namespace, 'acta' AS document_type, CAST(label AS BIGINT) AS label, vec_id AS n FROM embeddings WHERE label IN (SELECT doc_id FROM labels WHERE quality = 1) AND embedding[1] > 0)""")
+    SELECT namespace, document_type, doc_id, id FROM v_vectors WHERE doc_id IN (SELECT doc_id FROM labels) AND values[1] > 0 AND document_type = 'acta'""")
 
 
 def incoming(v):
-    good = v.table("labels").where("quality = 1").select("doc_id")
-    return v.vectors().where("values[0] > 0").join(good, "doc_id", "left_semi").withColumn("text", F.lit("nuevo")).select(*v.vectors().columns)
+    """New vectors for the deeds among the labelled documents; opinions of the same number stay."""
+    labelled = v.table("labels").select("doc_id")
+    columns = v.vectors().columns
+    return v.vectors().where("values[0] > 0 and document_type = 'acta'").join(labelled, "doc_id", "left_semi").withColumn("text", F.lit("nuevo")).select(*columns)
 
 
-_MAINTAINED = """SELECT id, doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM v_incoming) THEN 'nuevo' ELSE text END AS text FROM v_vectors
-    WHERE doc_id NOT IN (SELECT doc_id FROM v_incoming) OR id IN (SELECT id FROM v_incoming)"""
+_REPLACED = "document_type = 'acta' AND doc_id IN (SELECT doc_id FROM v_incoming)"
 
 
-@register("maintain_index", _MAINTAINED)
+@register("maintain_index", f"""
+    SELECT id, doc_id, CASE WHEN {_REPLACED} THEN 'nuevo' ELSE text END AS text FROM v_vectors WHERE NOT ({_REPLACED}) OR id IN (SELECT id FROM v_incoming)""")
 def _(v):
     return vectors.maintain_index(v.vectors(), incoming(v))[0].select("id", "doc_id", "text")
 
 
-@register("stale_vectors", "SELECT id, doc_id FROM v_vectors WHERE doc_id IN (SELECT doc_id FROM v_incoming) AND id NOT IN (SELECT id FROM v_incoming)")
+@register("stale_vectors", f"SELECT id, doc_id FROM v_vectors WHERE {_REPLACED} AND id NOT IN (SELECT id FROM v_incoming)")
 def _(v):
     return vectors.maintain_index(v.vectors(), incoming(v))[1].select("id", "doc_id")
 
 
+@register("index_changes", f"""
+    SELECT id, doc_id, 'upsert' AS change FROM v_incoming UNION ALL SELECT id, doc_id, 'delete' FROM v_vectors WHERE {_REPLACED} AND id NOT IN (SELECT id FROM v_incoming)""")
+def _(v):
+    upserts, deletes = vectors.index_changes(v.vectors(), incoming(v))
+    return upserts.select("id", "doc_id", F.lit("upsert").alias("change")).unionByName(deletes.select("id", "doc_id", F.lit("delete").alias("change")))
+
+
 view_sql.register_view("v_centroids", """
-    SELECT doc_id, list(m ORDER BY i) AS vector FROM (
-      SELECT CAST(label AS BIGINT) AS doc_id, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY 1""")
+    SELECT document_type, doc_id, list(m ORDER BY i) AS vector FROM (
+      SELECT document_type, doc_id, i, avg(CAST(values[i] AS DOUBLE)) AS m FROM v_vectors, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 
 
 def centroids(v):
     """Mean vector per document; the queries thus cost one comparison per vector."""
-    parts = v.vectors().select("doc_id", F.posexplode("values").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    key = vectors.DOCUMENT
+    parts = v.vectors().select(*key, F.posexplode("values").alias("i", "x")).groupBy(*key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"])
-    return parts.groupBy("doc_id").agg(listed.alias("vector")).select("doc_id", F.lit("acta").alias("document_type"), F.lit("centro").alias("query_key"), "vector")
+    return parts.groupBy(*key).agg(listed.alias("vector")).select(*key, F.lit("centro").alias("query_key"), "vector")
+
+
+def _dot_sql(a, b):
+    """Dot product summed from left to right, as the operator sums it."""
+    return f"list_reduce(list_transform(range(1, 65), lambda i: CAST({a}[i] AS DOUBLE) * CAST({b}[i] AS DOUBLE)), lambda x, y: x + y)"
+
+
+def _cosine_sql(a, b):
+    norms = f"(sqrt({_dot_sql(a, a)}) * sqrt({_dot_sql(b, b)}))"
+    return f"CASE WHEN {norms} > 0 THEN {_dot_sql(a, b)} / {norms} ELSE 0 END"
 
 
 _USABLE = "trim(text) <> '' AND NOT contains(upper(text), 'RESUMEN ESTRUCTURADO DEL ACTA')"
 
 
 @register("retrieve", f"""
-    SELECT doc_id, trim(text) AS snippet, CAST(min(rank) AS BIGINT) AS rank, max(similarity) AS similarity FROM (
-      SELECT doc_id, text, similarity, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, id) AS rank FROM (
-        SELECT x.doc_id, x.id, x.text, round(list_cosine_similarity(CAST(x.values AS DOUBLE[]), q.vector), 6) AS similarity FROM v_vectors x JOIN v_centroids q ON q.doc_id = x.doc_id))
-    WHERE rank <= 6 AND {_USABLE} GROUP BY 1, 2""")
+    SELECT document_type, doc_id, trim(text) AS snippet, CAST(min(rank) AS BIGINT) AS rank, round(max(similarity), 6) AS similarity FROM (
+      SELECT document_type, doc_id, text, similarity, row_number() OVER (PARTITION BY document_type, doc_id ORDER BY similarity DESC, id) AS rank FROM (
+        SELECT x.document_type, x.doc_id, x.id, x.text, {_cosine_sql("x.values", "q.vector")} AS similarity
+        FROM v_vectors x JOIN v_centroids q ON q.document_type = x.document_type AND q.doc_id = x.doc_id))
+    WHERE rank <= 6 AND {_USABLE} GROUP BY 1, 2, 3""")
 def _(v):
     hits = vectors.retrieve(centroids(v), v.vectors(), 6)
-    return hits.select("doc_id", "snippet", F.col("rank").cast("long").alias("rank"), "similarity")
+    return hits.select("document_type", "doc_id", "snippet", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
-_BROAD = ", ".join(f"('{k}', {hashed_vector(t)})" for k, t in vectors.BROAD_QUERIES.items())
-view_sql.register_view("v_broad_hits", f"""
-    SELECT doc_id, query_key, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS snippet, CAST(min(rank) AS BIGINT) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, query_key ORDER BY similarity DESC, id) AS rank FROM (
-        SELECT e.doc_id, q.k AS query_key, 'acta-' || doc_id || '-' || chunk_index AS id, text, round(list_dot_product(e.values, CAST(q.vec AS DOUBLE[])), 6) AS similarity
-        FROM v_embedded e, (VALUES {_BROAD}) AS q(k, vec)))
-    WHERE rank <= 6 AND {_USABLE} GROUP BY 1, 2, 3""")
+# Every conversation is a deed and an opinion of the same number; the opinion has a mark before each turn.
+view_sql.register_view("v_typed", """
+    SELECT 'acta' AS document_type, doc_id, chunk_index, text, values FROM v_embedded
+    UNION ALL SELECT 'opinion', doc_id, chunk_index, 'O ' || text, values FROM v_embedded""")
+
+
+def two_types(rows):
+    """Chunks as those of a deed and of an opinion with the same number."""
+    both = rows.withColumn("document_type", F.explode(F.array(F.lit("acta"), F.lit("opinion"))))
+    shown = F.when(F.col("document_type") == "opinion", F.concat(F.lit("O "), "text")).otherwise(F.col("text"))
+    return both.withColumn("text", shown).withColumn("namespace", F.concat(F.lit("documents-"), "document_type"))
 
 
 def typed_vectors(v):
-    return embedded(v).withColumn("document_type", F.lit("acta")).withColumn("id", F.concat_ws("-", F.lit("acta"), F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+    return two_types(embedded(v)).withColumn("id", F.concat_ws("-", "document_type", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+
+
+def typed_texts(v):
+    """Documents asked about: deeds, and opinions of odd number."""
+    return two_types(v.table("documents").select("doc_id", "text")).where("document_type = 'acta' or doc_id % 2 = 1")
+
+
+view_sql.register_view("v_asked", """
+    SELECT 'acta' AS document_type, doc_id, text FROM documents UNION ALL SELECT 'opinion', doc_id, 'O ' || text FROM documents WHERE doc_id % 2 = 1""")
+_BROAD = ", ".join(f"('{k}', {hashed_vector(t)})" for k, t in vectors.BROAD_QUERIES.items())
+view_sql.register_view("v_broad_hits", f"""
+    SELECT document_type, doc_id, query_key, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS snippet, CAST(min(rank) AS BIGINT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY document_type, doc_id, query_key ORDER BY similarity DESC, id) AS rank FROM (
+        SELECT e.document_type, e.doc_id, q.k AS query_key, e.document_type || '-' || e.doc_id || '-' || chunk_index AS id, e.text, {_cosine_sql("e.values", "q.vec")} AS similarity
+        FROM v_typed e JOIN v_asked a ON a.document_type = e.document_type AND a.doc_id = e.doc_id, (VALUES {_BROAD}) AS q(k, vec)))
+    WHERE rank <= 6 AND {_USABLE} GROUP BY 1, 2, 3, 4""")
 
 
 def broad(v):
-    texts = v.table("documents").selectExpr("doc_id", "'acta' as document_type", "text")
-    return vectors.broad_context(typed_vectors(v), turn_chunks(v), texts)
+    return vectors.broad_context(typed_vectors(v), two_types(turn_chunks(v)), typed_texts(v))
+
+
+def _fallback_sql(hits, key, chars, among="v_asked"):
+    """Documents without hits have no usable chunk here, so their text stands in."""
+    return f"""SELECT a.document_type, a.doc_id, '{key}', CASE WHEN length(a.text) <= {chars} THEN a.text ELSE rtrim(a.text[1:{chars}]) END, 1
+        FROM {among} a LEFT JOIN (SELECT DISTINCT document_type, doc_id FROM {hits}) h ON h.document_type = a.document_type AND h.doc_id = a.doc_id
+        WHERE h.doc_id IS NULL AND a.text <> ''"""
 
 
-view_sql.register_view("v_broad", """
-    SELECT doc_id, query_key, snippet, rank FROM v_broad_hits
-    UNION ALL SELECT doc_id, 'local_fallback', CASE WHEN length(text) <= 8000 THEN text ELSE rtrim(text[1:8000]) END, 1 FROM documents
-    WHERE doc_id NOT IN (SELECT doc_id FROM v_broad_hits) AND text <> ''""")
+view_sql.register_view("v_broad", f"SELECT document_type, doc_id, query_key, snippet, rank FROM v_broad_hits UNION ALL {_fallback_sql('v_broad_hits', 'local_fallback', 8000)}")
 
 
-@register("broad_context", "SELECT doc_id, query_key, snippet, rank FROM v_broad")
+@register("broad_context", "SELECT document_type, doc_id, query_key, snippet, rank FROM v_broad")
 def _(v):
-    return broad(v).select("doc_id", "query_key", "snippet", F.col("rank").cast("long").alias("rank"))
+    return broad(v).select("document_type", "doc_id", "query_key", "snippet", F.col("rank").cast("long").alias("rank"))
 
 
 _FOCUSED = ", ".join(f"('{k}', {hashed_vector(t)})" for k, t in RETRY_QUERIES.items())
+view_sql.register_view("v_typed_missing", """
+    SELECT a.document_type, a.doc_id, m.missing, a.text FROM v_missing m JOIN v_asked a ON a.doc_id = m.doc_id WHERE len(m.missing) > 0""")
 view_sql.register_view("v_focused_hits", f"""
-    SELECT doc_id, query_key, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS snippet, CAST(min(rank) AS BIGINT) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, query_key ORDER BY similarity DESC, id) AS rank FROM (
-        SELECT e.doc_id, 'retry_' || q.k AS query_key, 'acta-' || e.doc_id || '-' || chunk_index AS id, text, round(list_dot_product(e.values, CAST(q.vec AS DOUBLE[])), 6) AS similarity
-        FROM v_embedded e JOIN (SELECT DISTINCT doc_id, split_part(m, '.', 1) AS f FROM (SELECT doc_id, unnest(missing) AS m FROM v_missing)) w ON w.doc_id = e.doc_id
+    SELECT document_type, doc_id, query_key, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS snippet, CAST(min(rank) AS BIGINT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY document_type, doc_id, query_key ORDER BY similarity DESC, id) AS rank FROM (
+        SELECT e.document_type, e.doc_id, 'retry_' || q.k AS query_key, e.document_type || '-' || e.doc_id || '-' || chunk_index AS id, e.text, {_cosine_sql("e.values", "q.vec")} AS similarity
+        FROM v_typed e JOIN (SELECT DISTINCT document_type, doc_id, split_part(m, '.', 1) AS f FROM (SELECT document_type, doc_id, unnest(missing) AS m FROM v_typed_missing)) w
+          ON w.document_type = e.document_type AND w.doc_id = e.doc_id
         JOIN (VALUES {_FOCUSED}) AS q(k, vec) ON q.k = w.f))
-    WHERE rank <= 8 AND {_USABLE} GROUP BY 1, 2, 3""")
+    WHERE rank <= 8 AND {_USABLE} GROUP BY 1, 2, 3, 4""")
 
 
-@register("focused_context", """
-    SELECT doc_id, query_key, snippet, rank FROM v_focused_hits
-    UNION ALL SELECT doc_id, 'retry_local_fallback', CASE WHEN length(text) <= 10000 THEN text ELSE rtrim(text[1:10000]) END, 1 FROM documents
-    WHERE doc_id NOT IN (SELECT doc_id FROM v_focused_hits) AND doc_id IN (SELECT doc_id FROM v_missing WHERE len(missing) > 0)""")
+@register("focused_context", f"""
+    SELECT document_type, doc_id, query_key, snippet, rank FROM v_focused_hits
+    UNION ALL {_fallback_sql("v_focused_hits", "retry_local_fallback", 10000, "v_typed_missing")}""")
 def _(v):
-    texts = v.table("documents").selectExpr("doc_id", "'acta' as document_type", "text")
-    found = vectors.focused_context(missing(v), typed_vectors(v), turn_chunks(v), texts)
-    return found.select("doc_id", "query_key", "snippet", F.col("rank").cast("long").alias("rank"))
+    texts = typed_texts(v)
+    typed = missing(v).join(texts.select(*vectors.DOCUMENT), "doc_id")
+    found = vectors.focused_context(typed, typed_vectors(v), two_types(turn_chunks(v)), texts)
+    return found.select("document_type", "doc_id", "query_key", "snippet", F.col("rank").cast("long").alias("rank"))
 
 
 @register("fallback_snippets", """
-    SELECT doc_id, text AS snippet, CAST(rank AS BIGINT) AS rank FROM (
-      SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS rank FROM v_turns WHERE text NOT IN ('', '0')) WHERE rank <= 3
-    UNION ALL SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE rtrim(text[1:500]) END, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v_turns)""")
+    SELECT document_type, doc_id, snippet, CAST(rank AS BIGINT) AS rank FROM (
+      SELECT e.document_type, e.doc_id, e.text AS snippet, row_number() OVER (PARTITION BY e.document_type, e.doc_id ORDER BY chunk_index) AS rank
+      FROM v_typed e JOIN v_asked a ON a.document_type = e.document_type AND a.doc_id = e.doc_id WHERE e.text NOT IN ('', '0')) WHERE rank <= 8
+    UNION ALL SELECT document_type, doc_id, CASE WHEN length(text) <= 8000 THEN text ELSE rtrim(text[1:8000]) END, 1 FROM v_asked WHERE doc_id NOT IN (SELECT doc_id FROM v_turns)""")
 def _(v):
-    found = vectors.fallback_snippets(turn_chunks(v), v.texts("documents").select("doc_id", "text"), 3, 500)
-    return found.select("doc_id", "snippet", F.col("rank").cast("long").alias("rank"))
+    found = vectors.fallback_snippets(two_types(turn_chunks(v)), typed_texts(v), *vectors.BROAD_FALLBACK)
+    return found.select("document_type", "doc_id", "snippet", F.col("rank").cast("long").alias("rank"))
 
 
-@register("snippet_counts", "SELECT doc_id, count(*) AS match_count, string_agg(DISTINCT query_key, ',' ORDER BY query_key) AS queries_used FROM v_broad GROUP BY 1")
+@register("snippet_counts", "SELECT document_type, doc_id, count(*) AS match_count, string_agg(DISTINCT query_key, ',' ORDER BY query_key) AS queries_used FROM v_broad GROUP BY 1, 2")
 def _(v):
-    return vectors.snippet_counts(broad(v)).withColumn("queries_used", F.array_join("queries_used", ","))
+    return vectors.snippet_counts(broad(v)).select("document_type", "doc_id", "match_count", F.array_join("queries_used", ",").alias("queries_used"))
 
 
 @register("format_context", r"""
-    SELECT d.doc_id, coalesce(c.context, 'Sin contexto recuperado.') AS context FROM documents d LEFT JOIN (
-      SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY role) AS context FROM (
-        SELECT doc_id, role, upper(role) || ':' || chr(10) || string_agg('[' || (idx + 1) || '] ' || CASE WHEN length(s) <= 300 THEN s ELSE rtrim(s[1:300]) END, chr(10) ORDER BY idx) AS block FROM (
-          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY role, idx) AS n FROM (
-            SELECT conv_id AS doc_id, role, turn AS idx, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS s FROM conversations)) WHERE n <= 5 GROUP BY 1, 2) GROUP BY 1) c ON c.doc_id = d.doc_id""")
+    SELECT d.document_type, d.doc_id, coalesce(c.context, 'Sin contexto recuperado.') AS context FROM v_asked d LEFT JOIN (
+      SELECT document_type, doc_id, string_agg(block, chr(10) || chr(10) ORDER BY role) AS context FROM (
+        SELECT document_type, doc_id, role, upper(role) || ':' || chr(10) || string_agg('[' || (idx + 1) || '] ' || CASE WHEN length(s) <= 1800 THEN s ELSE rtrim(s[1:1800]) END, chr(10) ORDER BY idx) AS block FROM (
+          SELECT *, row_number() OVER (PARTITION BY document_type, doc_id ORDER BY role, idx) AS n FROM (
+            SELECT t.document_type, conv_id AS doc_id, role, turn AS idx, trim(CASE WHEN t.document_type = 'opinion' THEN 'O ' ELSE '' END || text, ' ' || chr(9) || chr(10) || chr(13)) AS s
+            FROM conversations, (VALUES ('acta'), ('opinion')) AS t(document_type))) WHERE n <= 10 GROUP BY 1, 2, 3) GROUP BY 1, 2) c
+      ON c.document_type = d.document_type AND c.doc_id = d.doc_id""")
 def _(v):
-    snippets = v.table("conversations").selectExpr("conv_id as doc_id", "role as query_order", "role as query_key", "turn as idx", "text as snippet")
-    return vectors.format_context(v.table("documents"), snippets, max_snippets=5, max_chars=300)
+    turns = two_types(v.table("conversations").selectExpr("conv_id as doc_id", "role as query_order", "role as query_key", "turn as idx", "text"))
+    texts = typed_texts(v)
+    return vectors.format_context(texts, turns.withColumnRenamed("text", "snippet"), max_snippets=10).select("document_type", "doc_id", "context")
 
 
 @register("reindex_vectors", r"""

@@ -189,11 +189,11 @@ VIEW_SQL: dict[str, str] = {
         SELECT doc_id, field, (['llm', 'vision', 'desconocida'])[CAST((doc_id + length(field)) % 3 AS INTEGER) + 1] AS source_key, 'revision manual' AS reason
         FROM documents, (VALUES ('acto'), ('libro_numero'), ('rpc_folio')) AS t(field)""",
     "v_vectors": """
-        SELECT 'licitaciones-acta' AS namespace, 'acta-' || CAST(label AS VARCHAR) || '-' || CAST(vec_id AS VARCHAR) AS id,
-               CAST(label AS BIGINT) AS doc_id, 'acta' AS document_type, vec_id AS chunk_index, embedding AS values,
+        SELECT 'documents-' || document_type AS namespace, document_type || '-' || CAST(label AS VARCHAR) || '-' || CAST(vec_id AS VARCHAR) AS id,
+               CAST(label AS BIGINT) AS doc_id, document_type, vec_id AS chunk_index, embedding AS values,
                CASE WHEN vec_id % 10 = 0 THEN ' ' WHEN vec_id % 10 = 1 THEN 'Resumen estructurado del acta x'
                     ELSE 'fragmento ' || CAST(vec_id % 37 AS VARCHAR) END AS text
-        FROM embeddings""",
+        FROM (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 'opinion' ELSE 'acta' END AS document_type FROM embeddings)""",
 }
 
 

@@ -87,7 +87,7 @@ DASHBOARD = [
     ("Modulo 2", "Regulaciones", ["regulation"], True),
     ("Modulo 2", "Indexadas", ["index:indexed"], True),
     ("Modulo 2", "Con error", ["index:failed"], True),
-    ("Modulo 3", "Licitaciones creadas", ["tender"], True),
+    ("Modulo 3", "Expedientes creados", ["tender"], True),
     ("Modulo 3", "Checklist IA", ["tender"], True),
     ("Modulo 3", "Documentos generados", [], False),
     ("Modulo 4", "Expedientes validados", ["validation:reviewed", "validation:draft", "validation:ready_for_export"], True),

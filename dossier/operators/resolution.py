@@ -6,6 +6,7 @@ per (doc_id, field, source_key). Scalar fields use ``value``, list fields hold J
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
@@ -310,12 +311,12 @@ def provenance(scored: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.select("doc_id", trail.alias("extraction_source"), "field_sources", "field_confidence")
 
 
-def retry_queries(missing: DataFrame) -> DataFrame:
-    """Focused query per missing top-level field."""
+def retry_queries(missing: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Focused query per missing top-level field; ``key`` names the document."""
     texts = F.create_map(*[F.lit(x) for x in chain.from_iterable(RETRY_QUERIES.items())])
     return (
-        missing.select("doc_id", F.explode(top_fields(F.col("missing"))).alias("top"))
-        .select("doc_id", F.concat(F.lit("retry_"), "top").alias("query_key"), F.element_at(texts, F.col("top")).alias("query_text"))
+        missing.select(*key, F.explode(top_fields(F.col("missing"))).alias("top"))
+        .select(*key, F.concat(F.lit("retry_"), "top").alias("query_key"), F.element_at(texts, F.col("top")).alias("query_text"))
         .where(F.col("query_text").isNotNull())
     )
 

@@ -22,6 +22,11 @@ BROAD_QUERIES = {
     "notaria_instrumento": "notaría número, lugar de notaría, nombre completo del notario, escritura número, libro número, fecha de inscripción, acto jurídico",
 }
 BROAD_K, FOCUSED_K = 6, 8
+# Snippets and characters of the fallback, broad and focused.
+BROAD_FALLBACK, FOCUSED_FALLBACK = (8, 8000), (10, 10000)
+NAMESPACE_PREFIX = "documents-"
+# What names a document: ids are only unique within a type, and types within a namespace.
+DOCUMENT = ["namespace", "document_type", "doc_id"]
 
 
 def merge_metadata(base: Column, *more: Column) -> Column:
@@ -39,7 +44,7 @@ def clean_metadata(m: Column) -> Column:
     return F.map_filter(trimmed, lambda _, value: value.isNotNull() & (value != ""))
 
 
-def build_vectors(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+def build_vectors(chunks: DataFrame, documents: DataFrame, prefix: str = NAMESPACE_PREFIX) -> DataFrame:
     """Vector rows without values: ids, namespace and merged metadata. Blank chunks are dropped before numbering.
 
     ``chunks``: ``(doc_id, chunk_index, text, metadata)``; ``documents``: ``(doc_id, document_type, storage_path, user_id)``. The text
@@ -57,21 +62,29 @@ def build_vectors(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     own = clean_metadata(F.coalesce("metadata", F.create_map().cast("map<string,string>")))
     prepared = joined.withColumn("_base", base).withColumn("_own", own)
     return prepared.select(
-        F.concat(F.lit("licitaciones-"), "document_type").alias("namespace"),
+        F.concat(F.lit(prefix), "document_type").alias("namespace"),
         F.concat_ws("-", base_id, index).alias("id"),
         "doc_id", "document_type", "chunk_index", "text",
         merge_metadata(F.col("_base"), F.col("_own"), F.create_map(F.lit("chunk_index"), index)).alias("metadata"),
     )
 
 
-_DOCUMENT = ["namespace", "document_type", "doc_id"]
+def index_changes(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an index must do to hold the incoming documents' vectors instead of its own: rows to upsert, keys to delete.
+
+    Only vectors of the incoming documents are looked at; apply both per partition of the document key. Repeating them
+    changes nothing.
+    """
+    documents = incoming.select(*DOCUMENT).distinct()
+    mine = current.select(*DOCUMENT, "id").join(documents, DOCUMENT, "left_semi")
+    return incoming, mine.join(incoming.select("namespace", "id"), ["namespace", "id"], "left_anti")
 
 
 def maintain_index(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index after replacing the vectors of the incoming documents, and the stale rows that go away."""
-    documents = incoming.select(*_DOCUMENT).distinct()
-    untouched = current.join(documents, _DOCUMENT, "left_anti")
-    deleted = current.join(documents, _DOCUMENT, "left_semi").join(incoming.select("namespace", "id"), ["namespace", "id"], "left_anti")
+    """The whole index after :func:`index_changes`, for indexes small enough to be written anew, and the stale rows."""
+    documents = incoming.select(*DOCUMENT).distinct()
+    untouched = current.join(documents, DOCUMENT, "left_anti")
+    deleted = current.join(documents, DOCUMENT, "left_semi").join(incoming.select("namespace", "id"), ["namespace", "id"], "left_anti")
     return untouched.unionByName(incoming), deleted
 
 
@@ -86,46 +99,52 @@ def is_synthetic_summary(text: Column) -> Column:
 def _snippets(ranked: DataFrame) -> DataFrame:
     """Usable snippets of ranked hits; repeated texts keep their best rank."""
     usable = ranked.where((F.coalesce(strip(F.col("text")), F.lit("")) != "") & ~is_synthetic_summary(F.col("text")))
-    return usable.groupBy("doc_id", "query_key", strip(F.col("text")).alias("snippet")).agg(
+    return usable.groupBy(*DOCUMENT, "query_key", strip(F.col("text")).alias("snippet")).agg(
         F.min("rank").alias("rank"), F.max("similarity").alias("similarity")
     )
 
 
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    """Snippets of the first ``k`` hits per document and query, ranked by the full similarity, then id."""
+    return _snippets(top_per_key(scored, [*DOCUMENT, "query_key"], [F.desc("similarity"), F.asc("id")], k, rank="rank"))
+
+
 def retrieve(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Top ``k`` chunks per query inside its document, by cosine.
 
-    ``queries``: ``(doc_id, document_type, query_key, vector)``. Queries and vectors meet on the document key before any
-    similarity is computed, the vectors are dropped right after it, and the cut to ``k`` starts on the map side.
+    ``queries``: ``(namespace, document_type, doc_id, query_key, vector)``. Queries and vectors meet on the document key
+    before any similarity is computed, the vectors are dropped right after it, and the cut to ``k`` starts on the map side.
     Filtering happens after the cut, so fewer than ``k`` snippets may remain.
     """
-    pairs = vectors.select("doc_id", "document_type", "id", "text", "values").join(
-        queries.select("doc_id", "document_type", "query_key", "vector"), ["doc_id", "document_type"]
-    )
-    scored = pairs.select("doc_id", "query_key", "id", "text", F.round(cosine(F.col("values"), F.col("vector")), 6).alias("similarity"))
-    return _snippets(top_per_key(scored, ["doc_id", "query_key"], [F.desc("similarity"), F.asc("id")], k, rank="rank"))
+    pairs = vectors.select(*DOCUMENT, "id", "text", "values").join(queries.select(*DOCUMENT, "query_key", "vector"), DOCUMENT)
+    return _best(pairs.select(*DOCUMENT, "query_key", "id", "text", cosine(F.col("values"), F.col("vector")).alias("similarity")), k)
 
 
 def broad_context(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = BROAD_K) -> DataFrame:
     """Snippets of the four general queries, else the first chunks of a document whose queries all came back empty.
 
-    The queries are the same for every document, so they are attached as literals instead of being joined.
+    Only vectors and chunks of the given documents count. The queries are the same for every document, so they are
+    attached as literals instead of being joined.
     """
     canned = F.array(
         *[F.struct(F.lit(key).alias("query_key"), F.array(*[F.lit(x) for x in hashed_vector(text)]).alias("vector")) for key, text in BROAD_QUERIES.items()]
     )
-    scored = vectors.select("doc_id", "id", "text", "values", F.explode(canned).alias("q")).select(
-        "doc_id", "q.query_key", "id", "text", F.round(cosine(F.col("values"), F.col("q.vector")), 6).alias("similarity")
+    own = vectors.join(documents.select(*DOCUMENT), DOCUMENT, "left_semi")
+    scored = own.select(*DOCUMENT, "id", "text", "values", F.explode(canned).alias("q")).select(
+        *DOCUMENT, "q.query_key", "id", "text", cosine(F.col("values"), F.col("q.vector")).alias("similarity")
     )
-    hits = _snippets(top_per_key(scored, ["doc_id", "query_key"], [F.desc("similarity"), F.asc("id")], k, rank="rank"))
-    return _with_fallback(hits, chunks, documents, "local_fallback", 8, 8000)
+    return _with_fallback(_best(scored, k), chunks, documents, "local_fallback", *BROAD_FALLBACK)
 
 
 def focused_context(missing: DataFrame, vectors: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = FOCUSED_K) -> DataFrame:
-    """Snippets for the missing fields of each document, with the same kind of fallback."""
-    queries = embed_chunks(retry_queries(missing), text="query_text", out="vector")
-    typed = queries.join(documents.select("doc_id", "document_type"), "doc_id")
-    asked = missing.where(F.size("missing") > 0).select("doc_id")
-    return _with_fallback(retrieve(typed, vectors, k), chunks, documents, "retry_local_fallback", 10, 10000).join(asked, "doc_id", "left_semi")
+    """Snippets for the missing fields of each document, with the same kind of fallback.
+
+    ``missing``: the document key and the array ``missing``.
+    """
+    queries = embed_chunks(retry_queries(missing, DOCUMENT), text="query_text", out="vector")
+    asked = missing.where(F.size("missing") > 0).select(*DOCUMENT)
+    found = _with_fallback(retrieve(queries, vectors, k), chunks, documents, "retry_local_fallback", *FOCUSED_FALLBACK)
+    return found.join(asked, DOCUMENT, "left_semi")
 
 
 def _with_fallback(hits: DataFrame, chunks: DataFrame, documents: DataFrame, key: str, n: int, max_chars: int) -> DataFrame:
@@ -135,47 +154,48 @@ def _with_fallback(hits: DataFrame, chunks: DataFrame, documents: DataFrame, key
     instead of once per branch. The window sees at most queries times k plus ``n`` rows per document.
     """
     local = fallback_snippets(chunks, documents, n, max_chars).select(
-        "doc_id", F.lit(key).alias("query_key"), "snippet", "rank", F.lit(None).cast("double").alias("similarity"), F.lit(0).alias("_hit")
+        *DOCUMENT, F.lit(key).alias("query_key"), "snippet", "rank", F.lit(None).cast("double").alias("similarity"), F.lit(0).alias("_hit")
     )
     both = hits.withColumn("_hit", F.lit(1)).unionByName(local)
-    found = both.withColumn("_found", F.max("_hit").over(Window.partitionBy("doc_id")))
+    found = both.withColumn("_found", F.max("_hit").over(Window.partitionBy(*DOCUMENT)))
     return found.where(F.col("_hit") == F.col("_found")).drop("_hit", "_found")
 
 
 def fallback_snippets(chunks: DataFrame, documents: DataFrame, n: int, max_chars: int) -> DataFrame:
     """First ``n`` non-empty chunks of a document, or the head of its text when it has none."""
-    usable = chunks.where((F.col("text") != "") & (F.col("text") != "0"))
-    first = top_per_key(usable, ["doc_id"], [F.asc("chunk_index")], n, rank="rank").select("doc_id", F.col("text").alias("snippet"), "rank")
-    bare = documents.where(F.col("text") != "").join(chunks.select("doc_id"), "doc_id", "left_anti")
-    return first.unionByName(bare.select("doc_id", limit_text(F.col("text"), max_chars).alias("snippet"), F.lit(1).alias("rank")))
+    own = chunks.join(documents.select(*DOCUMENT), DOCUMENT, "left_semi")
+    usable = own.where((F.col("text") != "") & (F.col("text") != "0"))
+    first = top_per_key(usable, DOCUMENT, [F.asc("chunk_index")], n, rank="rank").select(*DOCUMENT, F.col("text").alias("snippet"), "rank")
+    bare = documents.where(F.col("text") != "").join(chunks.select(*DOCUMENT), DOCUMENT, "left_anti")
+    return first.unionByName(bare.select(*DOCUMENT, limit_text(F.col("text"), max_chars).alias("snippet"), F.lit(1).alias("rank")))
 
 
 def format_context(documents: DataFrame, snippets: DataFrame, max_snippets: int = 0, max_chars: int = 1800) -> DataFrame:
     """Prompt block per document: a heading per query, then its numbered snippets.
 
-    ``snippets``: ``(doc_id, query_order, query_key, idx, snippet)`` with ``idx`` from zero. A document has at most queries times k
+    ``snippets``: the document key and ``(query_order, query_key, idx, snippet)`` with ``idx`` from zero. A document has at most queries times k
     snippets, so the window is small by construction.
     """
     usable = snippets.where(F.coalesce(strip(F.col("snippet")), F.lit("")) != "")
-    order = Window.partitionBy("doc_id").orderBy("query_order", "idx")
+    order = Window.partitionBy(*DOCUMENT).orderBy("query_order", "idx")
     numbered = usable.withColumn("n", F.row_number().over(order))
     kept = numbered.where(F.col("n") <= max_snippets) if max_snippets > 0 else numbered
     line = F.concat(F.lit("["), (F.col("idx") + 1).cast("string"), F.lit("] "), limit_text(strip(F.col("snippet")), max_chars))
-    blocks = kept.groupBy("doc_id", "query_order", "query_key").agg(
+    blocks = kept.groupBy(*DOCUMENT, "query_order", "query_key").agg(
         F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("lines")
     ).select(
-        "doc_id", "query_order",
+        *DOCUMENT, "query_order",
         F.concat(F.upper("query_key"), F.lit(":\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("block"),
     )
-    texts = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("query_order", "block"))).alias("b")).select(
-        "doc_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context")
+    texts = blocks.groupBy(*DOCUMENT).agg(F.array_sort(F.collect_list(F.struct("query_order", "block"))).alias("b")).select(
+        *DOCUMENT, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context")
     )
-    return documents.select("doc_id").join(texts, "doc_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
+    return documents.select(*DOCUMENT).join(texts, DOCUMENT, "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
 
 
 def snippet_counts(snippets: DataFrame) -> DataFrame:
     """Snippets and queries used per document."""
-    return snippets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("match_count"), F.sort_array(F.collect_set("query_key")).alias("queries_used"))
+    return snippets.groupBy(*DOCUMENT).agg(F.count(F.lit(1)).alias("match_count"), F.sort_array(F.collect_set("query_key")).alias("queries_used"))
 
 
 def reindex(index: DataFrame, stored: DataFrame, page_map: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -344,11 +344,13 @@ class Views:
         )
 
     def vectors(self) -> DataFrame:
-        return self.table("embeddings").selectExpr(
-            "concat('licitaciones-acta') as namespace",
-            "concat('acta-', cast(label as string), '-', cast(vec_id as string)) as id",
+        """Vectors of deeds and opinions that share their numbers."""
+        typed = self.table("embeddings").selectExpr("*", "case when vec_id % 3 = 0 then 'opinion' else 'acta' end as document_type")
+        return typed.selectExpr(
+            "concat('documents-', document_type) as namespace",
+            "concat(document_type, '-', cast(label as string), '-', cast(vec_id as string)) as id",
             "cast(label as bigint) as doc_id",
-            "'acta' as document_type",
+            "document_type",
             "vec_id as chunk_index",
             "embedding as values",
             """case when vec_id % 10 = 0 then ' ' when vec_id % 10 = 1 then 'Resumen estructurado del acta x'

@@ -11,7 +11,7 @@ ROW = "namespace string, document_type string, doc_id long, id string, text stri
 
 
 def row(doc, i, text="t"):
-    return ("licitaciones-acta", "acta", doc, f"acta-{doc}-{i}", text)
+    return ("documents-acta", "acta", doc, f"acta-{doc}-{i}", text)
 
 
 def test_maintenance_is_idempotent_and_keeps_prefixes_apart(spark):
@@ -26,15 +26,35 @@ def test_maintenance_is_idempotent_and_keeps_prefixes_apart(spark):
     assert vectors_for_document(current, wanted).count() == 3
 
 
-def test_retrieval_filters_after_the_cut(spark):
-    schema = "doc_id long, document_type string, id string, text string, values array<double>"
+def test_retrieval_filters_after_the_cut_and_keeps_types_apart(spark):
+    schema = "namespace string, document_type string, doc_id long, id string, text string, values array<double>"
     rows = [
-        (1, "acta", "a", "igual", [1.0, 0.0]), (1, "acta", "b", "igual ", [1.0, 0.0]), (1, "acta", "c", "resumen estructurado del acta", [0.9, 0.1]),
-        (1, "acta", "d", "lejos", [0.0, 1.0]), (1, "acta", "e", "nulo", [0.0, 0.0]), (2, "acta", "f", "otro", [1.0, 0.0]),
+        ("n", "acta", 1, "a", "igual", [1.0, 0.0]), ("n", "acta", 1, "b", "igual ", [1.0, 0.0]), ("n", "acta", 1, "c", "resumen estructurado del acta", [0.9, 0.1]),
+        ("n", "acta", 1, "d", "lejos", [0.0, 1.0]), ("n", "acta", 1, "e", "nulo", [0.0, 0.0]), ("n", "acta", 2, "f", "otro", [1.0, 0.0]),
+        ("n", "opinion", 1, "g", "de la opinión", [0.5, 0.5]), ("m", "acta", 1, "h", "de otro índice", [1.0, 0.0]),
     ]
-    queries = spark.createDataFrame([(1, "acta", "q", [1.0, 0.0])], "doc_id long, document_type string, query_key string, vector array<double>")
-    found = vectors.retrieve(queries, spark.createDataFrame(rows, schema), 3).collect()
-    assert [(r["snippet"], r["rank"]) for r in found] == [("igual", 1)]
+    asked = "namespace string, document_type string, doc_id long, query_key string, vector array<double>"
+    queries = spark.createDataFrame([("n", "acta", 1, "q", [1.0, 0.0]), ("n", "opinion", 1, "q", [1.0, 0.0])], asked)
+    table = spark.createDataFrame(rows, schema)
+    assert {(r["document_type"], r["snippet"], r["rank"]) for r in vectors.retrieve(queries, table, 3).collect()} == {("acta", "igual", 1), ("opinion", "de la opinión", 1)}
+    assert len(vectors.retrieve(queries, table, 1).collect()) == 2
+    documents = spark.createDataFrame([("n", "acta", 1, "t")], "namespace string, document_type string, doc_id long, text string")
+    none = spark.createDataFrame([], "namespace string, document_type string, doc_id long, chunk_index int, text string")
+    wide = table.withColumn("values", F.array(*[F.get("values", F.lit(i % 2)) for i in range(64)]))
+    assert {(r["namespace"], r["document_type"]) for r in vectors.broad_context(wide, none, documents).collect()} == {("n", "acta")}
+
+
+def test_ranking_uses_the_full_similarity(spark):
+    schema = "namespace string, document_type string, doc_id long, id string, text string, values array<double>"
+    table = spark.createDataFrame([("n", "t", 1, "a", "segundo", [1.0, 1e-4]), ("n", "t", 1, "b", "primero", [1.0, 0.9e-4])], schema)
+    queries = spark.createDataFrame([("n", "t", 1, "q", [1.0, 0.0])], "namespace string, document_type string, doc_id long, query_key string, vector array<double>")
+    assert [r["snippet"] for r in vectors.retrieve(queries, table, 1).collect()] == ["primero"]
+
+
+def test_index_changes(spark):
+    current = spark.createDataFrame([row(1, 0), row(1, 1), row(11, 0)], ROW)
+    upserts, deletes = vectors.index_changes(current, spark.createDataFrame([row(1, 0, "nuevo")], ROW))
+    assert [r["id"] for r in upserts.collect()] == ["acta-1-0"] and [r["id"] for r in deletes.collect()] == ["acta-1-1"]
 
 
 def test_embedding(spark):
