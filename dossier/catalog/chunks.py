@@ -13,7 +13,7 @@ from dossier.operators import chunk_quality, chunking
       SELECT doc_id, s, trim(substr(t, CAST(s + 1 AS BIGINT), 1200)) AS chunk FROM (
         SELECT doc_id, t, unnest(range(0, length(t), 1050)) AS s FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents))) WHERE chunk <> ''""")
 def _(v):
-    return chunking.chunk_fixed(v.texts("documents").select("doc_id", "text"))
+    return chunking.chunk_fixed(v.table("documents").select("doc_id", "text"))
 
 
 view_sql.register_view("v_paragraphs", r"""
@@ -51,7 +51,7 @@ def _(v):
     SELECT doc_id, CAST(unnest(range(len(ps))) AS INTEGER) AS piece_index, unnest(ps) AS text
     FROM (SELECT doc_id, {pieces_sql('t')} AS ps FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents))""")
 def _(v):
-    return v.texts("documents").select("doc_id", F.posexplode(chunking.split_oversized(F.col("text"))).alias("piece_index", "text"))
+    return v.table("documents").select("doc_id", F.posexplode(chunking.split_oversized(F.col("text"))).alias("piece_index", "text"))
 
 
 view_sql.register_view("v_packed", f"""
@@ -81,7 +81,7 @@ view_sql.register_view("v_loose_documents", """
 
 
 def page_chunks(v):
-    documents = v.texts("documents").select("doc_id", "text")
+    documents = v.table("documents").select("doc_id", "text")
     return chunking.chunk_pages(v.pages(), documents)
 
 
@@ -98,7 +98,7 @@ view_sql.register_view("v_turns", "SELECT conv_id AS doc_id, CAST(turn AS INTEGE
 
 
 def turns(v):
-    return v.texts("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
+    return v.table("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
 
 
 @register("chunk_page_map", """
@@ -111,10 +111,10 @@ def _(v):
 
 
 @register("attach_page_map", r"""
-    SELECT doc_id, chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, CASE WHEN length(text) > 500 THEN (chunk_index + 1) || ',' || (chunk_index + 2) END AS page_numbers_csv,
-           CASE WHEN length(text) > 500 THEN chunk_index + 1 END AS primary_page FROM v_turns WHERE trim(text) <> ''""")
+    SELECT doc_id, chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, CASE WHEN chunk_index <> 1 THEN (chunk_index + 1) || ',' || (chunk_index + 2) END AS page_numbers_csv,
+           CASE WHEN chunk_index <> 1 THEN chunk_index + 1 END AS primary_page FROM v_turns WHERE trim(text) <> ''""")
 def _(v):
-    stored = turns(v).where("length(text) > 500").withColumn("page_numbers", F.expr("array(chunk_index + 1, chunk_index + 2)"))
+    stored = turns(v).withColumn("page_numbers", F.expr("case when chunk_index <> 1 then array(chunk_index + 1, chunk_index + 2) end"))
     return chunking.attach_page_map(turns(v), stored).select("doc_id", "chunk_index", "text", "page_numbers_csv", "primary_page")
 
 
@@ -129,7 +129,7 @@ view_sql.register_view("v_quality", rf"""
     FROM (SELECT doc_id, page_number, {_TRIM} AS t FROM v_quality_texts)""")
 view_sql.register_view("v_quality_texts", """
     SELECT doc_id, page_number, text FROM v_pages
-    UNION ALL SELECT doc_id + 100000, 0, CASE WHEN doc_id % 4 = 0 THEN text ELSE substr(text, 1, 60) || chr(10) || 'a' || chr(10) || 'b1' || chr(10) || chr(10) || 'c' || chr(10) || '7 £ pa''labra' END FROM documents""")
+    UNION ALL SELECT doc_id + 100000, 0, CASE WHEN doc_id % 4 = 0 THEN text ELSE text || chr(10) || 'a' || chr(10) || 'b1' || chr(10) || chr(10) || 'c' || chr(10) || '7 £ pa''labra' END FROM documents""")
 _SUM = "q_empty + q_tilde + q_glyph + q_mixed + q_quote + q_short + q_symbol"
 
 
@@ -138,9 +138,9 @@ _SUM = "q_empty + q_tilde + q_glyph + q_mixed + q_quote + q_short + q_symbol"
            CAST((CASE WHEN q_empty > 0 THEN 1 ELSE 0 END) + (CASE WHEN q_tilde > 0 THEN 1 ELSE 0 END) + (CASE WHEN q_glyph > 0 THEN 1 ELSE 0 END)
              + q_mixed + q_quote + (CASE WHEN q_short > 0 THEN 1 ELSE 0 END) + q_symbol AS BIGINT) AS reasons FROM v_quality""")
 def _(v):
-    extra = v.texts("documents").selectExpr(
+    extra = v.table("documents").selectExpr(
         "doc_id + 100000 as doc_id", "0L as page_number",
-        r"""case when doc_id % 4 = 0 then text else concat(substr(text, 1, 60), '\na\nb1\n\nc\n7 £ pa\'labra') end as text""",
+        r"""case when doc_id % 4 = 0 then text else concat(text, '\na\nb1\n\nc\n7 £ pa\'labra') end as text""",
     )
     rated = chunk_quality.chunk_quality(v.pages().unionByName(extra))
     return rated.select("doc_id", "page_number", F.col("score").cast("long").alias("score"), "suspicious", F.size("reasons").cast("long").alias("reasons"))

@@ -120,11 +120,11 @@ def _(v):
     return rows.withColumn("iso", dates.normalize_date(F.col("raw")))
 
 
-_ODD = "CASE doc_id % 9 WHEN 0 THEN ' N/A ' WHEN 1 THEN 'sin   datos' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN ' s/d' WHEN 5 THEN 'folio' WHEN 6 THEN ' 12*34 ' WHEN 7 THEN 'a b' ELSE left(text, 40) END"
+_ODD = "CASE doc_id % 9 WHEN 0 THEN ' N/A ' WHEN 1 THEN 'sin   datos' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN ' s/d' WHEN 5 THEN 'folio' WHEN 6 THEN ' 12*34 ' WHEN 7 THEN 'a b' ELSE text END"
 
 
 def odd_values(v):
-    return v.texts("documents").selectExpr("doc_id", f"{_ODD} as value")
+    return v.table("documents").selectExpr("doc_id", f"{_ODD} as value")
 
 
 @register("null_like", f"SELECT doc_id, coalesce(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) IN ({_NULLS}), FALSE) AS null_like, {meaningful_sql('value')} AS meaningful FROM (SELECT doc_id, {_ODD} AS value FROM documents)")
@@ -162,12 +162,12 @@ def _(v):
 
 @register("sanitize_acts", f"""
     SELECT doc_id, {act_sql('raw')} AS act, {act_sql('raw', 0)} AS act_on_save FROM (
-      SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Contratación de  obra' WHEN 1 THEN left(text, 100) WHEN 2 THEN 'Poder; ' || left(text, 90) || ' .,' WHEN 3 THEN 'ab' ELSE text END AS raw FROM documents)""")
+      SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Contratación de  obra' WHEN 1 THEN reverse(text) WHEN 2 THEN 'Poder; ' || text || ' .,' WHEN 3 THEN 'ab' ELSE text END AS raw FROM documents)""")
 def _(v):
     raw = F.expr(
-        "case doc_id % 5 when 0 then 'Contratación de  obra' when 1 then left(text, 100) when 2 then concat('Poder; ', left(text, 90), ' .,') when 3 then 'ab' else text end"
+        "case doc_id % 5 when 0 then 'Contratación de  obra' when 1 then reverse(text) when 2 then concat('Poder; ', text, ' .,') when 3 then 'ab' else text end"
     )
-    rows = v.texts("documents").select("doc_id", raw.alias("raw"))
+    rows = v.table("documents").select("doc_id", raw.alias("raw"))
     return rows.select("doc_id", values.sanitize_act(F.col("raw")).alias("act"), values.sanitize_act(F.col("raw"), on_save=True).alias("act_on_save"))
 
 
@@ -433,11 +433,11 @@ def _(v):
 @register("attempt_rollup", """
     SELECT conv_id AS doc_id, coalesce(sum(length(text) % 7) FILTER (turn > 1), 0)::BIGINT AS images_used, coalesce(sum(length(text)) FILTER (turn > 1), 0)::BIGINT AS elapsed_ms,
            count(*) FILTER (turn > 1) AS attempts, coalesce(bool_or(turn > 1 AND length(text) > 900), FALSE) AS budget_exhausted,
-           CASE WHEN bool_or(role = 'user') AND bool_or(role = 'assistant') THEN 2 ELSE 1 END AS engines,
+           count(DISTINCT role)::INTEGER AS engines,
            string_agg(CASE WHEN length(text) % 3 = 0 THEN 'http_' || turn END, ' | ' ORDER BY turn) AS errors
-    FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1""")
+    FROM conversations GROUP BY 1""")
 def _(v):
-    attempts = v.table("conversations").where("role in ('user', 'assistant')").selectExpr(
+    attempts = v.table("conversations").selectExpr(
         "conv_id as doc_id", "turn as stage_order", "case when turn > 1 then 'vision' else 'llm' end as kind", "role as engine",
         "case when length(text) % 3 = 0 then concat('http_', cast(turn as string)) end as error", "cast(length(text) % 7 as bigint) as images_used",
         "cast(length(text) as bigint) as elapsed_ms", "95000L as budget_ms", "1L as attempts", "length(text) > 900 as budget_exhausted",
@@ -452,7 +452,7 @@ _RESPONSE = r"""case doc_id % 5 when 0 then ' ' when 1 then 'no es json' else co
 
 
 def raw_outputs(v):
-    return v.texts("documents").selectExpr(
+    return v.table("documents").selectExpr(
         "doc_id", "'llm' as source_key", "'llm' as source", "1L as stage_order", "cast(null as bigint) as page_number", f"{_RESPONSE} as response"
     )
 

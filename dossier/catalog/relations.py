@@ -51,7 +51,7 @@ def _(v):
 
 
 @register("sync_bridge", """
-    WITH desired AS (SELECT DISTINCT l_orderkey AS licitacion_id, CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS regulation_id FROM lineitem WHERE l_linestatus = 'F')
+    WITH desired AS (SELECT DISTINCT l_orderkey AS licitacion_id, CASE WHEN l_returnflag <> 'N' THEN l_suppkey END AS regulation_id FROM lineitem)
     SELECT b.licitacion_id, b.regulation_id, 'detach' AS action FROM v_bridge b
     WHERE b.licitacion_id IN (SELECT licitacion_id FROM desired)
       AND NOT EXISTS (SELECT 1 FROM desired d WHERE d.licitacion_id = b.licitacion_id AND d.regulation_id = b.regulation_id)
@@ -59,7 +59,7 @@ def _(v):
     SELECT d.licitacion_id, d.regulation_id, 'attach' FROM desired d WHERE d.regulation_id IS NOT NULL
       AND NOT EXISTS (SELECT 1 FROM v_bridge b WHERE d.licitacion_id = b.licitacion_id AND d.regulation_id = b.regulation_id)""")
 def _(v):
-    desired = v.table("lineitem").where("l_linestatus = 'F'").selectExpr(
+    desired = v.table("lineitem").selectExpr(
         "l_orderkey as licitacion_id", "case when l_returnflag <> 'N' then l_suppkey end as regulation_id"
     )
     return relations.sync_bridge(v.bridge(), desired)

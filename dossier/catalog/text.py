@@ -49,7 +49,7 @@ view_sql.register_view("v_assembled", r"""
 
 @register("collapse_whitespace", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
 def _(v):
-    return v.texts("documents").select("doc_id", text.collapse_ws(F.col("text")).alias("text"))
+    return v.table("documents").select("doc_id", text.collapse_ws(F.col("text")).alias("text"))
 
 
 @register("normalize_newlines", r"SELECT doc_id, page_number, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM v_pages")
@@ -96,8 +96,8 @@ def _(v):
 
 
 view_sql.register_view("v_native", """
-    SELECT conv_id AS doc_id, CASE WHEN conv_id % 3 = 0 THEN left(text, 100) ELSE text END AS text, 'i:' || left(text, 20) AS index_text
-    FROM conversations WHERE turn = 0""")
+    SELECT conv_id AS doc_id, CASE WHEN conv_id % 3 = 0 THEN CAST(count(*) AS VARCHAR) ELSE string_agg(text, chr(10) ORDER BY turn) END AS text,
+           'i:' || string_agg(text, '|' ORDER BY turn) AS index_text FROM conversations GROUP BY conv_id""")
 
 
 @register("choose_extraction", """
@@ -106,9 +106,8 @@ view_sql.register_view("v_native", """
            CASE WHEN coalesce(length(n.text), 0) < 120 THEN coalesce(s.index_text, '') ELSE n.index_text END AS index_text
     FROM v_native n FULL OUTER JOIN v_assembled s ON s.doc_id = n.doc_id""")
 def _(v):
-    native = v.table("conversations").where("turn = 0").selectExpr(
-        "conv_id as doc_id", "case when conv_id % 3 = 0 then left(text, 100) else text end as text", "concat('i:', left(text, 20)) as index_text"
-    )
+    turns = v.table("conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.expr("transform(array_sort(collect_list(struct(turn, text))), t -> t.text)").alias("t"))
+    native = turns.selectExpr("doc_id", "case when doc_id % 3 = 0 then cast(size(t) as string) else array_join(t, '\n') end as text", "concat('i:', array_join(t, '|')) as index_text")
     scanned = pages.assemble_documents(pages.build_index_pages(v.pages()))
     return pages.choose_extraction(native, scanned).select("doc_id", "method", "text", "index_text")
 
@@ -178,12 +177,12 @@ _RULES_SQL = " UNION ALL ".join(
 
 @register("analyze_rules_text", _RULES_SQL)
 def _(v):
-    return pages.analyze_rules_text(v.texts("documents").select("doc_id", "text")).select("doc_id", F.inline("checklist"))
+    return pages.analyze_rules_text(v.table("documents").select("doc_id", "text")).select("doc_id", F.inline("checklist"))
 
 
 @register("limit_text", "SELECT doc_id, CASE WHEN length(text) <= 220 THEN text ELSE rtrim(text[1:220]) || '...' END AS preview FROM documents")
 def _(v):
-    return v.texts("documents").select("doc_id", text.limit_text(F.col("text"), 220, "...").alias("preview"))
+    return v.table("documents").select("doc_id", text.limit_text(F.col("text"), 220, "...").alias("preview"))
 
 
 @register("parse_page_numbers", r"""
@@ -199,12 +198,14 @@ def _(v):
 
 _PAYLOAD = """to_json(struct('native' as method, length(text) as chars, text, array(
     struct(cast(turn + 1 as string) as page_number, concat(' ', text, '\t') as text), struct('0' as page_number, 'x' as text),
-    struct(cast(null as string) as page_number, 'y' as text), struct(concat(cast(turn + 2 as string), '.0') as page_number, cast(null as string) as text)) as index_pages,
+    struct(cast(null as string) as page_number, 'y' as text), struct('1e12' as page_number, 'z' as text), struct('NaN' as page_number, 'z' as text),
+    struct('Infinity' as page_number, 'z' as text), struct('dos' as page_number, 'z' as text), struct('99999999999999999999' as page_number, 'z' as text), struct('3e2' as page_number, 'w' as text), struct(concat(cast(turn + 2 as string), '.0') as page_number, cast(null as string) as text)) as index_pages,
     array(' ', 'img') as vision_pages, array('3', 'x', '3', '-1', cast(turn as string)) as vision_page_numbers))"""
 
 
 @register("read_page_payloads", r"""
     SELECT conv_id * 100 + turn AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, 'native' AS method, CAST(length(text) AS INTEGER) AS chars FROM conversations
+    UNION ALL SELECT conv_id * 100 + turn, 300, 'w', 'native', CAST(length(text) AS INTEGER) FROM conversations
     UNION ALL SELECT conv_id * 100 + turn, CAST(turn + 2 AS INTEGER), '', 'native', CAST(length(text) AS INTEGER) FROM conversations""")
 def _(v):
     return storage.read_page_payloads(v.table("conversations").selectExpr("conv_id * 100 + turn as doc_id", f"{_PAYLOAD} as payload"))

@@ -22,7 +22,7 @@ view_sql.register_view("v_embedded", f"""
 
 
 def turn_chunks(v):
-    return v.texts("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
+    return v.table("conversations").selectExpr("conv_id as doc_id", "cast(turn as int) as chunk_index", "text")
 
 
 def embedded(v):
@@ -253,12 +253,12 @@ def _(v):
     SELECT 'acta-' || doc_id || '-' || n AS id, pages FROM (
       SELECT doc_id, pages, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS n FROM (
         SELECT t.doc_id, t.chunk_index AS o, CAST(t.chunk_index AS VARCHAR) AS pages FROM v_turns t JOIN v_document_index i ON i.id = t.doc_id
-        WHERE trim(coalesce(i.index_text, i.extracted_text, '')) <> '' AND t.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)
+        WHERE trim(coalesce(i.index_text, i.extracted_text, '')) <> '' AND t.doc_id IN (SELECT doc_id FROM labels)
         UNION ALL SELECT i.id, 0, '4,5' FROM v_document_index i WHERE trim(coalesce(i.index_text, i.extracted_text, '')) <> ''
-          AND i.id NOT IN (SELECT doc_id FROM v_turns WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))))""")
+          AND i.id NOT IN (SELECT doc_id FROM v_turns WHERE doc_id IN (SELECT doc_id FROM labels))))""")
 def _(v):
     index = v.document_index(with_text=True).selectExpr("id as doc_id", "'acta' as document_type", "storage_path", "user_id", "index_text", "extracted_text")
-    good = v.table("labels").where("quality = 1").select("doc_id")
+    good = v.table("labels").select("doc_id")
     stored = turn_chunks(v).join(good, "doc_id", "left_semi").withColumn("page_numbers_csv", F.col("chunk_index").cast("string"))
     page_map = v.table("documents").selectExpr("doc_id", "0 as chunk_index", "array(4, 5) as page_numbers")
     built, _ = vectors.reindex(index, stored, page_map)
@@ -338,13 +338,13 @@ _VISION = "length(text) >= 700"
 view_sql.register_view("v_chosen", """
     SELECT doc_id, chunk_index, text AS current_text, page_numbers,
            CASE WHEN length(text) >= 700 AND doc_id % 4 <> 0 THEN 'ollama-vision' WHEN length(text) >= 200 THEN 'targeted-ocr' END AS engine,
-           trim(CASE WHEN length(text) >= 700 AND doc_id % 4 <> 0 THEN substr(text, 1, 200) WHEN length(text) >= 200 THEN CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE 'corto ' || chunk_index END END, ' ' || chr(9) || chr(10) || chr(13)) AS corrected_text,
+           trim(CASE WHEN length(text) >= 700 AND doc_id % 4 <> 0 THEN reverse(text) WHEN length(text) >= 200 THEN CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE 'corto ' || chunk_index END END, ' ' || chr(9) || chr(10) || chr(13)) AS corrected_text,
            CASE WHEN length(text) >= 700 THEN CASE WHEN doc_id % 4 = 0 THEN 'tiempo' END ELSE 'No se pudieron extraer imágenes de las páginas del chunk.' END AS fallback_error
     FROM v_paged WHERE len(page_numbers) > 0""")
 
 
 def chosen(v):
-    vision = turn_chunks(v).where(_VISION).selectExpr("doc_id", "chunk_index", "substr(text, 1, 200) as text", "case when doc_id % 4 = 0 then 'tiempo' end as error")
+    vision = turn_chunks(v).where(_VISION).selectExpr("doc_id", "chunk_index", "reverse(text) as text", "case when doc_id % 4 = 0 then 'tiempo' end as error")
     scanned = turn_chunks(v).where("length(text) >= 200").selectExpr(
         "doc_id", "chunk_index", "case when doc_id % 2 = 0 then text else concat('corto ', cast(chunk_index as string)) end as text"
     )
@@ -404,12 +404,36 @@ def _(v):
     return correction.document_status(index, corrected(v), index.where("status <> 'failed'"))
 
 
-@register("best_candidate")
-def _(v):
-    candidates = (
+def scanned_candidates(v):
+    """Per chunk: itself and the next one, each on its own page."""
+    return (
         turn_chunks(v).select("doc_id", "text", F.posexplode(F.array(F.col("chunk_index"), F.col("chunk_index") - 1)).alias("candidate_index", "chunk_index"))
         .withColumn("page_numbers", F.array(F.col("chunk_index") + 1))
         .where("chunk_index >= 0")
     )
-    best = correction.best_candidate(candidates, paged_chunks(v), targets(v))
+
+
+@register("best_candidate")
+def _(v):
+    best = correction.best_candidate(scanned_candidates(v), paged_chunks(v), targets(v))
     return best.select("doc_id", "chunk_index", "candidate_index", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
+# The same choice with a similarity that SQL can state: the share of equal lengths in percent of the longer text.
+@register("pick_candidate", """
+    WITH options AS (
+      SELECT doc_id, k AS candidate_index, chunk_index - k AS chunk_index, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS candidate FROM v_turns, (VALUES (0), (1)) AS t(k) WHERE chunk_index >= k),
+    places AS (
+      SELECT a.doc_id, a.chunk_index, count(DISTINCT CASE WHEN b.chunk_index < a.chunk_index THEN b.chunk_index END) AS place FROM v_paged a JOIN v_paged b ON a.doc_id = b.doc_id
+      WHERE list_has_any(a.page_numbers, b.page_numbers) GROUP BY 1, 2),
+    scored AS (
+      SELECT o.doc_id, o.chunk_index, candidate_index, 50 * (length(candidate) % 7) / 7.0::DOUBLE AS similarity,
+             50 * (length(candidate) % 7) / 7.0::DOUBLE + 12 + 18 * (least(length(candidate), length(p.text)) / greatest(length(candidate), length(p.text))::DOUBLE) - 8 * abs(candidate_index - place) AS score
+      FROM options o JOIN v_paged p ON p.doc_id = o.doc_id AND p.chunk_index = o.chunk_index JOIN places l ON l.doc_id = o.doc_id AND l.chunk_index = o.chunk_index
+      WHERE candidate <> '' AND len(p.page_numbers) > 0)
+    SELECT doc_id, chunk_index, candidate_index, round(similarity, 6) AS similarity, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY score DESC, candidate_index) AS n FROM scored) WHERE n = 1""")
+def _(v):
+    pointed = correction.candidate_points(scanned_candidates(v), paged_chunks(v), targets(v))
+    measured = pointed.withColumn("similarity", 50 * (F.length("candidate_text") % 7) / F.lit(7.0))
+    return correction.pick_candidate(measured).select("doc_id", "chunk_index", "candidate_index", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))

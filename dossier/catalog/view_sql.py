@@ -21,7 +21,7 @@ VIEW_SQL: dict[str, str] = {
         SELECT c_custkey * 3 + k AS id, c_custkey AS company_id, c_mktsegment || ' ' || CAST(k AS VARCHAR) AS title,
                (c_custkey + k) % 3 <> 0 AS is_default,
                CAST(DATE '1998-03-01' + CAST((c_custkey + k) % 90 AS INTEGER) AS TIMESTAMP) AS created_at
-        FROM customer, (VALUES (0), (1), (2)) AS t(k) WHERE c_mktsegment <> 'HOUSEHOLD'""",
+        FROM customer, (VALUES (0), (1), (2)) AS t(k)""",
     "v_tenders": """
         SELECT o_orderkey AS id, o_custkey % 25 AS user_id, o_custkey AS company_id,
                CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey * 3 + o_orderkey % 3 END AS company_letterhead_id,
@@ -149,7 +149,7 @@ VIEW_SQL: dict[str, str] = {
         FROM conversations""",
     "v_page_variants": """
         SELECT conv_id AS doc_id, turn + 1 AS page_number, CAST(v AS BIGINT) AS variant,
-               CASE v WHEN 0 THEN CASE WHEN turn % 2 = 0 THEN text ELSE left(text, 90) END
+               CASE v WHEN 0 THEN CASE WHEN turn % 2 = 0 THEN text ELSE reverse(text) END
                       WHEN 1 THEN 'ESCRITURA NOTARIA 12 LIBRO 3' || chr(10) || lower(text) || ' Folio'
                       ELSE 'folio mercantil ' || text || ' FECHA 12' END AS text
         FROM conversations, (VALUES (0), (1), (2)) AS t(v)""",

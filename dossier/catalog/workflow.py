@@ -32,13 +32,14 @@ def initial_states(v):
 
 
 @register("check_transitions", """
-    SELECT r.seq, o.status AS from_state, r.to_state,
-           CASE WHEN o.status = r.to_state THEN 'no_op' WHEN r.entity_type = 'contract' THEN 'unknown_entity'
-                WHEN (r.entity_type, o.status, r.to_state) IN (SELECT (e, s, t) FROM v_matrix) THEN 'accepted' ELSE 'rejected' END AS outcome
-    FROM v_transition_requests r JOIN v_tenders o ON o.id = r.seq""")
+    SELECT r.seq, coalesce(o.status, 'draft') AS from_state, r.to_state,
+           CASE WHEN coalesce(o.status, 'draft') = r.to_state THEN 'no_op' WHEN r.entity_type = 'contract' THEN 'unknown_entity'
+                WHEN (r.entity_type, coalesce(o.status, 'draft'), r.to_state) IN (SELECT (e, s, t) FROM v_matrix) THEN 'accepted' ELSE 'rejected' END AS outcome
+    FROM v_transition_requests r LEFT JOIN v_tenders o ON o.id = r.seq""")
 def _(v):
     states = v.tenders().select(F.col("id").alias("seq"), F.col("status").alias("from_state"))
-    return workflow.check_transitions(v.transition_requests().join(states, "seq")).select("seq", "from_state", "to_state", "outcome")
+    requests = v.transition_requests().join(states, "seq", "left").fillna("draft", ["from_state"])
+    return workflow.check_transitions(requests).select("seq", "from_state", "to_state", "outcome")
 
 
 @register("replay_transitions", "SELECT entity_type, entity_id, seq, from_state, to_state, outcome, next_state AS state FROM v_replay")

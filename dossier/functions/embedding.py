@@ -16,18 +16,6 @@ from dossier.functions.lists import once
 
 DIMENSION = 64
 Embedder = Callable[[list[str]], list[list[float]]]
-_REGISTRY: dict[str, Embedder | None] = {"hashed": None}
-
-
-def register_embedder(name: str, embedder: Embedder) -> None:
-    _REGISTRY[name] = embedder
-
-
-def get_embedder(name: str) -> Embedder | None:
-    """The embedder of that name; ``None`` stands for the built-in one."""
-    if name not in _REGISTRY:
-        raise ValueError(f"unknown embedder {name!r}")
-    return _REGISTRY[name]
 
 
 def hashed_vector(text: str, dimension: int = DIMENSION) -> list[float]:

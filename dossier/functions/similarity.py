@@ -2,7 +2,6 @@
 
 import math
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -12,9 +11,6 @@ from pyspark.sql.types import DoubleType
 
 from dossier.functions.text import squeeze, strip
 
-# Below this many byte pairs the plain matcher is faster than setting up arrays.
-_SMALL = 4096
-
 
 def _longest_common(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Length and start positions of the longest common stretch; of equals, the first in ``a``, then in ``b``."""
@@ -39,10 +35,6 @@ def common_bytes(left: bytes, right: bytes) -> int:
         a, b = stack.pop()
         if not a or not b:
             continue
-        if len(a) * len(b) <= _SMALL:
-            blocks = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-            total += sum(block.size for block in blocks)
-            continue
         n, i, j = _longest_common(np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8))
         if n:
             total += n
@@ -65,11 +57,6 @@ def upper_bound(left: bytes, right: bytes) -> float:
     return float(np.minimum(*counts).sum()) * 2.0 * 100.0 / (len(left) + len(right))
 
 
-@F.pandas_udf(DoubleType())
-def similarity_percent(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([percent(x, y) for x, y in zip(a, b)], dtype="float64")
-
-
 @F.pandas_udf(DoubleType())
 def similarity_if_leading(
     batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]],

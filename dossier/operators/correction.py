@@ -10,7 +10,6 @@ from dossier.functions.ranking import top_per_key
 from dossier.functions.similarity import comparable, similarity_if_leading
 from dossier.functions.text import limit_text, strip
 from dossier.operators.vectors import merge_metadata
-from dossier.session import spread_for_cpu
 
 OVERLAP_WEIGHT = 12
 LENGTH_WEIGHT = 18
@@ -73,51 +72,65 @@ def related_chunks(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     return of_targets.join(of_chunks, ["doc_id", "page"]).select("doc_id", "target_index", "chunk_index").distinct()
 
 
-def best_candidate(candidates: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
-    """Best re-scanned candidate per target chunk.
+def _places(chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """How many chunks before a target share a page with it, and whether it is itself among the chunks of its pages.
 
-    Similarity, shared pages and a similar length speak for a candidate, distance from the chunk's place among its
-    neighbours against it; the first of equals wins. ``targets`` holds ``(doc_id, chunk_index, current_text, page_numbers)``,
-    ``candidates`` ``(doc_id, chunk_index, candidate_index, text, page_numbers)``.
+    Pages list their chunks once and targets meet those lists, so no pair of chunks becomes a row.
     """
-    place = (
-        related_chunks(chunks, targets)
-        .groupBy("doc_id", F.col("target_index").alias("chunk_index"))
-        .agg(
-            F.count_if(F.col("chunk_index") < F.col("target_index")).alias("_place"),
-            F.bool_or(F.col("chunk_index") == F.col("target_index")).alias("_listed"),
-        )
+    pages = chunks.select("doc_id", "chunk_index", F.explode("page_numbers").alias("page"))
+    listed = pages.groupBy("doc_id", "page").agg(F.collect_set("chunk_index").alias("listed"))
+    asked = targets.select("doc_id", "chunk_index", F.explode("page_numbers").alias("page")).join(listed, ["doc_id", "page"])
+    near = asked.groupBy("doc_id", "chunk_index").agg(F.array_distinct(F.flatten(F.collect_list("listed"))).alias("near"))
+    return near.select(
+        "doc_id", "chunk_index",
+        F.size(F.filter("near", lambda i: i < F.col("chunk_index"))).alias("_place"),
+        F.array_contains("near", F.col("chunk_index")).alias("_listed"),
     )
+
+
+def candidate_points(candidates: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """Candidates with what speaks for them besides their wording, in ``points``.
+
+    Shared pages and a similar length count for a candidate, distance from the chunk's place among its neighbours against
+    it. ``targets`` holds ``(doc_id, chunk_index, current_text, page_numbers)``, ``candidates``
+    ``(doc_id, chunk_index, candidate_index, text, page_numbers)``.
+    """
     options = candidates.select(
         "doc_id", "chunk_index", "candidate_index", strip(F.col("text")).alias("candidate_text"), F.col("page_numbers").alias("candidate_pages")
     ).where(F.col("candidate_text") != "")
     pairs = options.join(targets.select("doc_id", "chunk_index", "current_text", "page_numbers"), ["doc_id", "chunk_index"]).join(
-        place, ["doc_id", "chunk_index"], "left"
+        _places(chunks, targets), ["doc_id", "chunk_index"], "left"
     )
-    # All cheap columns come first; the similarity is the only step that leaves the JVM.
     a = F.greatest(F.length("candidate_text"), F.lit(1))
     b = F.greatest(F.length("current_text"), F.lit(1))
-    prepared = (
-        pairs.withColumn("overlap", page_overlap(F.col("page_numbers"), F.col("candidate_pages")))
-        .withColumn("ratio", F.least(a, b) / F.greatest(a, b))
-        .withColumn("penalty", F.when(F.col("_listed"), F.abs(F.col("candidate_index") - F.col("_place")) * POSITION_WEIGHT).otherwise(0))
-    )
-    # Comparing texts costs far more than moving them, so partitions are sized by slots, not by bytes; the final pick per
-    # chunk uses the same keys and needs no further shuffle. Likely winners come first, which lets the others be skipped.
-    points = F.col("overlap") * OVERLAP_WEIGHT + F.col("ratio") * LENGTH_WEIGHT - F.col("penalty")
-    texts = prepared.withColumn("_a", comparable(F.col("current_text"))).withColumn("_b", comparable(F.col("candidate_text")))
-    spread = spread_for_cpu(texts.withColumn("_points", points.cast("double")), "doc_id", "chunk_index").sortWithinPartitions(
-        "doc_id", "chunk_index", F.desc(F.col("_a") == F.col("_b")), F.desc("_points")
-    )
-    group = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
-    measured = spread.withColumn("similarity", similarity_if_leading(group, F.col("_points"), F.col("_a"), F.col("_b")))
-    score = F.col("similarity") + F.col("overlap") * OVERLAP_WEIGHT + F.col("ratio") * LENGTH_WEIGHT - F.col("penalty")
-    scored = measured.withColumn("score", score).where(F.col("score").isNotNull() & ~F.isnan("score"))
+    shared = page_overlap(F.col("page_numbers"), F.col("candidate_pages"))
+    penalty = F.when(F.col("_listed"), F.abs(F.col("candidate_index") - F.col("_place")) * POSITION_WEIGHT).otherwise(0)
+    return pairs.withColumn("points", (shared * OVERLAP_WEIGHT + F.least(a, b) / F.greatest(a, b) * LENGTH_WEIGHT - penalty).cast("double"))
+
+
+def pick_candidate(measured: DataFrame) -> DataFrame:
+    """Best candidate per chunk by similarity and points; the first of equals wins."""
+    scored = measured.withColumn("score", F.col("similarity") + F.col("points")).where(F.col("score").isNotNull() & ~F.isnan("score"))
     return top_per_key(scored, ["doc_id", "chunk_index"], [F.desc("score"), F.asc("candidate_index")]).select(
         "doc_id", "chunk_index", "candidate_index", F.col("candidate_text").alias("text"), "similarity", "score"
     )
 
 
+def best_candidate(candidates: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
+    """Best re-scanned candidate per target chunk, by :func:`candidate_points` and the similarity of the texts.
+
+    The similarity is the only step that leaves the JVM. Rows of a chunk come together with likely winners first, which
+    lets the others be skipped; the final pick uses the same keys and needs no further shuffle.
+    """
+    pointed = candidate_points(candidates, chunks, targets)
+    texts = pointed.withColumn("_a", comparable(F.col("current_text"))).withColumn("_b", comparable(F.col("candidate_text")))
+    spread = texts.repartition("doc_id", "chunk_index").sortWithinPartitions(
+        "doc_id", "chunk_index", F.desc(F.col("_a") == F.col("_b")), F.desc("points")
+    )
+    group = F.concat_ws("/", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    return pick_candidate(spread.withColumn("similarity", similarity_if_leading(group, F.col("points"), F.col("_a"), F.col("_b"))))
+
+
 def within_bounds(current: Column, corrected: Column) -> Column:
     """``too_short``, ``too_long`` or null."""
     n = F.greatest(F.length(current), F.lit(1))

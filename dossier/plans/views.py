@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.extraction import DEED_FIELDS
-from dossier.session import widen
 
 AS_OF = "1998-06-30"
 EVENTS_AS_OF = "2024-01-30"
@@ -26,10 +25,6 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self, name: str) -> DataFrame:
-        """A table of long texts, spread over the cores when its files are too few to do so."""
-        return widen(self.table(name), {"documents": "doc_id", "conversations": "conv_id"}[name])
-
     def users(self) -> DataFrame:
         return self.table("nation").selectExpr(
             "cast(n_nationkey as bigint) as id", "n_name as name", "concat(lower(n_name), '@example.org') as email"
@@ -46,7 +41,7 @@ class Views:
         )
 
     def letterheads(self) -> DataFrame:
-        copies = self.table("customer").where("c_mktsegment <> 'HOUSEHOLD'").selectExpr(
+        copies = self.table("customer").selectExpr(
             "c_custkey", "c_mktsegment", "explode(array(0L, 1L, 2L)) as k"
         )
         return copies.selectExpr(
@@ -249,7 +244,7 @@ class Views:
 
     def pages(self) -> DataFrame:
         """Conversation turns as page text, with scanner-like noise around the original words."""
-        return self.texts("conversations").select(
+        return self.table("conversations").select(
             F.col("conv_id").alias("doc_id"),
             (F.col("turn") + 1).alias("page_number"),
             F.expr(
@@ -264,7 +259,7 @@ class Views:
         )
 
     def page_variants(self) -> DataFrame:
-        base = self.texts("conversations").select(
+        base = self.table("conversations").select(
             F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page_number"), "turn", "text"
         )
         return base.select(
@@ -272,7 +267,7 @@ class Views:
             "page_number",
             F.posexplode(
                 F.array(
-                    F.expr("case when turn % 2 = 0 then text else left(text, 90) end"),
+                    F.expr("case when turn % 2 = 0 then text else reverse(text) end"),
                     F.expr("concat('ESCRITURA NOTARIA 12 LIBRO 3\n', lower(text), ' Folio')"),
                     F.expr("concat('folio mercantil ', text, ' FECHA 12')"),
                 )
@@ -281,7 +276,7 @@ class Views:
 
     def deed_texts(self) -> DataFrame:
         """Document text below a header of labelled deed fields."""
-        return self.texts("documents").select(
+        return self.table("documents").select(
             "doc_id",
             F.expr("element_at(array('acta', 'acta', 'opinion', 'regulation', 'otro'), cast(doc_id % 5 as int) + 1)").alias("document_type"),
             F.expr(
@@ -309,7 +304,7 @@ class Views:
         """Extraction candidates: every document, four model sources, every field; values and gaps by a fixed rule."""
         fields = ", ".join(f"'{f}'" for f in DEED_FIELDS)
         rows = (
-            self.texts("documents")
+            self.table("documents")
             .select("doc_id", F.expr("posexplode(array('llm', 'llm_retry', 'vision', 'vision_first_page_2'))").alias("s", "source_key"))
             .select("*", F.expr(f"posexplode(array({fields}))").alias("f", "field"))
             .withColumn("h", F.expr("(doc_id * 31 + s * 7 + f * 13) % 11"))

@@ -1,10 +1,8 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,38 +23,3 @@ def build_session(app_name: str = "dossier", master: str | None = None, **conf:
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder named by ``spark.checkpoint.dir``.
-
-    Only where neither the session nor its configuration names one (tests on a single machine) is a folder made here.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
-def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input over the task slots when it comes in fewer partitions than there are slots.
-
-    Meant for CPU-heavy work on texts that arrive in a few files. A scan of a large table has many more partitions than
-    slots and is returned as it is, so no shuffle is added there.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, *keys)
-
-
-def spread_for_cpu(df: DataFrame, *keys: str) -> DataFrame:
-    """Fixed number of partitions by key, ahead of work that is expensive per row.
-
-    Adaptive execution merges partitions by their bytes, which would leave a few tasks with all of the work.
-    """
-    spark = df.sparkSession
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(slots, *keys)

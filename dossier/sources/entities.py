@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-_ENTRY = "array<struct<{}:string>>"
-_DEED = ",".join(
-    f"{c} string"
-    for c in "rpc_folio rpc_lugar notaria_numero notaria_lugar notario_nombre escritura_numero libro_numero acto documento_path documento_original_name".split()
-)
 _FILE = "document_path string, document_original_name string, created_at timestamp, updated_at timestamp"
 
 SCHEMAS: dict[str, str] = {
     "users": "id long, name string, email string, email_verified_at timestamp",
     "companies": "id long, user_id long, nombre string, rfc string, created_at timestamp, updated_at timestamp",
-    "deeds": f"id long, company_id long, tipo string, fecha_registro date, rpc_fecha_inscripcion date, fecha_inscripcion date, {_DEED}, "
+    "deeds": "id long, company_id long, tipo string, fecha_registro date, rpc_fecha_inscripcion date, fecha_inscripcion date, rpc_folio string, "
+    "rpc_lugar string, notaria_numero string, notaria_lugar string, notario_nombre string, escritura_numero string, libro_numero string, acto string, "
+    "documento_path string, documento_original_name string, "
     "apoderados array<struct<nombre_completo:string,ine:string,poder_documento:string,facultades_otorgadas:string>>, "
     "participacion_accionaria array<struct<socio:string,porcentaje:string>>, consejo_administracion array<string>, "
     "direccion_empresa array<string>, created_at timestamp, updated_at timestamp",

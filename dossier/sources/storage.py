@@ -41,7 +41,8 @@ PAYLOAD_SCHEMA = (
 
 
 def _page_number(c: Column) -> Column:
-    return c.try_cast("double").cast("int")
+    """Whole part of a number; null for anything that is no number or does not fit."""
+    return c.try_cast("double").try_cast("int")
 
 
 def parse_payloads(raw: DataFrame) -> DataFrame:

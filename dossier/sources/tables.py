@@ -49,12 +49,15 @@ def latest_step(steps: DataFrame) -> DataFrame:
     return top_per_key(steps, ["doc_id"], [F.desc("seq")])
 
 
-EVENT_COLUMNS = ["user_id", "event_type", "entity_type", "entity_id", "request_method", "status_code", "metadata", "created_at"]
+EVENT_TYPES = {
+    "user_id": "bigint", "event_type": "string", "entity_type": "string", "entity_id": "bigint", "request_method": "string", "status_code": "bigint",
+    "metadata": "string", "created_at": "timestamp",
+}
 
 
 def event_rows(df: DataFrame) -> DataFrame:
-    """Rows in the shape of the audit log; absent columns become null."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in EVENT_COLUMNS])
+    """Rows in the shape of the audit log, with its types; absent columns become null."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in EVENT_TYPES.items()])
 
 
 def append_events(df: DataFrame, path: str) -> None:

@@ -66,8 +66,6 @@ def test_embedding(spark):
     assert {r["doc_id"]: r["values"] for r in own.collect()} == {1: [25.0], 2: [4.0]}
     with pytest.raises(Exception, match="vectors for"):
         embedding.embed_chunks(df, lambda texts: []).collect()
-    with pytest.raises(ValueError):
-        embedding.get_embedder("desconocido")
 
 
 def test_similarity_by_hand():
