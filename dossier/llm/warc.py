@@ -17,8 +17,8 @@ from dossier.llm.shared import bounded_batches, fresh_path, written
 
 #: Payloads below this many bytes are stored each time.
 LEAST_REVISIT = 100
-#: Payload bytes in an archive file, on average.
-FILE_BYTES = 24_000_000
+#: Records in an archive file at most; smaller files come from smaller partitions.
+FILE_RECORDS = 10_000
 #: Index entries that one merge takes, on average.
 RANGE_ROWS = 200_000
 CRLF = b"\r\n"
@@ -52,11 +52,12 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def write_archives(planned: DataFrame, path: str, captured: Column, file_bytes: int = FILE_BYTES) -> None:
+def write_archives(planned: DataFrame, path: str, captured: Column, file_records: int = FILE_RECORDS) -> None:
     """WARC/1.1 files, gzip-compressed: a response record per stored payload, a revisit record per repeated one.
 
     Spark's text sink writes them: a row is a record's head and block, and the separator between rows is the two line
-    ends that close a record. Lengths are of UTF-8 bytes. A revisit carries the digest and length of the full payload.
+    ends that close a record. Lengths are of UTF-8 bytes. Files are the partitions that the plan leaves, cut after
+    ``file_records``, so payloads are not dealt out once more. A revisit carries the digest and length of the full payload.
     """
     revisit, stored = F.col("refers_to").isNotNull(), F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(""))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -75,9 +76,8 @@ def write_archives(planned: DataFrame, path: str, captured: Column, file_bytes:
         F.lit("\r\n"),
         stored,
     )
-    total = planned.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-int(total) // file_bytes))
-    planned.select(F.pmod(F.xxhash64(F.coalesce("page_id", F.lit(0))), F.lit(files)).alias("file"), record.alias("value")).repartition(files, "file").select("value").write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+    sink = planned.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n")
+    sink.option("maxRecordsPerFile", file_records).text(path)
 
 
 class _Unzipped:

@@ -217,15 +217,14 @@ def test_url_keys():
 
 
 @pytest.mark.parametrize("range_rows", [30, 10**6])
-def test_archives_round_trip(spark, tmp_path, range_rows, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_BYTES", 100_000)
+def test_archives_round_trip(spark, tmp_path, range_rows):
     rnd = random.Random(3)
     bodies = ["", None, "x" * 99, "y" * 100, "é" * 50, "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 4, "z" * 400_000, "\r\n\r\n", "end\r\n"]
     rows = [(i, rnd.choice(["http://a.com/x", "http://b.org/", None, "http://a.com/y\r\nBad: 1"]), rnd.choice(bodies), "clash", 1) for i in range(150)]
     rows += [(7, "u", "y" * 100, "", 1), (None, "u", "only here " * 20, "", 1), (None, None, "y" * 100, "", 1), (-5, "u", "negative " * 30, "", 1), (-4, "u", "negative " * 30, "", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, offset long").repartition(4)
     planned = warc.plan_records(pages)
-    warc.write_archives(planned, f"{tmp_path}/w", F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) % 7 + 100), 100_000)
+    warc.write_archives(planned, f"{tmp_path}/w", F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) % 7 + 100), 13)
     merged = warc.merge_index(written(warc.read_runs(spark, f"{tmp_path}/w"), "t"), range_rows)
     got = merged.orderBy("range", "place").collect()
     assert [warc._place(r.asDict()) for r in got] == sorted(warc._place(r.asDict()) for r in got)
