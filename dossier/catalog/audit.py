@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dossier.catalog import register, view_sql
 from dossier.operators import audit
 from dossier.plans.views import AS_OF
+from dossier.sources import exports
 
 view_sql.register_view("v_expiry", f"""
     SELECT *, coalesce(fecha_vigencia, fecha_emision + 30) AS vigencia_calculada,
@@ -185,7 +186,7 @@ def _(v):
 _SUGGEST = "CASE {0} WHEN 'critical' THEN '" + audit.SUGGESTION["critical"] + "' WHEN 'warning' THEN '" + audit.SUGGESTION["warning"] + "' ELSE '" + audit.SUGGESTION["info"] + "' END"
 
 
-@register("export_rows", f"""
+view_sql.register_view("v_export_rows", f"""
     SELECT r.validation_id, 0 AS part, r.pos, coalesce(documento, 'N/A') AS documento, coalesce(gravedad, 'Baja') AS gravedad, error,
            coalesce(propuesta_solucion, '{audit.SUGGESTION["info"]}') AS propuesta_solucion
     FROM v_report_rows r JOIN v_validations v ON v.id = r.validation_id WHERE kind = 'structured'
@@ -202,12 +203,46 @@ _SUGGEST = "CASE {0} WHEN 'critical' THEN '" + audit.SUGGESTION["critical"] + "'
     FROM v_report_rows r JOIN v_validations v ON v.id = r.validation_id
     WHERE kind <> 'structured' AND r.validation_id NOT IN (SELECT validation_id FROM v_report_rows WHERE kind = 'structured')
       AND r.validation_id NOT IN (SELECT proposal_validation_id FROM v_findings)""")
+
+
+@register("export_rows", "SELECT * FROM v_export_rows")
 def _(v):
     return audit.export_rows(v.validations(), v.findings(), v.report_rows()).select(
         "validation_id", F.col("part").cast("int").alias("part"), "pos", "documento", "gravedad", "error", "propuesta_solucion"
     )
 
 
+_SHEET_TITLES = ", ".join(f'{c} AS "{t}"' for c, t in zip(["documento", "gravedad", "error", "propuesta_solucion"], audit.EXPORT_HEADER))
+
+
+@register("export_findings", f"SELECT validation_id, part, pos, {_SHEET_TITLES} FROM v_export_rows")
+def _(v):
+    return exports.sheet_rows(audit.export_rows(v.validations(), v.findings(), v.report_rows())).drop("bucket")
+
+
+# The documents of a bundle, field by field, as the JSON says them.
+@register("export_bundle", """
+    SELECT 'findings' AS part, proposal_validation_id AS validation_id, severity AS a, message AS b, resolution_note AS c FROM v_findings
+    UNION ALL SELECT 'structured_findings', validation_id, gravedad, error, CAST(pos AS VARCHAR) FROM v_report_rows WHERE kind = 'structured'
+    UNION ALL SELECT 'report', id, status, traffic_light, override_reason FROM v_validations
+    UNION ALL SELECT 'summary', v.id, t.title, c.nombre, CAST(v.override_applied AS VARCHAR) FROM v_validations v LEFT JOIN v_tenders t ON t.id = v.licitacion_id LEFT JOIN v_companies c ON c.id = t.company_id""")
+def _(v):
+    validations = v.validations()
+    summary = audit.export_summary(validations, v.tenders(), v.companies(), v.findings())
+    documents = exports.bundle_rows(
+        validations.withColumnRenamed("id", "validation_id"), v.findings().withColumnRenamed("proposal_validation_id", "validation_id"), v.report_rows().where("kind = 'structured'"), summary
+    )
+    fields = {
+        "findings": ("severity", "message", "resolution_note"), "structured_findings": ("gravedad", "error", "pos"),
+        "report": ("status", "traffic_light", "override_reason"), "summary": ("licitacion", "empresa", "override_applied"),
+    }
+    shown = [
+        F.coalesce(*[F.when(F.col("part") == part, F.get_json_object("document", f"$.{names[i]}")) for part, names in fields.items()]).alias(letter)
+        for i, letter in enumerate("abc")
+    ]
+    return documents.select("part", "validation_id", *shown)
+
+
 @register("split_findings", """
     SELECT f.proposal_validation_id AS validation_id, severity, CAST(f.id AS VARCHAR) AS finding_id, rule_code, category, message
     FROM v_findings f JOIN v_validations v ON v.id = f.proposal_validation_id WHERE severity IN ('critical', 'warning')

@@ -347,15 +347,22 @@ def _(v):
 
 
 @register("provenance", """
-    SELECT doc_id, 'base+llm+llm_retry+vision' || CASE WHEN vf THEN '+vision_first' ELSE '' END || CASE WHEN adj THEN '+adjudication' ELSE '' END
-           || CASE WHEN fb THEN '+regex_fallback' ELSE '' END AS extraction_source, fields FROM (
-      SELECT c.doc_id, bool_or(c.source = 'vision_first' AND c.meaningful) AS vf, any_value(coalesce(r.adj, FALSE)) AS adj, any_value(coalesce(r.fb, FALSE)) AS fb,
-             any_value(coalesce(r.n, 0)) AS fields
-      FROM v_scored_candidates c LEFT JOIN (SELECT doc_id, bool_or(decided) AS adj, bool_or(fallback) AS fb, count(*) AS n FROM v_resolved GROUP BY 1) r ON r.doc_id = c.doc_id
+    SELECT doc_id, 'base' || CASE WHEN l THEN '+llm' ELSE '' END || CASE WHEN lr THEN '+llm_retry' ELSE '' END || CASE WHEN vi THEN '+vision' ELSE '' END || CASE WHEN vf THEN '+vision_first' ELSE '' END || CASE WHEN adj THEN '+adjudication' ELSE '' END
+           || CASE WHEN fb THEN '+regex_fallback' ELSE '' END AS extraction_source, sources, confidences FROM (
+      SELECT c.doc_id, bool_or(c.source = 'llm') AS l, bool_or(c.source = 'llm_retry') AS lr, bool_or(c.source = 'vision') AS vi, bool_or(c.source = 'vision_first' AND c.meaningful) AS vf, any_value(coalesce(r.adj, FALSE)) AS adj, any_value(coalesce(r.fb, FALSE)) AS fb,
+             any_value(coalesce(r.s, '')) AS sources, any_value(coalesce(r.c, '')) AS confidences
+      FROM v_scored_candidates c LEFT JOIN (SELECT doc_id, bool_or(decided) AS adj, bool_or(fallback) AS fb,
+        string_agg(field || '=' || source, ',' ORDER BY field) AS s, string_agg(field || '=' || CAST(round(confidence * 100) AS INTEGER), ',' ORDER BY field) AS c FROM v_resolved GROUP BY 1) r ON r.doc_id = c.doc_id
       GROUP BY 1)""")
 def _(v):
     trail = resolution.provenance(scored(v), resolved(v))
-    return trail.select("doc_id", "extraction_source", F.coalesce(F.size("field_sources"), F.lit(0)).cast("long").alias("fields"))
+
+    def listed(m, shown):
+        pairs = F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("k"), shown(e["value"]).alias("v"))))
+        return F.coalesce(F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), ","), F.lit(""))
+
+    sources = listed("field_sources", lambda x: x)
+    return trail.select("doc_id", "extraction_source", sources.alias("sources"), listed("field_confidence", lambda x: F.round(x * 100).cast("int").cast("string")).alias("confidences"))
 
 
 _QUERIES_SQL = "MAP {" + ", ".join(f"'{k}': '{t}'" for k, t in resolution.RETRY_QUERIES.items()) + "}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dossier.catalog import register
+from dossier.catalog import register, view_sql
 from dossier.functions import values
 from dossier.functions.text import display_name
 from dossier.operators import quality_rules as rules
@@ -41,6 +41,56 @@ def _(v):
     return rules.validate_records(v.opinions(), rules.OPINION_RULES).select("id", F.concat_ws(",", "errors").alias("errors"))
 
 
+# Every rule set meets rows that break each of its rules.
+view_sql.register_view("v_odd_companies", """
+    SELECT id, CASE id % 7 WHEN 1 THEN NULL WHEN 2 THEN repeat('n', 256) ELSE nombre END AS nombre, CASE id % 5 WHEN 1 THEN NULL WHEN 2 THEN 'corto' WHEN 3 THEN rfc || 'x' ELSE rfc END AS rfc FROM v_companies""")
+
+
+@register("validate_companies", """
+    SELECT id, concat_ws(',', CASE WHEN nombre IS NULL THEN 'nombre:required' END, CASE WHEN length(nombre) > 255 THEN 'nombre:max_len' END,
+           CASE WHEN rfc IS NULL THEN 'rfc:required' END, CASE WHEN length(rfc) < 12 THEN 'rfc:min_len' END, CASE WHEN length(rfc) > 13 THEN 'rfc:max_len' END) AS errors FROM v_odd_companies""")
+def _(v):
+    odd = v.companies().selectExpr(
+        "id", "case id % 7 when 1 then null when 2 then repeat('n', 256) else nombre end as nombre", "case id % 5 when 1 then null when 2 then 'corto' when 3 then concat(rfc, 'x') else rfc end as rfc"
+    )
+    return rules.validate_records(odd, rules.COMPANY_RULES).select("id", F.concat_ws(",", "errors").alias("errors"))
+
+
+view_sql.register_view("v_odd_tenders", """
+    SELECT id, CASE id % 7 WHEN 1 THEN NULL WHEN 2 THEN repeat('t', 256) ELSE title END AS title, CASE WHEN id % 5 <> 1 THEN company_id END AS company_id,
+           CASE id % 9 WHEN 1 THEN NULL WHEN 2 THEN 'secreta' ELSE process_type END AS process_type, CASE id % 8 WHEN 1 THEN 'bases.doc' WHEN 2 THEN 'BASES.PDF' ELSE bases_document_path END AS bases_document_path FROM v_tenders""")
+
+
+@register("validate_tenders", """
+    SELECT id, concat_ws(',', CASE WHEN title IS NULL THEN 'title:required' END, CASE WHEN length(title) > 255 THEN 'title:max_len' END, CASE WHEN company_id IS NULL THEN 'company_id:required' END,
+           CASE WHEN process_type IS NULL THEN 'process_type:required' END, CASE WHEN process_type = 'secreta' THEN 'process_type:in' END,
+           CASE WHEN lower(bases_document_path) NOT LIKE '%.pdf' THEN 'bases_document_path:extension' END) AS errors FROM v_odd_tenders""")
+def _(v):
+    odd = v.tenders().selectExpr(
+        "id", "case id % 7 when 1 then null when 2 then repeat('t', 256) else title end as title", "case when id % 5 <> 1 then company_id end as company_id",
+        "case id % 9 when 1 then null when 2 then 'secreta' else process_type end as process_type", "case id % 8 when 1 then 'bases.doc' when 2 then 'BASES.PDF' else bases_document_path end as bases_document_path",
+    )
+    return rules.validate_records(odd, rules.TENDER_RULES).select("id", F.concat_ws(",", "errors").alias("errors"))
+
+
+@register("validate_letterheads", """
+    SELECT id, concat_ws(',', CASE WHEN id % 7 = 1 THEN 'title:required' END, CASE WHEN id % 7 = 2 THEN 'title:max_len' END, CASE WHEN id % 5 = 1 THEN 'is_default:required' END) AS errors FROM v_letterheads""")
+def _(v):
+    odd = v.letterheads().selectExpr("id", "case id % 7 when 1 then '' when 2 then repeat('t', 256) else title end as title", "case when id % 5 <> 1 then is_default end as is_default")
+    return rules.validate_records(odd, rules.LETTERHEAD_RULES).select("id", F.concat_ws(",", "errors").alias("errors"))
+
+
+@register("validate_deeds", """
+    SELECT id, concat_ws(',', CASE WHEN id % 7 = 1 THEN 'tipo:required' END, CASE WHEN id % 7 = 2 THEN 'tipo:in' END, CASE WHEN id % 6 = 1 THEN 'fecha_registro:date' END,
+           CASE WHEN documento_path IS NULL THEN 'documento_path:required' END, CASE WHEN documento_path IS NOT NULL AND id % 8 = 1 THEN 'documento_path:extension' END) AS errors FROM v_deeds""")
+def _(v):
+    odd = v.deeds().selectExpr(
+        "id", "case id % 7 when 1 then null when 2 then 'otra' else tipo end as tipo", "case when id % 6 = 1 then 'ayer' else cast(fecha_registro as string) end as fecha_registro",
+        "case when documento_path is not null and id % 8 = 1 then 'acta.docx' else documento_path end as documento_path",
+    )
+    return rules.validate_records(odd, rules.DEED_RULES).select("id", F.concat_ws(",", "errors").alias("errors"))
+
+
 @register("quarantined_regulations", """
     SELECT id, 'source_pdf_path:required' AS errors FROM v_regulations WHERE source_pdf_path IS NULL""")
 def _(v):
@@ -128,6 +178,21 @@ def _(v):
     return rules.select_reextract(v.deeds(), v.companies())
 
 
+@register("select_reextract_of_company", """
+    SELECT d.id, d.company_id, c.user_id, CASE WHEN coalesce(c.user_id, 0) > 0 THEN 'enqueue' ELSE 'skip_unresolved_user' END AS action
+    FROM v_deeds d LEFT JOIN v_companies c ON c.id = d.company_id WHERE d.documento_path IS NOT NULL AND (d.company_id = 7 OR d.id = 21 AND d.company_id = 10)""")
+def _(v):
+    chosen = rules.select_reextract(v.deeds(), v.companies(), company_id=7)
+    return chosen.unionByName(rules.select_reextract(v.deeds(), v.companies(), company_id=10, deed_id=21))
+
+
+@register("route_requeue_failed", """
+    SELECT id, documentable_id, CASE WHEN id % 4 = 1 THEN 'skip_unknown_type' ELSE 'full' END AS job FROM v_document_index WHERE status = 'failed'""")
+def _(v):
+    odd = v.document_index(with_text=True).withColumn("documentable_type", F.expr("case when id % 4 = 1 then 'Contrato' else documentable_type end"))
+    return rules.route_requeue(odd, "failed").select("id", "documentable_id", "job")
+
+
 @register("route_requeue", """
     SELECT id, documentable_id, CASE WHEN index_text IS NOT NULL OR extracted_text IS NOT NULL THEN 'reindex' ELSE 'full' END AS job
     FROM v_document_index WHERE status = 'processed'""")

@@ -52,14 +52,16 @@ def _(v):
     )
 
 
-@register("distinct_countries", "SELECT DISTINCT user_id, country_code FROM v_regulations")
+@register("distinct_countries", """
+    SELECT user_id, country_code, row_number() OVER (PARTITION BY user_id ORDER BY country_code) - 1 AS position FROM (SELECT DISTINCT user_id, country_code FROM v_regulations)""")
 def _(v):
     return reporting.distinct_values(v.regulations(), "country_code", "user_id")
 
 
-@register("latest_statements", "SELECT id, company_id, year, month FROM v_statements")
+@register("latest_statements", """
+    SELECT id, company_id, year, month, row_number() OVER (ORDER BY year DESC NULLS LAST, month DESC NULLS LAST, id DESC) - 1 AS position FROM v_statements""")
 def _(v):
-    return reporting.latest(v.statements(), "year", "month", "id").select("id", "company_id", "year", "month")
+    return reporting.latest(v.statements(), "year", "month", "id").select("id", "company_id", "year", "month", "position")
 
 
 @register("recent_history", """

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from dossier.catalog import register
+from dossier.catalog import chunks, register, text, view_sql  # noqa: F401  (both register views that are used here)
 from dossier.operators.pages import build_index_pages
 from dossier.plans import documents as flow
 from dossier.streaming.events import audit_events
@@ -17,7 +19,18 @@ def _(v):
     return audit_events(v.audit_events()).select("id", "user_id", "request_method", F.array_join("payload_keys", ",").alias("payload_keys"))
 
 
-@register("document_vectors")
+# The chunk views over the cleaned index pages instead of the raw ones.
+for _name in ("v_paragraphs", "v_pieces", "v_page_chunks"):
+    _sql = view_sql.VIEW_SQL[_name]
+    for _of in ("v_paragraphs", "v_pieces", "v_pages"):
+        _sql = re.sub(rf"\b{_of}\b", "v_clean_pages" if _of == "v_pages" else f"{_of}_clean", _sql)
+    view_sql.register_view(f"{_name}_clean", _sql)
+view_sql.register_view("v_clean_pages", "SELECT doc_id, page_number, index_text AS text FROM v_index_pages")
+
+
+@register("document_vectors", """
+    SELECT 'documents-acta' AS namespace, 'acta-' || doc_id || '-' || i AS id, CAST(i AS BIGINT) AS chunk_index, text, 64 AS dimension
+    FROM (SELECT doc_id, unnest(range(len(texts))) AS i, unnest(texts) AS text FROM v_page_chunks_clean)""")
 def _(v):
     pages = v.pages()
     facts = pages.select("doc_id").distinct().selectExpr("doc_id", "'acta' as document_type", "concat('f/', cast(doc_id as string)) as storage_path", "doc_id % 25 as user_id")

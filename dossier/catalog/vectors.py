@@ -290,9 +290,10 @@ def _(v):
     return vectors.inspect_index(document_ids(v), inspected(v)).select("doc_id", "record_count", "suspicious_count", "corrected_count", "available")
 
 
-@register("order_chunks", "SELECT id, chunk_index FROM v_vectors")
+@register("order_chunks", "SELECT id, i AS chunk_index, row_number() OVER (ORDER BY i ASC NULLS LAST, id) - 1 AS position FROM (SELECT id, CASE WHEN chunk_index % 7 <> 3 THEN chunk_index % 50 END AS i FROM v_vectors)")
 def _(v):
-    return ranked_lists.order_chunks(v.vectors()).select("id", "chunk_index")
+    odd = v.vectors().withColumn("chunk_index", F.expr("case when chunk_index % 7 <> 3 then chunk_index % 50 end"))
+    return ranked_lists.order_chunks(odd).select("id", "chunk_index", "position")
 
 
 @register("page_overlap", "SELECT conv_id, turn, len(list_intersect([turn, turn + 1, turn + 2], [2, 3, turn])) AS shared FROM conversations")

@@ -14,9 +14,11 @@ from dossier.functions.text import normalize_newlines, squeeze, strip
 
 CHUNK_SIZE = 1200
 OVERLAP = 150
-# Pages folded together at the lowest level and blocks folded together at the upper ones.
-BLOCK_PAGES = 256
-FAN_OUT = 4096
+# Pages folded together at the lowest level and blocks folded together at the upper ones. Page numbers are 32-bit, so with
+# two levels above the blocks no fold has more than 512 members: 64 * 256 * 256 * 512 = 2**31.
+BLOCK_PAGES = 64
+FAN_OUT = 256
+LEVELS = 2
 # A character that cannot occur in text; it marks lines longer than a chunk.
 _MARK = "\ufdd0"
 
@@ -112,10 +114,10 @@ def _run(lengths: Column, size: int) -> Column:
     def step(acc: Column, length: Column) -> Column:
         fits, grown = _add(acc["buffer"], length, size)
         return F.struct(
-            (acc["flushes"] + F.when(fits, 0).otherwise(1)).alias("flushes"), F.when(fits, grown).otherwise(length).alias("buffer")
+            (acc["flushes"] + F.when(fits, F.lit(0)).otherwise(F.lit(1))).alias("flushes"), F.when(fits, grown).otherwise(length).alias("buffer")
         )
 
-    return F.aggregate(lengths, F.struct(F.lit(0).alias("flushes"), F.lit(0).alias("buffer")), step)
+    return F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("flushes"), F.lit(0).cast("long").alias("buffer")), step)
 
 
 def _with_block_map(blocks: DataFrame, size: int) -> DataFrame:
@@ -131,7 +133,7 @@ def _with_block_map(blocks: DataFrame, size: int) -> DataFrame:
         near = F.when(acc["total"] <= size - 3, F.concat(acc["needs"], F.array(total))).otherwise(acc["needs"])
         return F.struct(total.alias("total"), (acc["n"] + 1).alias("n"), near.alias("needs"))
 
-    start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("needs"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("needs"))
     summed = blocks.withColumn("sums", F.aggregate("lengths", start, prefix))
 
     def outcome(need: Column, j: Column) -> Column:
@@ -171,14 +173,19 @@ def _then(first: Column, second: Column, size: int) -> Column:
     )
 
 
+def _part(number: str, size: int) -> Column:
+    """Number of the group of ``size`` neighbours; never null."""
+    return F.coalesce(F.expr(f"{number} div {size}"), F.lit(0))
+
+
 def _block_starts(maps: DataFrame, size: int, levels: int) -> DataFrame:
     """Buffer length and chunk number at the start of every block, by combining maps upwards and folding them downwards."""
     members = F.array_sort(F.collect_list(F.struct("block", "map"))).alias("maps")
     if levels == 0:
-        empty = F.struct(F.lit(0).alias("buffer"), F.lit(0).alias("chunk"))
+        empty = F.struct(F.lit(0).cast("long").alias("buffer"), F.lit(0).cast("long").alias("chunk"))
         groups = maps.groupBy("doc_id").agg(members).withColumn("start", empty)
     else:
-        parents = maps.groupBy("doc_id", F.expr(f"block div {FAN_OUT}").alias("parent")).agg(members)
+        parents = maps.groupBy("doc_id", _part("block", FAN_OUT).alias("parent")).agg(members)
         rest = F.slice("maps", 2, 2**31 - 2)
         whole = F.reduce(rest, F.get("maps", F.lit(0))["map"], lambda acc, m: _then(acc, m["map"], size))
         combined = parents.select("doc_id", F.col("parent").alias("block"), whole.alias("map"))
@@ -186,7 +193,7 @@ def _block_starts(maps: DataFrame, size: int, levels: int) -> DataFrame:
         groups = parents.join(starts, ["doc_id", "parent"])
     before = F.aggregate(
         "maps",
-        F.struct(F.col("start").alias("state"), F.array().cast("array<struct<buffer:int,chunk:int>>").alias("before")),
+        F.struct(F.col("start").alias("state"), F.array().cast("array<struct<buffer:bigint,chunk:bigint>>").alias("before")),
         lambda acc, m: F.struct(
             _through(acc["state"], m["map"], size).alias("state"), F.concat(acc["before"], F.array(acc["state"])).alias("before")
         ),
@@ -195,7 +202,7 @@ def _block_starts(maps: DataFrame, size: int, levels: int) -> DataFrame:
     return groups.select("doc_id", F.explode(zipped).alias("z")).select("doc_id", "z.block", F.col("z.state").alias("start"))
 
 
-def chunk_pages(pages: DataFrame, documents: DataFrame | None, size: int = CHUNK_SIZE, levels: int = 1) -> DataFrame:
+def chunk_pages(pages: DataFrame, documents: DataFrame | None, size: int = CHUNK_SIZE, levels: int = LEVELS) -> DataFrame:
     """Page-aware chunks: paragraphs packed greedily up to ``size`` with the pages they come from.
 
     Packing runs through a document from front to back. To keep a huge document from ending up in one task, its pages
@@ -204,7 +211,9 @@ def chunk_pages(pages: DataFrame, documents: DataFrame | None, size: int = CHUNK
     their segments independently. The maps of neighbouring blocks combine into maps of the same kind, so with ``levels``
     above zero even the fold over blocks is split. Documents without usable pages are chunked from their text, if given.
     """
-    segments = pages.where(F.col("page_number") > 0).select(
+    # Joins ask for keys that are not null. Saying so here, and having block numbers that cannot be null, keeps the plans of
+    # all uses of the blocks equal below the exchange, so that Spark cuts the pages into segments once.
+    segments = pages.where(F.col("doc_id").isNotNull() & (F.col("page_number") > 0)).select(
         "doc_id", F.col("page_number").cast("int").alias("page_number"), page_segments(F.col("text"), size).alias("segments")
     )
     per_page = F.array_sort(F.collect_list(F.struct("page_number", "segments")))
@@ -214,11 +223,11 @@ def chunk_pages(pages: DataFrame, documents: DataFrame | None, size: int = CHUNK
         )
     )
     blocks = (
-        segments.groupBy("doc_id", F.expr(f"page_number div {BLOCK_PAGES}").alias("block"))
+        segments.groupBy("doc_id", _part("page_number", BLOCK_PAGES).alias("block"))
         .agg(per_page.alias("pages"))
         .select("doc_id", "block", spread.alias("segments"))
         .where(F.size("segments") > 0)
-        .withColumn("lengths", F.transform("segments", lambda s: F.length(s["text"])))
+        .withColumn("lengths", F.transform("segments", lambda s: F.length(s["text"]).cast("long")))
     )
     maps = _with_block_map(blocks.select("doc_id", "block", "lengths"), size).select("doc_id", "block", "map")
     starts = _block_starts(maps, size, levels)
@@ -232,14 +241,14 @@ def chunk_pages(pages: DataFrame, documents: DataFrame | None, size: int = CHUNK
 
     numbers = F.aggregate(
         "lengths",
-        F.struct(F.col("start.buffer").alias("buffer"), F.col("start.chunk").alias("chunk"), F.array().cast("array<int>").alias("numbers")),
+        F.struct(F.col("start.buffer").alias("buffer"), F.col("start.chunk").alias("chunk"), F.array().cast("array<bigint>").alias("numbers")),
         number,
     )["numbers"]
     rows = (
         blocks.join(starts, ["doc_id", "block"])
         .withColumn("numbers", numbers)
         .select("doc_id", "block", F.posexplode(F.arrays_zip("segments", "numbers")).alias("i", "z"))
-        .select("doc_id", "block", "i", F.col("z.segments.page").alias("page"), F.col("z.segments.text").alias("text"), F.col("z.numbers").alias("chunk_index"))
+        .select("doc_id", "block", "i", F.col("z.segments.page").alias("page"), F.col("z.segments.text").alias("text"), F.col("z.numbers").cast("int").alias("chunk_index"))
     )
     members = F.array_sort(F.collect_list(F.struct("block", "i", "page", "text")))
     from_pages = rows.groupBy("doc_id", "chunk_index").agg(members.alias("m")).select(

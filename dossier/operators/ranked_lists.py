@@ -20,5 +20,7 @@ def dense_front_order(pages: DataFrame) -> DataFrame:
 
 
 def order_chunks(df: DataFrame) -> DataFrame:
-    """Chunk index upwards with unknown ones last, then id."""
-    return df.orderBy(F.asc_nulls_last("chunk_index"), F.asc("id"))
+    """Chunk index upwards with unknown ones last, then id; ``position`` numbers all of them from zero."""
+    order = [F.asc_nulls_last("chunk_index"), F.asc("id")]
+    bucket = F.struct(F.col("chunk_index").isNull(), F.expr("chunk_index div 4096"))
+    return dense_position(df.withColumn("_all", F.lit(0)), ["_all"], order, bucket).drop("_all").orderBy("position")

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.ranking import dense_position
+
 # Allowed transitions per entity and state.
 MATRIX: dict[str, dict[str, list[str]]] = {
     "tender": {
@@ -23,9 +25,11 @@ MATRIX: dict[str, dict[str, list[str]]] = {
     },
 }
 STATES = sorted({state for states in MATRIX.values() for state in states})
-# Rows folded together at the lowest level and blocks folded together at the upper ones.
-BLOCK_ROWS = 1024
-FAN_OUT = 4096
+# Rows of an entity folded together at the lowest level and blocks folded together at the upper ones: with two levels above
+# the blocks an entity of 10 billion rows ends in a fold of 600 members.
+BLOCK_ROWS = 256
+FAN_OUT = 256
+LEVELS = 2
 
 
 def _matrix_map() -> Column:
@@ -83,7 +87,7 @@ def _start_states(blocks: DataFrame, initial: DataFrame, levels: int) -> DataFra
             "start", F.coalesce("state", F.lit("draft"))
         )
     else:
-        parents = blocks.groupBy(*KEY, F.expr(f"block div {FAN_OUT}").alias("parent")).agg(members.alias("members"))
+        parents = blocks.groupBy(*KEY, F.coalesce(F.expr(f"block div {FAN_OUT}"), F.lit(0)).alias("parent")).agg(members.alias("members"))
         composed = parents.withColumn(
             "ends",
             _ends(lambda s: F.aggregate("members", s, lambda acc, m: _map_through(acc, m["ends"]))),
@@ -105,17 +109,18 @@ def _start_states(blocks: DataFrame, initial: DataFrame, levels: int) -> DataFra
     )
 
 
-def replay_transitions(requests: DataFrame, initial: DataFrame, levels: int = 1) -> DataFrame:
+def replay_transitions(requests: DataFrame, initial: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Replay a log of requested transitions per entity in ``seq`` order (unique per entity).
 
     Replaying is sequential, but a stretch of the log is just a function from states to states, and those compose.
-    The log is cut into blocks of at most ``BLOCK_ROWS`` sequence numbers; each block is reduced to that function, the
+    Each entity's rows are numbered and cut into blocks of ``BLOCK_ROWS``; each block is reduced to that function, the
     functions give the state at every block start, and the rows inside a block are then replayed on their own. An
     entity that holds a third of the log is therefore spread over its blocks.
     """
     columns = [c for c in requests.columns if c not in KEY]
     blocks = (
-        requests.withColumn("block", F.expr(f"seq div {BLOCK_ROWS}"))
+        dense_position(requests, KEY, [F.asc("seq")], F.expr("seq div 65536"), "_at")
+        .withColumn("block", F.coalesce(F.expr(f"_at div {BLOCK_ROWS}"), F.lit(0)))
         .groupBy(*KEY, "block")
         .agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in columns if c != "seq"]))).alias("rows"))
     )

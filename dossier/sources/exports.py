@@ -1,28 +1,53 @@
-"""Export writers."""
+"""Export writers. Rows of all validations go to sorted files by bucket; one validation's rows are cut out on demand."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.audit import EXPORT_HEADER
 
 _SHEET = ["documento", "gravedad", "error", "propuesta_solucion"]
+_ORDER = ["validation_id", "part", "pos"]
+BUCKETS = 64
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Order rows by validation and place; ranges are cut inside a large validation too."""
-    order = ["validation_id", "part", "pos"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+def _bucket(validation: Column) -> Column:
+    return F.pmod(F.xxhash64(validation), F.lit(BUCKETS)).cast("int")
+
+
+def sheet_rows(rows: DataFrame) -> DataFrame:
+    """Rows of the four-column sheet with what places them: bucket, validation and order."""
+    titled = [F.col(c).alias(title) for c, title in zip(_SHEET, EXPORT_HEADER)]
+    return rows.select(_bucket(F.col("validation_id")).alias("bucket"), *_ORDER, *titled)
+
+
+def bundle_rows(reports: DataFrame, findings: DataFrame, structured: DataFrame, summary: DataFrame) -> DataFrame:
+    """The bundle as JSON documents: (bucket, part, validation_id, document), absent values written as null."""
+    parts = {"report": reports, "findings": findings, "structured_findings": structured, "summary": summary}
+    out = None
+    for name, table in parts.items():
+        document = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
+        rows = table.select(_bucket(F.col("validation_id")).alias("bucket"), F.lit(name).alias("part"), "validation_id", document.alias("document"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def export_findings(rows: DataFrame, path: str) -> None:
-    """One folder of CSV files per validation with the four-column sheet."""
-    sheet = _spread(rows).select("validation_id", *[F.col(c).alias(title) for c, title in zip(_SHEET, EXPORT_HEADER)])
-    sheet.write.mode("overwrite").partitionBy("validation_id").option("header", True).csv(path)
+    """CSV sheets, one folder per bucket; ranges are cut inside a large validation too."""
+    order = ["bucket", *_ORDER]
+    sheet_rows(rows).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").option("header", True).csv(path)
 
 
 def export_bundle(reports: DataFrame, findings: DataFrame, structured: DataFrame, summary: DataFrame, path: str) -> None:
-    """Report, findings, structured findings and summary as JSON, one folder per validation in each."""
-    for name, table in {"report": reports, "findings": findings, "structured_findings": structured, "summary": summary}.items():
-        table.write.mode("overwrite").partitionBy("validation_id").json(f"{path}/{name}")
+    """Report, findings, structured findings and summary as JSON documents by bucket."""
+    order = ["bucket", "validation_id", "part", "document"]
+    documents = bundle_rows(reports, findings, structured, summary)
+    documents.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def one_validation(spark: SparkSession, path: str, validation_id: int, file_format: str = "csv") -> DataFrame:
+    """The exported rows of one validation; reads the files of its bucket only."""
+    table = spark.read.option("header", True).option("inferSchema", False).format(file_format).load(path)
+    wanted = F.lit(validation_id).cast("long")
+    return table.where((F.col("bucket") == _bucket(wanted)) & (F.col("validation_id").cast("long") == wanted)).drop("bucket")

@@ -7,28 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from dossier.operators.pages import assemble_documents, build_index_pages
 from dossier.plans.documents import chunk_vectors, rated_chunks
 
 
-def process_batch(folder: str) -> Callable[[DataFrame, int], None]:
-    """Batch function writing ``pages``, ``documents``, ``chunks`` and ``vectors`` below ``folder``.
+def process_batch(folder: str, base: int = 0) -> Callable[[DataFrame, int], None]:
+    """Batch function writing ``pages``, ``chunks``, ``vectors`` and last ``documents`` below ``folder``.
 
-    Every micro-batch owns one ``epoch`` partition in each table and overwrites it, so a repeated batch leaves no
-    duplicates and a lost executor costs a retry only. Each step reads what the previous one wrote, so no step is
-    computed twice.
+    Every micro-batch owns one ``epoch`` partition in each table (``base`` plus its number) and overwrites it, so a
+    repeated batch leaves no duplicates and a lost executor costs a retry only. Each step reads what the previous one
+    wrote. Readers follow ``documents``, so they never see a document before its chunks and vectors.
     """
 
-    def run(pages: DataFrame, epoch: int) -> None:
-        spark = pages.sparkSession
+    def run(pages: DataFrame, batch: int) -> None:
+        spark, epoch = pages.sparkSession, base + batch
         _write(build_index_pages(pages), folder, "pages", epoch)
         cleaned = spark.read.parquet(f"{folder}/pages/epoch={epoch}")
-        _write(assemble_documents(cleaned), folder, "documents", epoch)
         _write(rated_chunks(cleaned), folder, "chunks", epoch)
         chunks = spark.read.parquet(f"{folder}/chunks/epoch={epoch}")
         facts = cleaned.select("doc_id", "document_type", "storage_path", "user_id").dropDuplicates(["doc_id"])
         _write(chunk_vectors(chunks, facts), folder, "vectors", epoch)
+        _write(assemble_documents(cleaned), folder, "documents", epoch)
 
     return run
 
@@ -37,6 +38,32 @@ def _write(df: DataFrame, folder: str, name: str, epoch: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def base_epoch(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """First epoch of a checkpoint: past all others when it is new, and the same again after a restart."""
+    runs = _existing(spark, f"{folder}/runs")
+    if runs is not None:
+        known = runs.where(F.col("checkpoint") == checkpoint).agg(F.max("base")).first()[0]
+        if known is not None:
+            return known
+    documents = _existing(spark, f"{folder}/documents")
+    newest = documents.agg(F.max("epoch")).first()[0] if documents is not None else None
+    base = 0 if newest is None else int(newest) + 1
+    spark.createDataFrame([(checkpoint, base)], "checkpoint string, base long").coalesce(1).write.mode("append").parquet(f"{folder}/runs")
+    return base
+
+
+TABLES = ["pages", "chunks", "vectors", "documents"]
+
+
 def current_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Latest version of every document in a table.
 
@@ -46,8 +73,17 @@ def current_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}").join(newest, ["doc_id", "epoch"])
 
 
+def compact(spark: SparkSession, folder: str, target: str) -> None:
+    """Write the current version of every document to ``target`` as its epoch 0, for streams to go on from there.
+
+    Run it while no stream writes to ``folder``; readers and new streams (with a new checkpoint) then use ``target``, and
+    ``folder`` can be dropped. Nothing is changed in place, so a failed run is simply repeated.
+    """
+    for name in TABLES:
+        _write(current_table(spark, folder, name).drop("epoch"), target, name, 0)
+
+
 def stream_documents(pages: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Process a stream of ``(doc_id, page_number, text, document_type, storage_path, user_id)``; all pages of a submission arrive together."""
-    return (
-        pages.writeStream.foreachBatch(process_batch(folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    run = process_batch(folder, base_epoch(pages.sparkSession, folder, checkpoint))
+    return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

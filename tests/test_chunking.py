@@ -126,3 +126,10 @@ def test_page_columns(spark):
     pages = spark.createDataFrame([(1, 2, "uno"), (1, 3, "dos")], "doc_id long, page_number int, text string")
     row = chunking.chunk_pages(pages, spark.createDataFrame([(1, "")], "doc_id long, text string")).first()
     assert (row["text"], row["page_ids"], row["page_numbers_csv"], row["primary_page"]) == ("uno\n\ndos", ["page-2", "page-3"], "2,3", 2)
+
+
+def test_block_maps_outgrow_32_bits(spark):
+    row = spark.sql("select 1 as x").select(
+        chunking._then(*[F.struct(F.lit(1_500_000_000).cast("long").alias("total"), F.array(F.struct(F.lit(5).cast("long").alias("need"), F.struct(F.lit(1).cast("long").alias("flushes"), F.lit(3).cast("long").alias("buffer")).alias("run"))).alias("flush_at"))] * 2, SIZE).alias("m")
+    ).first()
+    assert row["m"]["total"] == 3_000_000_002

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.embedding import DIMENSION
 from dossier.sources import entities, exports, storage, tables
-from dossier.streaming.documents import current_table, stream_documents
+from dossier.streaming.documents import base_epoch, compact, current_table, stream_documents
 from dossier.streaming.events import write_audit_events
 
 PAGE = "doc_id long, page_number int, text string, document_type string, storage_path string, user_id long"
@@ -29,6 +29,16 @@ def test_documents_stream_is_incremental_and_repeatable(spark, tmp_path):
     assert current_table(spark, out, "chunks").count() == 2
     feed([page(2, 1, " -- ")])
     assert [r["doc_id"] for r in current_table(spark, out, "vectors").collect()] == [1]
+    # A new checkpoint starts past all epochs, so its versions win; a repeated start does not move it.
+    assert base_epoch(spark, out, cp) == 0 and base_epoch(spark, out, "other") == base_epoch(spark, out, "other") == 3
+    again = str(tmp_path / "in2")
+    spark.createDataFrame([page(1, 1, "tercera versión del acta")], PAGE).write.parquet(again)
+    stream_documents(spark.readStream.schema(PAGE).parquet(again), out, str(tmp_path / "cp2")).awaitTermination(120)
+    assert [r["text"] for r in current_table(spark, out, "vectors").collect()] == ["tercera versión del acta"]
+    compact(spark, out, str(tmp_path / "small"))
+    for name in ("pages", "chunks", "vectors", "documents"):
+        assert current_table(spark, str(tmp_path / "small"), name).drop("epoch", "metadata").exceptAll(current_table(spark, out, name).drop("epoch", "metadata")).count() == 0
+    assert spark.read.parquet(str(tmp_path / "small" / "documents")).count() == 2
 
 
 def test_audit_stream(spark, tmp_path):
@@ -48,17 +58,24 @@ def test_entities_round_trip(spark, tmp_path):
     assert list(found) == ["companies"] and found["companies"].first()["created_at"] is None
 
 
+def test_every_entity_keeps_its_types(spark, tmp_path):
+    for name, schema in entities.SCHEMAS.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / name))
+    found = entities.load_entities(spark, str(tmp_path))
+    assert len(found) == 15 and all(found[n].schema.simpleString() == spark.createDataFrame([], s).schema.simpleString() for n, s in entities.SCHEMAS.items())
+
+
 def test_listing_and_exports(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"123")
     (tmp_path / "b.txt").write_bytes(b"1")
     assert [r["length"] for r in storage.list_files(spark, str(tmp_path)).collect()] == [3]
     rows = spark.createDataFrame([(5, 0, 1, "d", "Alta", "e", "s"), (5, 1, 1, "d2", "Media", "e2", "s2")], "validation_id long, part long, pos long, documento string, gravedad string, error string, propuesta_solucion string")
     exports.export_findings(rows, str(tmp_path / "sheet"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "sheet" / "validation_id=5").glob("*.csv")))
-    assert text.startswith("Documento / Requisito,Gravedad,Error Detectado,Propuesta de Solucion") and "d2,Media,e2,s2" in text
+    sheet = exports.one_validation(spark, str(tmp_path / "sheet"), 5).orderBy("part").collect()
+    assert [r["Error Detectado"] for r in sheet] == ["e", "e2"] and exports.one_validation(spark, str(tmp_path / "sheet"), 6).count() == 0
     table = rows.select("validation_id", "error")
     exports.export_bundle(table, table, table, table, str(tmp_path / "bundle"))
-    assert spark.read.json(str(tmp_path / "bundle" / "summary")).count() == 2
+    assert exports.one_validation(spark, str(tmp_path / "bundle"), 5, "parquet").where("part = 'summary'").count() == 2
     tables.append_trace(spark.createDataFrame([(1, 1, "inicio")], "doc_id long, seq long, step string"), str(tmp_path / "trace"))
     tables.append_trace(spark.createDataFrame([(1, 2, "fin")], "doc_id long, seq long, step string"), str(tmp_path / "trace"))
     assert spark.read.parquet(str(tmp_path / "trace")).count() == 2
