@@ -29,7 +29,7 @@ def roots(edges: DataFrame) -> DataFrame:
     Large and small stars alternate until nothing changes, in a number of rounds that grows with the logarithm of the
     longest path. Each round is written to the shared folder; only two numbers per round reach the driver.
     """
-    before = None
+    before, edges = None, written(edges.distinct(), "links")  # read several times below
     while True:
         edges = written(_star(_star(edges, True), False), "stars")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
