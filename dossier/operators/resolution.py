@@ -111,13 +111,7 @@ def merge_candidates(scored: DataFrame) -> DataFrame:
     )
     entries = F.array_sort(F.collect_list(F.struct(F.col("first.order").alias("order"), "confidence", *[F.col(f"first.{c}").alias(c) for c in _PAYLOAD])))
     grouped = levels.groupBy("doc_id", "field").agg(entries.alias("entries"))
-    scalar = ~F.col("field").isin(ARRAY_FIELDS)
-    winner = F.reduce(
-        F.slice("entries", 2, 2**31 - 2),
-        F.get("entries", F.lit(0)),
-        lambda acc, e: F.when(scalar & (e["confidence"] >= acc["confidence"] + MARGIN), e).otherwise(acc),
-    )
-    return grouped.withColumn("w", winner).select("doc_id", "field", *[F.col(f"w.{c}").alias(c) for c in _PAYLOAD], F.col("w.confidence").alias("confidence"))
+    return grouped.withColumn("w", _fold(F.col("entries"))).select("doc_id", "field", *[F.col(f"w.{c}").alias(c) for c in _PAYLOAD], F.col("w.confidence").alias("confidence"))
 
 
 def to_wide(merged: DataFrame) -> DataFrame:
@@ -446,16 +440,48 @@ def as_candidates(extracted: DataFrame, source: str = "regex", stage: int = 0) -
     )
 
 
+def _fold(entries: Column) -> Column:
+    """Winner of the candidates of one field in stage order; null without any."""
+    scalar = ~F.col("field").isin(ARRAY_FIELDS)
+    return F.reduce(
+        F.slice(entries, 2, 2**31 - 2),
+        F.get(entries, F.lit(0)),
+        lambda acc, e: F.when(scalar & (e["confidence"] >= acc["confidence"] + MARGIN), e).otherwise(acc),
+    )
+
+
 def resolve_deeds(regex: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Resolved fields: score, merge, review decisions, fallback to patterns, clean-up.
 
-    ``regex`` and ``candidates`` are candidate tables. One row per document and field that has a value.
+    ``regex`` and ``candidates`` are candidate tables. One row per document and field that has a value. Both tables are
+    scored once and meet the decisions on (doc_id, field); merge, decision and fallback then come out of aggregates that
+    need no further shuffle. The steps one by one are ``merge_candidates``, ``apply_decisions`` and ``regex_fallback``.
     """
-    scored = score_candidates(candidates)
-    # Only the candidates a decision names are scored a second time.
-    named = candidates.unionByName(regex).join(decisions.select("doc_id", "field", "source_key"), ["doc_id", "field", "source_key"], "left_semi")
-    decided = apply_decisions(merge_candidates(scored), score_candidates(named), decisions)
-    filled = regex_fallback(decided, score_candidates(regex))
+    both = candidates.withColumn("pattern", F.lit(False)).unionByName(regex.withColumn("pattern", F.lit(True)))
+    named = decisions.where(F.col("source_key") != "").select("doc_id", "field", F.col("source_key").alias("_named"), "reason")
+    usable = score_candidates(both).where("meaningful").join(named, ["doc_id", "field"], "left")
+    order = F.struct("stage_order", "source_key").alias("order")
+    outcome = F.struct("confidence", *_PAYLOAD)
+    levels = usable.groupBy("doc_id", "field", "pattern", "confidence").agg(
+        F.min(F.struct(order, *_PAYLOAD)).alias("first"),
+        F.max(F.when(F.col("source_key") == F.col("_named"), F.struct(outcome.alias("value"), "reason"))).alias("decision"),
+    )
+    first = F.struct(F.col("first.order").alias("order"), "confidence", *[F.col(f"first.{c}").alias(c) for c in _PAYLOAD])
+    grouped = levels.groupBy("doc_id", "field").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("pattern"), first))).alias("entries"),
+        F.max(F.when(F.col("pattern"), F.struct("confidence", *[F.col(f"first.{c}").alias(c) for c in _PAYLOAD]))).alias("matched"),
+        F.max("decision").alias("decision"),
+    )
+    decided = F.col("decision").isNotNull()
+    fallback = ~decided & (F.size("entries") == 0)
+    folded = grouped.withColumn("won", _fold(F.col("entries")))
+
+    def chosen(name: str) -> Column:
+        return F.when(decided, F.col(f"decision.value.{name}")).when(fallback, F.col(f"matched.{name}")).otherwise(F.col(f"won.{name}")).alias(name)
+
+    filled = folded.select(
+        "doc_id", "field", *[chosen(c) for c in [*_PAYLOAD, "confidence"]], decided.alias("decided"), F.col("decision.reason").alias("reason"), fallback.alias("fallback")
+    )
     cleaned = filled.withColumn("value", sanitize_field(F.col("field"), F.col("value")))
     return cleaned.where(F.col("value").isNotNull() | F.col("field").isin(ARRAY_FIELDS))
 
