@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,9 @@ BINS, BITS, WORDS = 256, 4, 5
 #: Odd multipliers of the polynomial word hash and of its combination into shingles; any odd numbers do.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Ranges of doc_id that are dealt out as one sorted run each, at most.
-RUNS = 4096
-#: Bytes of text in a run that sizes the number of runs.
+#: Ranges of doc_id that are dealt out as one sorted run each, at most: the cuts are numbers that every task holds.
+RUNS = 16_384
+#: Bytes of text in a run, on average, until there are that many. A run is sorted by Spark and read as a stream.
 RUN_BYTES = 8_000_000
 
 
@@ -142,7 +143,13 @@ def compare_edits(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: i
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / runs) for i in range(1, runs)]), 10 * RUNS)).first()[0] if runs > 1 else None
     cuts = sorted(set(cuts or []))
     # Runs are numbered in descending order of doc_id; the last one has the null ids.
-    number = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    bounds = np.array(cuts, dtype=np.int64)
+
+    @F.pandas_udf("long")
+    def run_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), side="right"))
+
+    number = run_of(F.coalesce("doc_id", F.lit(0))) if cuts else F.lit(0)
     dealt = docs.withColumn("run", F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(number).cast("long"))
     tops = {r["run"]: r["top"] for r in dealt.groupBy("run").agg(F.max("doc_id").alias("top")).collect()}  # one row per run
     order = sorted(tops)
