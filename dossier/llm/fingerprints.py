@@ -165,7 +165,8 @@ def compare_edits(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: i
     heads = dealt.where(is_top).groupBy("run").agg(F.min(F.struct(F.negative("doc_id").alias("rank"), "text")).alias("first"))
     heads = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("first.text").alias("text"), F.element_at(before, F.col("run")).alias("run"), F.lit(True).alias("ahead"))
     rows = dealt.withColumn("ahead", F.lit(False)).unionByName(heads)
-    rows = rows.repartition(len(order), "run").sortWithinPartitions("run", "ahead", F.desc_nulls_last("doc_id"), "text")
+    # A run is a partition: hashing the few numbers would put several into one task.
+    rows = rows.repartitionById(max(order) + 1, F.col("run").cast("int")).sortWithinPartitions("run", "ahead", F.desc_nulls_last("doc_id"), "text")
     return rows.select("doc_id", "text", "run", "ahead").mapInArrow(lambda batches: _stream(batches, words, bins, bits), EDITS)
 
 
