@@ -215,6 +215,15 @@ def _(v):
 _SHEET_TITLES = ", ".join(f'{c} AS "{t}"' for c, t in zip(["documento", "gravedad", "error", "propuesta_solucion"], audit.EXPORT_HEADER))
 
 
+@register("company_findings", """
+    SELECT company_id, CASE WHEN days_to_expiry < 0 THEN 'issue' ELSE 'warning' END AS kind, id AS pos,
+           CASE WHEN days_to_expiry < 0 THEN 'Opinión ' || tipo || ' vencida desde hace ' || (-days_to_expiry) || ' día(s).'
+                ELSE 'Opinión ' || tipo || ' por vencer en ' || days_to_expiry || ' día(s).' END AS message
+    FROM v_expiry WHERE days_to_expiry <= 7""")
+def _(v):
+    return audit.company_findings(v.opinions(), AS_OF)
+
+
 @register("export_findings", f"SELECT validation_id, part, pos, {_SHEET_TITLES} FROM v_export_rows")
 def _(v):
     return exports.sheet_rows(audit.export_rows(v.validations(), v.findings(), v.report_rows())).drop("bucket")

@@ -95,6 +95,12 @@ def _(v):
     return pages.assemble_documents(pages.build_index_pages(v.pages()))
 
 
+@register("document_parts", """
+    SELECT doc_id, page_number, index_text, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) - 1 AS position FROM v_index_pages WHERE index_text <> ''""")
+def _(v):
+    return pages.document_parts(pages.build_index_pages(v.pages())).select("doc_id", "page_number", "index_text", "position")
+
+
 view_sql.register_view("v_native", """
     SELECT conv_id AS doc_id, CASE WHEN conv_id % 3 = 0 THEN CAST(count(*) AS VARCHAR) ELSE string_agg(text, chr(10) ORDER BY turn) END AS text,
            'i:' || string_agg(text, '|' ORDER BY turn) AS index_text FROM conversations GROUP BY conv_id""")

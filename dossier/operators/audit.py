@@ -123,6 +123,19 @@ def tender_checks(entities: dict[str, DataFrame], as_of: str) -> DataFrame:
     )
 
 
+def company_findings(opinions: DataFrame, as_of: str) -> DataFrame:
+    """What the opinions of a company add to the report of each of its tenders: one row per opinion, not per tender."""
+    days = F.col("days_to_expiry")
+    return with_expiry(opinions, as_of).where(F.col("expiry_status") != "ok").select(
+        "company_id",
+        F.when(days < 0, "issue").otherwise("warning").alias("kind"),
+        F.col("id").alias("pos"),
+        F.when(days < 0, F.concat(F.lit("Opinión "), "tipo", F.lit(" vencida desde hace "), (-days).cast("string"), F.lit(" día(s).")))
+        .otherwise(F.concat(F.lit("Opinión "), "tipo", F.lit(" por vencer en "), days.cast("string"), F.lit(" día(s).")))
+        .alias("message"),
+    )
+
+
 def tender_issues(entities: dict[str, DataFrame], as_of: str) -> DataFrame:
     """Issues and warnings in report order: checks, opinions, checklist items.
 
@@ -134,18 +147,10 @@ def tender_issues(entities: dict[str, DataFrame], as_of: str) -> DataFrame:
         .select("tender_id", F.lit("issue").alias("kind"), F.lit(0).alias("section"), F.col("check_no").alias("pos"),
                 F.concat_ws(": ", "label", "detail").alias("message"))
     )
-    # Only opinions that raise a message meet the tenders; the join is skew-split by adaptive execution.
-    days = F.col("days_to_expiry")
-    raised = with_expiry(entities["opinions"], as_of).where(F.col("expiry_status") != "ok").select(
-        "company_id",
-        F.when(days < 0, "issue").otherwise("warning").alias("kind"),
-        F.col("id").alias("pos"),
-        F.when(days < 0, F.concat(F.lit("Opinión "), "tipo", F.lit(" vencida desde hace "), (-days).cast("string"), F.lit(" día(s).")))
-        .otherwise(F.concat(F.lit("Opinión "), "tipo", F.lit(" por vencer en "), days.cast("string"), F.lit(" día(s).")))
-        .alias("message"),
-    )
+    # Only opinions that raise a message meet the tenders; the join is skew-split by adaptive execution. Where a company has
+    # very many of both, keep `company_findings` and join it when a report is read.
     opinions = (
-        entities["tenders"].select(F.col("id").alias("tender_id"), "company_id").join(raised, "company_id")
+        entities["tenders"].select(F.col("id").alias("tender_id"), "company_id").join(company_findings(entities["opinions"], as_of), "company_id")
         .select("tender_id", "kind", F.lit(1).alias("section"), "pos", "message")
     )
     items = (

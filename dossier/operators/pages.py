@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.pages import ocr_text_score, registry_score, rules_checklist
+from dossier.functions.ranking import dense_position
 from dossier.functions.text import clean_lines, collapse_ws, drop_noisy_lines, restore_tilde_words, single_blank_lines
 
 MIN_NATIVE_CHARS = 120
@@ -38,6 +39,15 @@ def assemble_documents(pages: DataFrame) -> DataFrame:
     return grouped.select("doc_id", collapse_ws(joined("text")).alias("text"), joined("index_text").alias("index_text"))
 
 
+def document_parts(pages: DataFrame) -> DataFrame:
+    """Index text of documents in ordered parts, one per non-empty page: ``(doc_id, position, page_number, index_text)``.
+
+    Use it instead of ``assemble_documents`` where a document may be too large for one cell.
+    """
+    some = pages.where(F.coalesce("index_text", F.lit("")) != "").select("doc_id", "page_number", "index_text")
+    return dense_position(some, ["doc_id"], [F.asc("page_number")], F.expr("page_number div 4096"))
+
+
 def choose_extraction(native: DataFrame, scanned: DataFrame) -> DataFrame:
     """Native text when it has at least 120 characters, else the scanned text (empty if there is none)."""
     other = scanned.select("doc_id", F.col("text").alias("_text"), F.col("index_text").alias("_index"))
