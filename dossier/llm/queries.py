@@ -103,10 +103,47 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page archived, read back and placed in the merged index; captured a second after the page before."""
     captured = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)))
     merged = warc.archive_pages(table(spark, folder, "pages"), captured)
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position")
 
 
 @query
 def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted in flat token files written from the table."""
     return token_files.count_documents(table(spark, folder, "documents")).select("doc_id", "n_tokens", "file", "ordinal", "start")
+
+
+def _escapes(c: str) -> str:
+    """Characters that escaping adds to a text, in SQL."""
+    controls = ["\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "[INST]", "[/INST]"]
+    return " + ".join(f"(length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in controls)
+
+
+ORACLES["op2_chat"] = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(chat.OPEN + chat.BODY + chat.CLOSE)} + length(role) + {_escapes("role")} + length(text) + {_escapes("text")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES["op5_warc"] = r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+           regexp_extract(url, '^[a-z]+://([^/?#]*)([^?#]*)(\?[^#]*)?', ['host', 'path', 'query']) AS u,
+           strftime(to_timestamp(1700000000 + page_id % 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS captured
+    FROM pages
+), d AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+           array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www\.', ''), '.')), ',') || ')'
+           || CASE WHEN rtrim(u.path, '/') = '' THEN '/' ELSE lower(rtrim(u.path, '/')) END || CASE WHEN length(u.query) > 1 THEN lower(u.query) ELSE '' END AS url_key
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to, url_key, captured,
+       row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position
+FROM d
+"""

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import bounded_batches, fresh_path, written
@@ -218,8 +218,16 @@ def merge_runs(runs: list[list[dict]]) -> Iterator[dict]:
 MERGED = ENTRIES + ", range long, place long"
 
 
+def _positions(merged: DataFrame) -> DataFrame:
+    """One number from zero instead of (range, place): places are shifted by the counts of the ranges before."""
+    merged = written(merged, "merged")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = merged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset_of_range"))
+    return merged.join(offsets, "range").withColumn("position", F.col("offset_of_range") + F.col("place")).drop("range", "place", "offset_of_range")
+
+
 def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Entries of all runs in global order: (range, place) sorts them by URL key, time and page_id.
+    """Entries of all runs in global order: ``position`` numbers them by URL key, time and page_id.
 
     ``entries`` is a written table. Cuts between ranges come from a sample of the entries' own order, so a key with very many captures is cut, too. A
     task merges the parts of all runs that fall into its range, about ``range_rows`` entries.
@@ -246,7 +254,7 @@ def merge_index(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
                 part = []
         yield pa.RecordBatch.from_pylist(part, schema=schema)
 
-    return spread.mapInArrow(run, MERGED)
+    return _positions(spread.mapInArrow(run, MERGED))
 
 
 def archive_pages(pages: DataFrame, captured: Column, path: str | None = None, least: int = LEAST_REVISIT) -> DataFrame:
