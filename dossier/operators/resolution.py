@@ -211,25 +211,27 @@ def front_pages_needed(readings: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``readings``: ``(doc_id, front_order, field, value)`` for every page and target; pages are read in ``front_order``. A field is
     satisfied by its first meaningful value; an act that only names the registry is not, and a later act replaces it.
-    The stopping page is found by aggregates: the last of the first hits, moved on to the next good act if need be.
+    The stopping page is the last of the first hits, moved on to the next good act if need be; it takes one aggregation.
     """
-    wanted = readings.join(targets.select("doc_id", "field"), ["doc_id", "field"], "left_semi")
     good = is_meaningful(F.col("value"))
     registry = F.coalesce(F.col("value").rlike(REGISTRY_AS_ACT), F.lit(False))
-    marked = wanted.withColumn("good", good).withColumn("final", good & ((F.col("field") != "acto") | ~registry))
-    first = marked.groupBy("doc_id", "field").agg(F.min(F.when(F.col("good"), F.col("front_order"))).alias("first"))
-    per_doc = targets.select("doc_id", "field").join(first, ["doc_id", "field"], "left").groupBy("doc_id").agg(
-        F.when(F.count("first") == F.count(F.lit(1)), F.max("first")).alias("all_seen"),
-        F.bool_or(F.col("field") == "acto").alias("wants_act"),
+    read = F.struct("front_order", "field", good.alias("good"), (good & ((F.col("field") != "acto") | ~registry)).alias("final"))
+    both = readings.select("doc_id", read.alias("read"), F.lit(None).cast("string").alias("target")).unionByName(
+        targets.select("doc_id", F.col("field").alias("target")), allowMissingColumns=True
     )
-    acts = marked.where((F.col("field") == "acto") & F.col("good")).join(per_doc.select("doc_id", "all_seen"), "doc_id").groupBy("doc_id").agg(
-        F.max_by("final", F.when(F.col("front_order") <= F.col("all_seen"), F.col("front_order"))).alias("act_ok"),
-        F.min(F.when(F.col("final") & (F.col("front_order") > F.col("all_seen")), F.col("front_order"))).alias("next_act"),
-    )
-    stop = per_doc.join(acts, "doc_id", "left").select(
-        "doc_id", F.when(~F.col("wants_act") | F.col("act_ok"), F.col("all_seen")).otherwise(F.col("next_act")).alias("stop")
-    )
-    pages = readings.select("doc_id", "front_order").distinct().join(stop, "doc_id")
+    # A document has a few front pages and at most four targets, so all of them fit in one row.
+    per_doc = both.groupBy("doc_id").agg(F.collect_list("read").alias("reads"), F.collect_set("target").alias("targets")).where(F.size("targets") > 0)
+
+    def orders(test) -> Column:
+        return F.transform(F.filter("reads", test), lambda r: r["front_order"])
+
+    first = F.transform("targets", lambda t: F.array_min(orders(lambda r: (r["field"] == t) & r["good"])))
+    seen = per_doc.withColumn("first", first).withColumn("all_seen", F.when(~F.exists("first", lambda o: o.isNull()), F.array_max("first")))
+    acts = F.filter("reads", lambda r: (r["field"] == "acto") & r["good"] & (r["front_order"] <= F.col("all_seen")))
+    last_act = F.array_max(F.transform(acts, lambda r: F.struct(r["front_order"].alias("o"), r["final"].alias("final"))))["final"]
+    next_act = F.array_min(orders(lambda r: (r["field"] == "acto") & r["final"] & (r["front_order"] > F.col("all_seen"))))
+    stop = F.when(~F.array_contains("targets", "acto") | last_act, F.col("all_seen")).otherwise(next_act)
+    pages = seen.withColumn("stop", stop).select("doc_id", "stop", F.explode(F.array_distinct(orders(lambda r: F.lit(True)))).alias("front_order"))
     return pages.where(F.col("stop").isNull() | (F.col("front_order") <= F.col("stop"))).select("doc_id", "front_order")
 
 
