@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,8 +16,6 @@ from dossier.llm.shared import bounded_batches, map_batches, smallest, strings
 
 #: Characters in an n-gram. Four characters of 16 bits make one exact 64-bit key.
 ORDER = 4
-#: Most frequent n-grams of the highest order that a language's model keeps: the size of the model, which is broadcast.
-MODEL_GRAMS = 250_000
 #: Labelled documents on which confidence and rejection are calibrated.
 CALIBRATION_ROWS = 4_000
 #: A document is rejected if its cross-entropy is this many standard deviations above the mean of its language.
@@ -138,8 +136,8 @@ class Model:
         return out / np.maximum(size, 1)[:, None], size
 
 
-def gram_counts(labelled: DataFrame, model_grams: int = MODEL_GRAMS) -> DataFrame:
-    """(lang, gram, n): counts of highest-order n-grams over all labelled rows, the most frequent per language."""
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n): counts of all highest-order n-grams over all labelled rows."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         langs, texts = batch.column(0).to_pylist(), [normalize(t) for t in strings(batch.column(1))]
@@ -148,9 +146,7 @@ def gram_counts(labelled: DataFrame, model_grams: int = MODEL_GRAMS) -> DataFram
             grams, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = map_batches(labelled.select("lang", "text"), each, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= model_grams).drop("rank")
+    return map_batches(labelled.select("lang", "text"), each, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,20 +262,22 @@ def _confidence(model: Model, margin: np.ndarray, size: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-(w[0] + w[1] * np.minimum(margin * np.sqrt(size), 20.0))))
 
 
-def train(labelled: DataFrame, model_grams: int = MODEL_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """Models of all languages in ``labelled`` (doc_id, lang, text), counted over all of its texts; None without any letter.
 
-    The driver reads at most ``model_grams`` n-grams per language, which are the model, and the scores of the
-    ``calibration_rows`` documents with the smallest seeded hash (of equal rows at the last place, so many again).
+    The driver reads every distinct n-gram with its count, which are the model: none is left out, so discounts and
+    continuation counts are those of all texts, and the model grows with the n-grams that the languages have. It also reads
+    the scores of the ``calibration_rows`` documents with the smallest seeded hash (of equal rows at the last place, so many again).
     """
-    found = gram_counts(labelled.where("lang is not null and text is not null"), model_grams).toArrow()
+    found = gram_counts(labelled.where("lang is not null and text is not null")).toArrow()
     if not found.num_rows:
         return None
-    langs = np.array(found.column("lang").to_pylist())
+    coded = found.column("lang").combine_chunks().dictionary_encode()
+    langs, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     counts = {}
-    for lang in sorted(set(langs.tolist())):
-        own = np.flatnonzero(langs == lang)
+    for code, lang in sorted(enumerate(names), key=lambda x: x[1]):
+        own = np.flatnonzero(langs == code)
         own = own[np.argsort(grams[own])]
         counts[lang] = grams[own], n[own]
     model = build_model(counts)

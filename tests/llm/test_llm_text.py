@@ -248,6 +248,18 @@ def test_language_against_dictionaries():
         assert abs(float(np.exp(model.log_probabilities(key)[0, 0])) - chance(gram)) < 1e-5, gram
 
 
+def test_language_model_keeps_every_gram(spark):
+    """More 4-grams than any fixed size of a model, nearly all of them seen once or twice."""
+    rnd = np.random.default_rng(11)
+    texts = ["".join(map(chr, 0x4E00 + rnd.integers(0, 20_000, 30_000))) for _ in range(10)]
+    docs = make(spark, [(i, t, "zh", None, None, None, None, None) for i, t in enumerate([*texts, *texts[:2]])])
+    _, keys = language.keys_of([*texts, *texts[:2]])
+    grams, n = np.unique(keys, return_counts=True)
+    assert len(grams) > 290_000 and {r.n: r.of for r in language.gram_counts(docs).groupBy("n").agg(F.count("*").alias("of")).collect()} == collections.Counter(n.tolist())
+    mine, plain = language.train(docs), language.build_model({"zh": (grams, n)})
+    assert (mine.log_probabilities(keys) == plain.log_probabilities(keys)).all() and len(mine.grams[3].hashes) == len(grams)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language.held_out())
     found = language.identify(docs, language.train(docs.where("not held_out")), keep=("doc_id", "lang", "held_out", "n_chars")).where("held_out and n_chars > 40")
