@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm.shared import bounded_batches, map_batches, smallest, strings
+from dossier.llm.shared import bounded_batches, map_batches, smallest, strings, written
 
 #: Characters in an n-gram. Four characters of 16 bits make one exact 64-bit key.
 ORDER = 4
-#: Labelled documents on which confidence and rejection are calibrated.
+#: Labelled documents on which the two weights of the confidence are fitted.
 CALIBRATION_ROWS = 4_000
 #: A document is rejected if its cross-entropy is this many standard deviations above the mean of its language.
 REJECT_SIGMAS = 8.0
-#: Documents of a language vary by this much at least, whatever the calibration rows show.
+#: Documents of a language vary by this much at least, whatever the labelled rows show.
 LEAST_DEVIATION = 0.08
 UNDETERMINED = "und"
 
@@ -94,7 +94,7 @@ class Model:
     grams: list[HashArray]  # order 1..n: [gram, language] log probability
     backoffs: list[HashArray]  # context length 1..n-1: [context, language] log weight
     unknown: np.ndarray  # log probability of an unseen character
-    chance: np.ndarray  # nats per character of drawing letters of the language at random
+    chance: np.ndarray  # nats per character of drawing characters at random, as often as the language has them
     calibration: dict
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
@@ -185,6 +185,13 @@ def _kneser_ney(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[list
     return probabilities, backoffs, uniform
 
 
+def _character_entropy(grams: np.ndarray, counts: np.ndarray) -> float:
+    """Nats per character of the counted texts; characters seen by accident weigh as little as they are rare."""
+    _, n = _sums(grams & np.uint64(0xFFFF), counts.astype(np.float64))
+    share = n / n.sum()
+    return float(-(share * np.log(share)).sum())
+
+
 def _union(parts: list[tuple[np.ndarray, np.ndarray]], missing) -> tuple[np.ndarray, np.ndarray]:
     """All keys of all languages with a [key, language] matrix; ``missing(language, keys)`` fills the gaps."""
     keys = np.unique(np.concatenate([k for k, _ in parts])) if parts else np.empty(0, dtype=np.uint64)
@@ -203,7 +210,7 @@ def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = O
     languages = sorted(counts)
     fitted = [_kneser_ney(*counts[x], order) for x in languages]
     unknown = np.log(np.array([u for *_, u in fitted], dtype=np.float64)).astype(np.float32)
-    chance = np.log([max(2, len(p[0][0])) for p, *_ in fitted])
+    chance = np.array([_character_entropy(*counts[x]) for x in languages])
     backoffs = [HashArray(*_union([b[n] for _, b, _ in fitted], lambda j, keys: np.zeros(len(keys)))) for n in range(order - 1)]
     arrays: list[HashArray] = []
     for n in range(1, order + 1):
@@ -225,14 +232,18 @@ def _weight(array: HashArray, contexts: np.ndarray, j: int) -> np.ndarray:
 def _choose(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(best language, its nats per character, margin to the second, characters)."""
     nats, size = model.cross_entropy(texts)
+    return *_best(nats), size
+
+
+def _best(nats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     best = nats.argmin(axis=1)
     lowest = nats[np.arange(len(nats)), best]
     second = np.partition(nats, 1, axis=1)[:, 1] if nats.shape[1] > 1 else lowest + 1.0
-    return best, lowest, second - lowest, size
+    return best, lowest, second - lowest
 
 
-def _calibrate(truth: np.ndarray, best: np.ndarray, lowest: np.ndarray, margin: np.ndarray, size: np.ndarray, languages: int) -> dict:
-    """Logistic confidence on the evidence (margin times the root of the length), and each language's usual entropy."""
+def _calibrate(truth: np.ndarray, best: np.ndarray, margin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Weights of a logistic confidence on the evidence (margin times the root of the length)."""
     x = np.stack([np.ones(len(margin)), np.minimum(margin * np.sqrt(size), 20.0)], axis=1)
     y, w = (truth == best).astype(float), np.array([0.0, 0.5])
     prior = np.array([0.0, 0.5])
@@ -240,14 +251,24 @@ def _calibrate(truth: np.ndarray, best: np.ndarray, lowest: np.ndarray, margin:
         p = 1 / (1 + np.exp(-x @ w))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), x.T @ (y - p) - 0.1 * (w - prior))
         w = w + np.clip(step, -2, 2)
+    return w
+
+
+def _usual(scores: DataFrame, languages: int) -> np.ndarray:
+    """[language]: mean nats per character, variance between documents, and variance times length, over all rows of
+    ``scores`` that are predicted as labelled; over all labelled rows of a language that has none of these.
+
+    One aggregate with partial sums; the driver reads two rows per language.
+    """
+    own, size = F.col("own"), F.col("size")
+    sums = {"n": F.count("*").cast("double"), "x": F.sum(own), "xx": F.sum(own * own), "s": F.sum(size).cast("double"), "sx": F.sum(size * own), "sxx": F.sum(size * own * own)}
+    found = scores.where("size > 0").groupBy("truth", F.expr("truth = best").alias("right")).agg(*[v.alias(k) for k, v in sums.items()])
     usual = np.full((languages, 3), np.inf)
-    for j in range(languages):
-        own = (truth == j) & (best == j) & (size > 0)
-        if own.any():
-            mean = np.average(lowest[own], weights=size[own])
-            off = (lowest[own] - mean) ** 2
-            usual[j] = mean, max(off.mean(), LEAST_DEVIATION**2), (off * size[own]).mean()
-    return {"weights": w, "usual": usual}
+    for r in sorted(found.collect(), key=lambda r: r["right"]):
+        mean = r["sx"] / r["s"]
+        between, within = r["xx"] / r["n"] - 2 * mean * r["x"] / r["n"] + mean**2, (r["sxx"] - mean * r["sx"]) / r["n"]
+        usual[r["truth"]] = mean, max(between, LEAST_DEVIATION**2), max(within, 0.0)
+    return usual
 
 
 def _limits(model: Model, best: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -266,8 +287,10 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Mode
     """Models of all languages in ``labelled`` (doc_id, lang, text), counted over all of its texts; None without any letter.
 
     The driver reads every distinct n-gram with its count, which are the model: none is left out, so discounts and
-    continuation counts are those of all texts, and the model grows with the n-grams that the languages have. It also reads
-    the scores of the ``calibration_rows`` documents with the smallest seeded hash (of equal rows at the last place, so many again).
+    continuation counts are those of all texts, and the model grows with the n-grams that the languages have. All labelled
+    texts are scored once more: what is usual of a language comes from all of its rows, two rows per language for the
+    driver; the weights of the confidence from the ``calibration_rows`` documents with the smallest seeded hash (of equal
+    rows at the last place, so many again).
     """
     found = gram_counts(labelled.where("lang is not null and text is not null")).toArrow()
     if not found.num_rows:
@@ -285,13 +308,18 @@ def train(labelled: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Mode
     shipped = spark.sparkContext.broadcast(model)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        best, lowest, margin, size = _choose(shipped.value, [normalize(t) for t in strings(batch.column(1))])
-        truth = [place.get(x, -1) for x in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(truth, pa.int64()), pa.array(best, pa.int64()), pa.array(lowest), pa.array(margin), pa.array(size, pa.int64())], names=["truth", "best", "lowest", "margin", "size"])
-
-    sample = smallest(labelled.where("lang is not null and text is not null").select("lang", "text", "doc_id"), F.xxhash64("doc_id", "text", F.lit(7)), calibration_rows)
-    rows = map_batches(sample.select("lang", "text"), each, "truth long, best long, lowest double, margin double, size long").limit(2 * calibration_rows).toArrow()
-    model.calibration = _calibrate(*(rows.column(c).to_numpy() for c in ("truth", "best", "lowest", "margin", "size")), len(model.languages))
+        texts = [normalize(t) for t in strings(batch.column(1))]
+        truth = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+        nats, size = shipped.value.cross_entropy(texts)
+        best, _, margin = _best(nats)
+        own = nats[np.arange(len(texts)), truth]
+        yield pa.RecordBatch.from_arrays([pa.array(truth), pa.array(best, pa.int64()), pa.array(own), pa.array(margin), pa.array(size, pa.int64()), batch.column(2)], names=["truth", "best", "own", "margin", "size", "key"])
+
+    known = labelled.where(F.col("lang").isin(model.languages) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("key"))
+    scores = written(map_batches(known, each, "truth long, best long, own double, margin double, size long, key long"), "language-scores")
+    rows = smallest(scores, F.col("key"), calibration_rows).limit(2 * calibration_rows).toArrow()
+    weights = _calibrate(*(rows.column(c).to_numpy() for c in ("truth", "best", "margin", "size")))
+    model.calibration = {"weights": weights, "usual": _usual(scores, len(model.languages))}
     return model
 
 

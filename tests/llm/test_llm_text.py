@@ -260,6 +260,29 @@ def test_language_model_keeps_every_gram(spark):
     assert (mine.log_probabilities(keys) == plain.log_probabilities(keys)).all() and len(mine.grams[3].hashes) == len(grams)
 
 
+def test_language_limits_come_from_all_rows(spark):
+    """A language without a row in the confidence sample is rejected like any other; stray characters do not move limits."""
+    rows = [(i, f"the quick brown fox number jumps over lazy dogs and {w} runs", "en") for i, w in enumerate(["one", "two", "three"] * 20)]
+    rows += [(100, "der schnelle braune Fuchs springt über faule Hunde und läuft weiter", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, calibration_rows=3)
+    assert np.isfinite(model.calibration["usual"]).all()
+    mean, between, within = model.calibration["usual"][model.languages.index("en")]
+    texts = [language.normalize(t) for _, t, x in rows if x == "en"]
+    nats, size = model.cross_entropy(texts)
+    own = nats[:, model.languages.index("en")]
+    off = (own - np.average(own, weights=size)) ** 2
+    assert np.allclose([mean, between, within], [np.average(own, weights=size), max(off.mean(), language.LEAST_DEVIATION**2), (off * size).mean()])
+    junk = spark.createDataFrame([(1, "fühl sühlt wühler gäbe düfte bücher " * 10)], "doc_id long, text string")
+    assert [(r.lang_pred, r.rejected) for r in language.identify(junk, model).collect()] == [("de", True)]
+    text = language.normalize("the quick brown fox jumps over the lazy dog " * 400)
+    chance = []
+    for strays in ("", "".join(map(chr, range(0x4E00, 0x4E14)))):
+        grams, n = np.unique(language.keys_of([text + strays])[1], return_counts=True)
+        chance.append(language.build_model({"en": (grams, n)}).chance[0])
+    assert abs(chance[1] - chance[0]) < 0.03
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language.held_out())
     found = language.identify(docs, language.train(docs.where("not held_out")), keep=("doc_id", "lang", "held_out", "n_chars")).where("held_out and n_chars > 40")
