@@ -32,7 +32,7 @@ _DIGITS = re.compile(r"[^0-9]")
 
 #: Where an added kind may be; group 1 is the span.
 _ADDED = {
-    "secret": re.compile(r"(?:pass(?:word|wd|phrase)|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,200})", re.I),
+    "secret": re.compile(r"(?:pass(?:word|wd|phrase)|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,})", re.I),
     "masked_email": re.compile(r"([A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\s[Aa][Tt]\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\s[Dd][Oo][Tt]\s|\.)\s?[A-Za-z0-9-]{1,63}){1,4})"),
     "local_phone": re.compile(r"(?<![\w+.-])(\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
@@ -41,14 +41,14 @@ _ADDED = {
     "address": re.compile(r"(?<!\w)([0-9]{1,5}[A-Za-z]?\x20(?:[A-ZÀ-Þ][\w'-]{1,40}\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Straße|Strasse))\b"),
     "birth_date": re.compile(r"(?:\b(?:born(?: on)?|[Dd]ate of birth|DOB|geboren am|né(?:e)? le|nacido el)\b:?\x20)([0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4})"),
 }
-#: Something a text must contain before the pattern above is tried; keeps whole-text passes cheap.
+#: Something that every match of the pattern above contains, so no candidate is lost; keeps whole-text passes cheap.
 _HINT = {
-    "secret": re.compile(r"(?:[Pp][Aa][Ss][Ss]|[Pp][Ww][Dd]|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Kk][Ee][Yy])[\w-]{0,8}[\"']?\s{0,3}[:=]"),
-    "masked_email": re.compile(r"[\[(](?:at|dot)[\])]|\s[Dd][Oo][Tt]\s"),
+    "secret": re.compile(r"(?:[Pp][Aa][Ssſ][Ssſ]|[Pp][Ww][Dd]|[Tt][Oo][Kk\u212A][Ee][Nn]|[Ssſ][Ee][Cc][Rr][Ee][Tt]|[Kk\u212A][Ee][Yy])[\w-]{0,8}[\"']?\s{0,3}[:=]"),
+    "masked_email": re.compile(r"(?:\[at\]|\(at\)|\s[Aa][Tt]\s)\s?[A-Za-z0-9-]{1,63}\s?(?:\[dot\]|\(dot\)|\s[Dd][Oo][Tt]\s|\.)\s?[A-Za-z0-9-]"),
     "local_phone": re.compile(r"[0-9]{3}[\x20.-][0-9]{4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}"),
     "national_id": re.compile(r"[0-9]-[0-9]{2}-[0-9]"),
-    "name": re.compile(r"\b(?:M[rs]s?|Dr|Prof|Herr|Frau|Mme|Sra?)\b|name|heiße|appelle|llamo"),
+    "name": re.compile(r"\b(?:M[rs]s?|Dr|Prof|Herr|Frau|Mme|Sra?)\b|[Nn]ame|heiße|appelle|llamo"),
     "address": re.compile(r"[0-9][A-Za-z]?\x20[A-ZÀ-Þ]"),
     "birth_date": re.compile(r"born|birth|DOB|geboren|né|nacido"),
 }
@@ -63,6 +63,8 @@ _CONTEXT = {
 }
 _CONTEXT = {kind: re.compile(pattern, re.I) for kind, pattern in _CONTEXT.items()}
 _OTHER_CONTEXT = re.compile(r"version|\bv$|section|chapter|isbn|issn|order no|invoice|figure|table|page|build|revision|rfc", re.I)
+#: A full stop with a blank beside it: "at home. The" has the form of a masked address, but ends a sentence.
+_SENTENCE_END = re.compile(r"\s\.|\.\s")
 #: Code points looked at before a span.
 WINDOW = 40
 
@@ -139,6 +141,8 @@ def vote(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         form = 1 if len(value) >= 8 and any(c.isdigit() for c in value) else -1
     elif kind == "birth_date":
         form = 1 if len(digits) in (6, 7, 8) else -1
+    elif kind == "masked_email" and _SENTENCE_END.search(value):
+        form = -1
     else:
         form = 1 if len(value) >= 5 else 0
     if digits:

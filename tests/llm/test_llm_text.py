@@ -347,6 +347,23 @@ def test_added_kinds_and_redaction(spark, odd):
     assert pii.redacted("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[IP]f"
 
 
+def test_hints_lose_no_candidate(monkeypatch):
+    rnd = random.Random(4)
+    pool = ["Name: ", "name: ", "My name is ", "John Smith", "Mr. ", "Sra ", "jane", " at ", " AT ", "[at]", "(at)", "example", ".", " dot ", "[dot]", "com", " ", "paſſword=", "toKen: ", "to\u212Aen: ", "api_\u212Aey=", "hunter2hunter2", "né le ", "1.2.1990", "12 Long Street", "\n"]
+    texts = ["Name: John Smith", "write to jane at example.com", *("".join(rnd.choices(pool, k=rnd.randint(2, 9))) for _ in range(6000))]
+    hinted = [pii.added_candidates(t, []) for t in texts]
+    assert hinted[0] == [("name", 6, 16)] and hinted[1][0][0] == "masked_email"
+    monkeypatch.setattr(pii, "_HINT", dict.fromkeys(pii.ADDED_KINDS, re.compile("")))
+    assert hinted == [pii.added_candidates(t, []) for t in texts]
+
+
+def test_sentences_are_no_masked_addresses(spark):
+    texts = ["write to jane at example.com please", "he stayed at home. The rest left", "they met at noon. Nobody came"]
+    docs = make(spark, [(i, t, None, None, None, None, None, None) for i, t in enumerate(texts * 5)])
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(docs, pii.train(docs)).collect()}
+    assert found[0].startswith("masked_email:") and found[1] == found[2] == ""
+
+
 def test_reliabilities_recover_labelers():
     rnd = np.random.default_rng(0)
     truth = rnd.random(4000) < 0.4
