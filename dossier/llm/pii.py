@@ -107,7 +107,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that may be of the added kinds and overlap no base span, nor an earlier kind's."""
+    """Spans that may be of the added kinds and overlap no base span, nor an earlier kind's.
+
+    Of a secret that overlaps base spans, the parts between them are candidates.
+    """
     out, taken = [], [(a, b) for _, a, b in base]
     for kind in ADDED_KINDS:
         if not _HINT[kind].search(text):
@@ -117,6 +120,11 @@ def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
             if all(b <= x or y <= a for x, y in taken):
                 taken.append((a, b))
                 out.append((kind, a, b))
+            elif kind == "secret":
+                cuts = sorted((x, y) for x, y in taken if x < b and a < y)
+                free = [(x, y) for x, y in zip([a, *(y for _, y in cuts)], [*(x for x, _ in cuts), b], strict=True) if y - x >= 6]
+                taken += free
+                out += [(kind, x, y) for x, y in free]
     return out
 
 

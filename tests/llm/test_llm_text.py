@@ -364,6 +364,15 @@ def test_sentences_are_no_masked_addresses(spark):
     assert found[0].startswith("masked_email:") and found[1] == found[2] == ""
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    rnd = random.Random(6)
+    key = "".join(rnd.choices("abcdefghijkXYZ0123456789_-", k=900))
+    texts = [f"use token={key} now", f"use token={key[:250]}&x@y.org&{key[:80]} now"]
+    docs = make(spark, [(i, t, None, None, None, None, None, None) for i, t in enumerate(texts * 5)])
+    clean = {r.doc_id: r.text for r in pii.redact(docs, pii.train(docs)).collect()}
+    assert clean[0] == "use token=[SECRET] now" and clean[1] == "use token=[SECRET][EMAIL][SECRET] now"
+
+
 def test_reliabilities_recover_labelers():
     rnd = np.random.default_rng(0)
     truth = rnd.random(4000) < 0.4
