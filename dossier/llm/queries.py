@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import chat, fingerprints, language, mixing, packing, pii, simhash, token_files, topk, warc
+from dossier.llm import alignment, chat, fingerprints, language, mixing, packing, pii, runs, setjoin, simhash, token_files, topk, warc
 from dossier.llm.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +112,48 @@ def op9_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.count_documents(table(spark, folder, "documents")).select("doc_id", "n_tokens", "file", "ordinal", "start")
 
 
+@query
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, some with a tail that repeats."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(docs.withColumn("text", runs.repeat_tails(F.col("text"), F.col("doc_id"))))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_setjoin(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate group of every document by similar sets of five-word shingles."""
+    groups = setjoin.similar_sets(table(spark, folder, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLES["op12_setjoin"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+    FROM w
+), one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), link AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id
+    HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+    SELECT doc_id, doc_id AS root FROM s
+    UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.doc_id
+), c AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
+
+
+@query
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How two tokenizers cut every document, and how usual their linked ids are."""
+    return alignment.align_documents(table(spark, folder, "documents"))
+
+
 def _escapes(c: str) -> str:
     """Characters that escaping adds to a text, in SQL."""
     controls = ["\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>", "[INST]", "[/INST]"]
