@@ -1,6 +1,7 @@
 """Periodic runs, set similarity join and tokenizer alignment against plain versions."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -243,6 +244,7 @@ def plain_alignment(rows):
     )
 
 
+@functools.cache
 def token_bytes(token):
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(x): x for x in plain}
