@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import components
@@ -18,10 +18,12 @@ from dossier.llm.shared import bounded_batches, map_batches, strings, written
 
 #: Minwise tokens of a set; trees choose their branches among them.
 TOKENS = 64
-#: Sets in a node that are compared with each other; a larger node branches.
-NODE = 128
+#: Sets in a node that are compared with each other by their tokens; a larger node branches.
+NODE = 2048
 #: Levels of branching. What is still larger below the last one is compared tile by tile.
 DEPTH = 6
+#: Trees of the first round. It joins families of like sets, so that the other trees only meet what is still apart.
+FIRST_TREES = 2
 #: Share of nodes that branch by a second token. One token alone would lose a pair with chance 1 - similarity at every
 #: level; the second makes up for that, as in a branching process whose mean does not fall below one.
 SECOND = 0.25
@@ -120,29 +122,42 @@ def _by_group(df: DataFrame, each: Callable[[pa.Table], Iterator[pa.RecordBatch]
     return df.repartition("grp").sortWithinPartitions("grp").mapInArrow(groups, schema)
 
 
+def _finished(half: int) -> Column:
+    """Nodes that are compared whole: small ones, and those of one large component and few sets besides."""
+    return (F.col("n") <= NODE) | ((F.col("largest") > 1) & (F.col("n") - F.col("largest") <= half))
+
+
 def _group_rows(nodes: DataFrame, last: bool) -> DataFrame:
-    """(grp, cls, comp) of the comparisons to make: rows of ``nodes`` (node, cls, comp, n, leader, leader_comp).
+    """(grp, cls, comp) of the comparisons to make in ``nodes`` (node, cls, comp, n, leader, largest, largest_comp).
 
-    A node of at most ``NODE`` sets is a group. A larger one is dealt into groups by hash, each of which also gets the
-    node's leader, so that a family of like sets becomes one component in one level; it branches afterwards. At the last
-    level every pair of tiles of a larger node is a group, which leaves no pair out.
+    A node of at most ``NODE`` sets is a group. Of a larger one with one large component, the component is dealt into parts
+    by hash and every part also gets all the other sets: no pair of two components is left out, and rows grow with the
+    node. Any other node is dealt into groups with its leader, so that a family of like sets becomes one component in one
+    level; it branches afterwards. At the last level every pair of its tiles is a group, which leaves no pair out.
     """
+    half = NODE // 2
     small = nodes.where(F.col("n") <= NODE).select(F.col("node").alias("grp"), "cls", "comp")
-    large = nodes.where(F.col("n") > NODE)
-    if not last:
-        parts = F.ceil(F.col("n") / (NODE - 1))
-        dealt = large.withColumn("grp", F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts)))
-        leaders = large.where("cls = leader").withColumn("grp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.xxhash64("node", p))))
-        return small.unionByName(dealt.select("grp", "cls", "comp")).unionByName(leaders.select("grp", "cls", "comp")).distinct()
-    tiles = F.ceil(F.col("n") / (NODE // 2))
-    tiled = large.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    return small.unionByName(tiled.select(F.xxhash64("node", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"), "cls", "comp"))
+    lopsided = nodes.where((F.col("n") > NODE) & _finished(half)).withColumn("parts", F.ceil(F.col("largest") / half))
+    part = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    sides = lopsided.withColumn("part", F.explode(F.when(F.col("comp") == F.col("largest_comp"), F.array(part)).otherwise(every)))
+    large = nodes.where(~_finished(half))
+    out = small.unionByName(sides.select(F.xxhash64("node", "part").alias("grp"), "cls", "comp"))
+    if last:
+        tiles = F.ceil(F.col("n") / half)
+        tiled = large.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        return out.unionByName(tiled.select(F.xxhash64("node", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"), "cls", "comp"))
+    parts = F.ceil(F.col("n") / (NODE - 1))
+    dealt = large.withColumn("grp", F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts)))
+    leaders = large.where("cls = leader").withColumn("grp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.xxhash64("node", p))))
+    return out.unionByName(dealt.select("grp", "cls", "comp")).unionByName(leaders.select("grp", "cls", "comp"))
 
 
 def _candidates(groups: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(grp, cls, comp): of each group the sets that by their tokens may be similar to one of another component.
 
-    A group is named by its members now, so that one that several trees find is compared once.
+    Sets that such pairs connect are a group of their own now, named by its members, so that one that several trees find
+    is compared once.
     """
     floor = similarity - ERRORS * math.sqrt(similarity * (1 - similarity) / TOKENS)
 
@@ -152,16 +167,19 @@ def _candidates(groups: DataFrame, classes: DataFrame, similarity: float) -> Dat
         if len(cls) < 2 or (comp == comp[0]).all():
             return
         tokens = group.column("tokens").combine_chunks().values.to_numpy().reshape(-1, TOKENS)[first]
-        near = np.zeros(len(cls), dtype=bool)
+        label = np.arange(len(cls))
         for i in range(len(cls) - 1):
-            hit = ((tokens[i + 1 :] == tokens[i]).sum(axis=1) >= floor * TOKENS) & (comp[i + 1 :] != comp[i])
-            if hit.any():
-                near[i] = True
-                near[i + 1 :] |= hit
-        if near.any():
-            cls, comp = cls[near], comp[near]
-            name = int.from_bytes(hashlib.blake2b(cls.tobytes(), digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), name)), pa.array(cls), pa.array(comp)], names=["grp", "cls", "comp"])
+            after = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            hit = after[(tokens[after] == tokens[i]).sum(axis=1) >= floor * TOKENS]
+            if len(hit):
+                joined = np.unique(np.append(label[hit], label[i]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+        order = np.argsort(label, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(part) > 1:
+                name = int.from_bytes(hashlib.blake2b(cls[part].tobytes(), digest_size=8).digest(), "little", signed=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(cls[part]), pa.array(comp[part])], names=["grp", "cls", "comp"])
 
     rows = groups.join(classes.select("cls", "tokens"), "cls").select("grp", "cls", "comp", "tokens")
     return _by_group(rows, each, "grp long, cls long, comp long").dropDuplicates(["grp", "cls"])
@@ -193,48 +211,57 @@ def _confirmed(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         cls, first = np.unique(group.column("cls").to_numpy(), return_index=True)
         comp = group.column("comp").to_numpy()[first]
         binary = group.column("shingles").combine_chunks()
-        sets = [np.frombuffer(binary[int(i)].as_py(), dtype="<u8") for i in first]
-        sizes = np.array([len(s) for s in sets])
-        shared = _intersections(sets)
-        similar = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
-        root = np.arange(len(cls))
-        links = []
-        for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
-            if comp[i] != comp[j] and root[i] != root[j]:
-                root[root == root[j]] = root[i]
-                links.append((cls[i], cls[j]))
+        links = list(forest([np.frombuffer(binary[int(i)].as_py(), dtype="<u8") for i in first], comp, percent))
         if links:
-            a, b = zip(*links, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = (cls[list(side)] for side in zip(*links, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     rows = clusters.join(sets, "cls").select("grp", "cls", "comp", "shingles")
     return _by_group(rows, each, "a long, b long")
 
 
-def _intersections(sets: list[np.ndarray], width: int = 1 << 16) -> np.ndarray:
-    """Sizes of all intersections, exactly: a zero-one matrix times itself, ``width`` shingles at a time."""
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
-    order = np.argsort(place, kind="stable")
-    place, owner = place[order], owner[order]
-    for at in range(0, len(values), width):
-        low, high = np.searchsorted(place, (at, at + width))
-        part = np.zeros((len(sets), min(width, len(values) - at)), dtype=np.float32)
-        part[owner[low:high], place[low:high] - at] = 1
-        out += np.rint(part @ part.T).astype(np.int64)
-    return out
+def forest(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links (i, j) between sets of different ``comp`` that are similar by full intersection, thinned to a forest.
+
+    The first set is compared with all. Then every set outside the component that is largest by now is compared with all
+    sets of other components; pairs inside a component need no link, and two sets of the largest are in one.
+    """
+    names, place = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(names), dtype=bool)
+    comp = np.unique(comp, return_inverse=True)[1]
+
+    def links_of(i: int) -> Iterator[tuple[int, int]]:
+        own = place[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[place], starts, dtype=np.int64)
+        mark[own] = False
+        for j in np.flatnonzero((comp != comp[i]) & (100 * shared >= percent * (sizes + sizes[i] - shared))).tolist():
+            if comp[j] != comp[i]:
+                comp[comp == comp[j]] = comp[i]
+                yield i, j
+
+    yield from links_of(0)
+    for i in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():
+        if (comp != comp[i]).any():
+            yield from links_of(i)
 
 
 def _with_stats(rows: DataFrame) -> DataFrame:
-    """Rows (node, cls, comp) of nodes that hold two components at least, with size and leader; equal nodes stay once."""
+    """Rows (node, cls, comp) of nodes that hold two components at least, with size, leader and largest component; equal
+    nodes stay once."""
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("leader"), F.max("cls").alias("greatest"), F.bit_xor(F.xxhash64("cls")).alias("members"))
     stats = (
-        rows.groupBy("node")
-        .agg(F.count("*").alias("n"), F.min("cls").alias("leader"), F.max("cls").alias("greatest"), F.bit_xor(F.xxhash64("cls")).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .where("low <> high")
+        parts.groupBy("node")
+        .agg(
+            F.sum("n").alias("n"), F.min("leader").alias("leader"), F.max("greatest").alias("greatest"), F.bit_xor("members").alias("members"),
+            F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"),
+        )
+        .where("comps > 1")
     )
-    one = stats.groupBy("n", "leader", "greatest", "members").agg(F.min("node").alias("node"))
-    return rows.join(one.select("node", "n", "leader"), "node")
+    one = stats.groupBy("n", "leader", "greatest", "members").agg(F.min("node").alias("node"), F.first("top").alias("top"))
+    return rows.join(one.select("node", "n", "leader", F.col("top.n").alias("largest"), F.col("top.comp").alias("largest_comp")), "node")
 
 
 def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: float = 0.9999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -244,6 +271,7 @@ def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: flo
     a node's classes branch by one or two minwise tokens that the node chooses, a class going to the child of its value.
     A node of at most ``NODE`` classes is compared exhaustively: tokens first, then full sets. Larger nodes are dealt into
     groups with a leader, which joins families of like sets; then those that still hold several components branch on.
+    Two trees go first; what they join need not be compared again by the others.
     component_id is the smallest doc_id that links reach, the row's own included.
 
     Texts null, empty or blank have no shingles: n_shingles 0, linked with nothing, component_id their own id. A text of
@@ -254,8 +282,12 @@ def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: flo
     trees = trees_for(recall, percent / 100)
     prints = written(sketches(docs, words), "sketches")
     classes = written(prints.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens")), "classes")
-    start = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.get("tokens", t)))
-    rows = classes.select(F.explode(start).alias("node"), "cls", F.col("cls").alias("comp"))
+
+    def first_level(low: int, high: int) -> DataFrame:
+        nodes = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda t: F.xxhash64(t, F.get("tokens", t)))
+        return classes.select(F.explode(nodes).alias("node"), "cls")
+
+    rows = first_level(0, min(trees, FIRST_TREES)).withColumn("comp", F.col("cls"))
     links: DataFrame | None = None
     for level in range(1, DEPTH + 1):
         nodes = written(_with_stats(rows), f"nodes{level}")
@@ -264,10 +296,13 @@ def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: flo
             wanted = written(clusters.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), f"wanted{level}")
             found = written(_confirmed(clusters, _full_sets(docs, wanted, words), percent), f"links{level}")
             links = found if links is None else links.unionByName(found)
-        large = nodes.where(F.col("n") > NODE)
-        if level == DEPTH or large.isEmpty():
+        large = nodes.where(~_finished(NODE // 2)).select("node", "cls")
+        rest = level == 1 and trees > FIRST_TREES
+        if level == DEPTH or not rest and large.isEmpty():
             break
         rows = _children(_relabelled(large, links), classes)
+        if rest:
+            rows = rows.unionByName(_relabelled(first_level(FIRST_TREES, trees), links))
     named = classes.select("cls", "rep", F.col("cls").alias("root"))
     if links is not None:
         found = components.roots(links).select(F.col("node").alias("cls"), F.col("root").alias("linked"))

@@ -179,11 +179,11 @@ def families(rnd):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("node", [128, 8])
+@pytest.mark.parametrize("node", [2048, 16])
 def test_similar_sets_equal_all_pairs(spark, node, monkeypatch):
     """With small nodes, families and the shared passage branch, meet leaders and are compared tile by tile."""
     monkeypatch.setattr(setjoin, "NODE", node)
-    if node == 8:
+    if node == 16:
         monkeypatch.setattr(setjoin, "DEPTH", 3)
     rows = families(random.Random(3))
     got = setjoin.similar_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
@@ -199,8 +199,30 @@ def test_minwise_tokens_and_recall():
         share.append((setjoin.minwise(a) == setjoin.minwise(b)).mean())
     assert abs(np.mean(share) - 0.85) < 0.02
     assert setjoin.trees_for(0.9999, 0.85) > setjoin.trees_for(0.9, 0.85) > 1
-    sets = [np.unique(rnd.integers(0, 500, 200, dtype=np.uint64)) for _ in range(6)]
-    assert setjoin._intersections(sets, 64).tolist() == [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+
+
+def test_forest_connects_what_links_connect():
+    rnd = np.random.Generator(np.random.PCG64(4))
+    for _ in range(60):
+        base = [rnd.integers(0, 1000, 60, dtype=np.uint64) for _ in range(3)]
+        sets = [np.unique(np.concatenate([base[rnd.integers(3)][rnd.integers(0, 8) :], rnd.integers(0, 1000, rnd.integers(0, 6), dtype=np.uint64)])) for _ in range(25)]
+        comp = rnd.integers(0, 25, 25)
+        root, plain = {c: c for c in comp.tolist()}, {c: c for c in comp.tolist()}
+
+        def join(roots, i, j):
+            a, b = roots[int(comp[i])], roots[int(comp[j])]
+            for c in roots:
+                roots[c] = a if roots[c] == b else roots[c]
+
+        for i, j in itertools.combinations(range(25), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                join(plain, i, j)
+        links = list(setjoin.forest(sets, comp.copy(), 85))
+        for i, j in links:
+            join(root, i, j)
+        groups = lambda roots: {frozenset(c for c in roots if roots[c] == r) for r in set(roots.values())}
+        assert groups(root) == groups(plain) and len(links) == len(set(comp.tolist())) - len(groups(plain))
 
 
 def plain_alignment(rows):
