@@ -1,4 +1,4 @@
-"""Queries over the stateless stream logic, run as a batch."""
+"""Queries over the stream operators: the stateless ones as a batch, workflow requests as a stream of files."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from dossier.catalog import chunks, register, text, view_sql  # noqa: F401  (both register views that are used here)
+from dossier.catalog import chunks, register, text, view_sql, workflow  # noqa: F401  (they register views that are used here)
 from dossier.operators.pages import build_index_pages
 from dossier.plans import documents as flow
+from dossier.session import fresh_folder
 from dossier.streaming.events import audit_events
+from dossier.streaming.transitions import stream_transitions
 
 
 @register("audit_event_intake", """
@@ -35,3 +37,42 @@ def _(v):
     pages = v.pages()
     facts = pages.select("doc_id").distinct().selectExpr("doc_id", "'acta' as document_type", "concat('f/', cast(doc_id as string)) as storage_path", "doc_id % 25 as user_id")
     return flow.chunk_vectors(flow.rated_chunks(build_index_pages(pages)), facts).select("namespace", "id", "chunk_index", "text", F.size("values").alias("dimension"))
+
+
+#: Files that the requests arrive in, one per micro-batch.
+ARRIVALS = 4
+
+
+def arriving_requests(v):
+    """The requests with their time and the file in which each arrives: up to half a file's stretch of time too late."""
+    times = v.table("events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("requested_at"))
+    timed = v.transition_requests().join(times, "seq")
+    first, last = timed.agg(F.unix_micros(F.min("requested_at")), F.unix_micros(F.max("requested_at"))).first()
+    stretch = max(1, (last - first) // ARRIVALS) if first is not None else 1
+    arrival = F.unix_micros("requested_at") - (first or 0) + F.pmod(F.xxhash64("seq"), F.lit(stretch // 2 + 1))
+    return timed.withColumn("file", F.least(F.floor(arrival / stretch), F.lit(ARRIVALS - 1))), stretch, last
+
+
+@register("stream_transitions", "SELECT entity_type, entity_id, seq, from_state, to_state, outcome, next_state AS state, FALSE AS late FROM v_replay")
+def _(v):
+    requests, stretch, last = arriving_requests(v)
+    source, target = fresh_folder(v.spark, "requests"), fresh_folder(v.spark, "judged")
+    columns = [c for c in requests.columns if c != "file"]
+    # The heartbeat in the last file lets all requests before it be judged.
+    end = F.timestamp_micros(F.lit(last or 0) + 10 * F.lit(stretch))
+    heartbeat = v.spark.range(1).select(*[end.alias(c) if c == "requested_at" else F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in columns])
+    for file in range(ARRIVALS):
+        part = requests.where(F.col("file") == file).select(*columns)
+        part = part.unionByName(heartbeat) if file == ARRIVALS - 1 else part
+        part.sort(F.xxhash64("seq")).write.mode("append").parquet(f"{source}/file={file}")
+    arriving = v.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = v.spark.conf.get(provider)
+    v.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        judged = stream_transitions(arriving, f"{2 * stretch} microseconds")
+        query = judged.writeStream.format("parquet").option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start(target)
+    finally:
+        v.spark.conf.set(provider, before)
+    query.awaitTermination()
+    return v.spark.read.schema(judged.schema).parquet(target).drop("user_id", "reason")

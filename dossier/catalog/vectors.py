@@ -9,6 +9,7 @@ from dossier.catalog.extraction import documents as document_ids
 from dossier.catalog.extraction import missing
 from dossier.functions.embedding import embed_chunks, hashed_vector
 from dossier.functions.pages import page_overlap
+from dossier.functions.similarity import text_similarity
 from dossier.operators import correction, ranked_lists, vectors
 from dossier.operators.resolution import RETRY_QUERIES
 
@@ -420,6 +421,36 @@ def _(v):
     return best.select("doc_id", "chunk_index", "candidate_index", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
+# The similarity itself on short texts. Each step takes the longest common stretch (first in a, then in b) and leaves what is
+# left and right of it to the next.
+def _longest(a: str, b: str) -> str:
+    length = f"list_max(list_filter(range(0, least(length({a}) - i, length({b}) - j) + 2), lambda k: substring({a}, i, k) = substring({b}, j, k)))"
+    starts = f"list_transform(range(1, length({a}) + 1), lambda i: list_transform(range(1, length({b}) + 1), lambda j: {{'n': {length}, 'i': -i, 'j': -j}}))"
+    return f"list_sort(flatten({starts}), 'DESC')[1]"
+
+
+view_sql.register_view("v_name_pairs", "SELECT DISTINCT p.p_name || ' ' || lower(p.p_type) AS x, q.p_name || ' ' || lower(q.p_type) AS y FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1")
+view_sql.register_view("v_name_similarity", f"""
+    SELECT x, y, sum(n) * 200.0 / (length(x) + length(y)) AS similarity FROM (
+      WITH RECURSIVE walk AS (
+          SELECT x, y, a, b, s.n, -s.i AS i, -s.j AS j FROM (SELECT x, y, x AS a, y AS b, {_longest('x', 'y')} AS s FROM v_name_pairs)
+          UNION ALL
+          SELECT x, y, a, b, s.n, -s.i, -s.j FROM (
+            SELECT x, y, a, b, {_longest('a', 'b')} AS s FROM (
+              SELECT x, y, substring(a, 1, i - 1) AS a, substring(b, 1, j - 1) AS b FROM walk WHERE n > 0
+              UNION ALL SELECT x, y, substring(a, i + n), substring(b, j + n) FROM walk WHERE n > 0) WHERE a <> '' AND b <> ''))
+      SELECT * FROM walk) GROUP BY x, y""")
+
+
+@register("text_similarity", """
+    SELECT p.p_partkey, round(similarity, 6) AS similarity FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1
+    JOIN v_name_similarity ON x = p.p_name || ' ' || lower(p.p_type) AND y = q.p_name || ' ' || lower(q.p_type)""")
+def _(v):
+    named = v.table("part").select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"))
+    pairs = named.join(named.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("name").alias("other")), "p_partkey")
+    return pairs.select("p_partkey", F.round(text_similarity("name", "other"), 6).alias("similarity"))
+
+
 # The same choice with a similarity that SQL can state: the share of equal lengths in percent of the longer text.
 @register("pick_candidate", """
     WITH options AS (

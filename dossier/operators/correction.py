@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.pages import page_ids, page_overlap
-from dossier.functions.ranking import top_per_key
+from dossier.functions.ranking import count_before, top_per_key
 from dossier.functions.similarity import comparable, similarity_if_leading
 from dossier.functions.text import limit_text, strip
 from dossier.operators.vectors import merge_metadata
@@ -72,20 +72,38 @@ def related_chunks(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     return of_targets.join(of_chunks, ["doc_id", "page"]).select("doc_id", "target_index", "chunk_index").distinct()
 
 
+#: Chunk indexes of one bucket when places are counted.
+PLACE_BUCKET = 65_536
+
+
 def _places(chunks: DataFrame, targets: DataFrame) -> DataFrame:
     """How many chunks before a target share a page with it, and whether it is itself among the chunks of its pages.
 
-    Pages list their chunks once and targets meet those lists, so no pair of chunks becomes a row.
+    A chunk shares a page with the stretch from a target's first page to its last if it is on the first one, or if its own
+    first page is a later one of the stretch. Both are counts of chunks before the target on single pages: no pair of
+    chunks becomes a row or an array cell. Only chunks and targets whose pages have gaps are looked at one by one.
     """
-    pages = chunks.select("doc_id", "chunk_index", F.explode("page_numbers").alias("page"))
-    listed = pages.groupBy("doc_id", "page").agg(F.collect_set("chunk_index").alias("listed"))
-    asked = targets.select("doc_id", "chunk_index", F.explode("page_numbers").alias("page")).join(listed, ["doc_id", "page"])
-    near = asked.groupBy("doc_id", "chunk_index").agg(F.array_distinct(F.flatten(F.collect_list("listed"))).alias("near"))
-    return near.select(
-        "doc_id", "chunk_index",
-        F.size(F.filter("near", lambda i: i < F.col("chunk_index"))).alias("_place"),
-        F.array_contains("near", F.col("chunk_index")).alias("_listed"),
+    known = chunks.select("doc_id", "chunk_index", F.array_sort(F.array_distinct("page_numbers")).alias("pages")).where(F.size("pages") > 0)
+    asked = targets.select("doc_id", "chunk_index", F.array_sort(F.array_distinct("page_numbers")).alias("pages")).where(F.size("pages") > 0)
+    gapless = F.element_at("pages", -1) - F.get("pages", F.lit(0)) + 1 == F.size("pages")
+    stretches, gappy = asked.where(gapless), asked.where(~gapless)
+    whole = known.where(gapless)
+    on_page = whole.select("doc_id", "chunk_index", F.explode("pages").alias("page"), F.lit("on").alias("list"))
+    begins = whole.select("doc_id", "chunk_index", F.get("pages", F.lit(0)).alias("page"), F.lit("begins").alias("list"))
+    first = stretches.select("doc_id", "chunk_index", F.get("pages", F.lit(0)).alias("page"), F.lit("on").alias("list"))
+    later = stretches.select("doc_id", "chunk_index", F.explode(F.slice("pages", 2, F.greatest(F.size("pages") - 1, F.lit(0)))).alias("page"), F.lit("begins").alias("list"))
+    counted = count_before(
+        on_page.unionByName(begins), first.unionByName(later), ["doc_id", "page", "list"], "chunk_index", F.expr(f"chunk_index div {PLACE_BUCKET}")
+    ).select("doc_id", "chunk_index", "before")
+    # Pages with gaps: the chunk itself is compared with the target, once.
+    odd = known.where(~gapless).select("doc_id", F.col("chunk_index").alias("other"), F.col("pages").alias("theirs"))
+    beside = stretches.join(odd, "doc_id").unionByName(
+        gappy.join(known.select("doc_id", F.col("chunk_index").alias("other"), F.col("pages").alias("theirs")), "doc_id")
     )
+    singly = beside.where((F.col("other") < F.col("chunk_index")) & F.arrays_overlap("pages", "theirs")).groupBy("doc_id", "chunk_index").agg(F.count("*").alias("before"))
+    own = asked.join(known.withColumnRenamed("pages", "own"), ["doc_id", "chunk_index"]).where(F.arrays_overlap("pages", "own")).select("doc_id", "chunk_index").distinct()
+    total = counted.unionByName(singly).groupBy("doc_id", "chunk_index").agg(F.sum("before").alias("_place"))
+    return own.join(total, ["doc_id", "chunk_index"], "left").select("doc_id", "chunk_index", F.coalesce("_place", F.lit(0)).alias("_place"), F.lit(True).alias("_listed"))
 
 
 def candidate_points(candidates: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
@@ -104,7 +122,7 @@ def candidate_points(candidates: DataFrame, chunks: DataFrame, targets: DataFram
     a = F.greatest(F.length("candidate_text"), F.lit(1))
     b = F.greatest(F.length("current_text"), F.lit(1))
     shared = page_overlap(F.col("page_numbers"), F.col("candidate_pages"))
-    penalty = F.when(F.col("_listed"), F.abs(F.col("candidate_index") - F.col("_place")) * POSITION_WEIGHT).otherwise(0)
+    penalty = F.when(F.coalesce("_listed", F.lit(False)), F.abs(F.col("candidate_index") - F.col("_place")) * POSITION_WEIGHT).otherwise(0)
     return pairs.withColumn("points", (shared * OVERLAP_WEIGHT + F.least(a, b) / F.greatest(a, b) * LENGTH_WEIGHT - penalty).cast("double"))
 
 

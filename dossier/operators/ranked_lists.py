@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.ranking import dense_position
+from dossier.functions.ranking import dense_position, ranged_position
 
 
 def distinct_in_order(items: Column) -> Column:
@@ -21,6 +21,4 @@ def dense_front_order(pages: DataFrame) -> DataFrame:
 
 def order_chunks(df: DataFrame) -> DataFrame:
     """Chunk index upwards with unknown ones last, then id; ``position`` numbers all of them from zero."""
-    order = [F.asc_nulls_last("chunk_index"), F.asc("id")]
-    bucket = F.struct(F.col("chunk_index").isNull(), F.expr("chunk_index div 4096"))
-    return dense_position(df.withColumn("_all", F.lit(0)), ["_all"], order, bucket).drop("_all").orderBy("position")
+    return ranged_position(df, [], [F.asc_nulls_last("chunk_index"), F.asc("id")]).orderBy("position")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.dates import as_date
-from dossier.functions.ranking import dense_position, top_per_key
+from dossier.functions.ranking import ranged_position, top_per_key
 
 
 def entity_counts(df: DataFrame, as_of: str, key: str = "user_id", created: str = "created_at") -> DataFrame:
@@ -45,18 +45,12 @@ def company_child_counts(companies: DataFrame, **children: DataFrame) -> DataFra
 
 def distinct_values(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """Different values per key in order; ``position`` numbers them from zero."""
-    numbered = dense_position(df.select(*keys, column).distinct(), keys, [F.asc(column)], F.left(F.col(column).cast("string"), F.lit(2)))
-    return numbered.orderBy(*keys, "position")
+    return ranged_position(df.select(*keys, column).distinct(), keys, [F.asc(column)]).orderBy(*keys, "position")
 
 
 def latest(df: DataFrame, *columns: str) -> DataFrame:
-    """Newest first; rows without a value come last. ``position`` numbers them from zero.
-
-    The first column is a number; it splits the rows, so that no task numbers all of them.
-    """
-    order = [F.desc_nulls_last(c) for c in columns]
-    newest = F.struct(F.col(columns[0]).isNull(), F.negative(F.col(columns[0])))
-    return dense_position(df.withColumn("_all", F.lit(0)), ["_all"], order, newest).drop("_all").orderBy("position")
+    """Newest first; rows without a value come last. ``position`` numbers them from zero."""
+    return ranged_position(df, [], [F.desc_nulls_last(c) for c in columns]).orderBy("position")
 
 
 def recent_history(events: DataFrame, n: int = 12) -> DataFrame:

@@ -1,17 +1,20 @@
-"""Workflow rules on a stream of requested transitions."""
+"""Workflow rules on a stream of requested transitions, in the order of the requests and not of their arrival."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from dossier.operators.workflow import MATRIX
 
-OUTPUT = "entity_type string, entity_id long, seq long, from_state string, to_state string, outcome string, state string, user_id long, reason string"
+OUTPUT = "entity_type string, entity_id long, seq long, from_state string, to_state string, outcome string, state string, user_id long, reason string, late boolean"
+HELD = "at long, seq long, to_state string, user_id long, reason string, late boolean"
 INITIAL = "draft"
 
 
@@ -23,26 +26,92 @@ def _outcome(entity: str, state: str, target: str) -> str:
     return "accepted" if target in MATRIX[entity].get(state, []) else "rejected"
 
 
-def _advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    entity, entity_id = key
-    current = state.get[0] if state.exists else INITIAL
-    # One micro-batch of one entity; its size is limited by the source's trigger options.
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for row in rows.itertuples(index=False):
-        outcome = _outcome(entity, current, row.to_state)
-        before = current
-        current = row.to_state if outcome == "accepted" else current
-        out.append((entity, entity_id, row.seq, before, row.to_state, outcome, current, row.user_id, row.reason))
-    state.update((current,))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+class Transitions(StatefulProcessor):
+    """An entity's state, and its requests that came before it is known that no earlier one is still on its way.
+
+    Requests wait in a list until the watermark reaches their time; one timer stands for the earliest of them. When it
+    fires, all whose time has come are judged in ``seq`` order and the rest wait on.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "state string")
+        self.held = handle.getListState("held", HELD)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        any_late = False
+        for frame in rows:
+            frame = frame[frame["to_state"].notna()]  # a row without a state only moves time on
+            if len(frame):
+                columns = frame[["at", "seq", "to_state", "user_id", "reason"]]
+                self.held.appendList([self._row(x, watermark) for x in columns.itertuples(index=False)])
+                any_late = any_late or bool((frame["at"] <= watermark).any())
+                self._wake(int(frame["at"].min()))
+        if any_late:  # judged now, in order with those whose time has come
+            yield from self._drain(key, watermark)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._drain(key, timerValues.getCurrentWatermarkInMs())
+
+    def _drain(self, key: Any, watermark: int) -> Iterator[pd.DataFrame]:
+        due, rest = [], []
+        for row in self.held.get():
+            (due if row[0] <= watermark else rest).append(tuple(row))
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if rest:
+            self.held.put(rest)
+            self._wake(min(row[0] for row in rest))
+        else:
+            self.held.clear()
+        if due:
+            yield self._judged(key, due)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(row: tuple, watermark: int) -> tuple:
+        at, seq, target, user, reason = row
+        return int(at), int(seq), target, None if pd.isna(user) else int(user), None if pd.isna(reason) else reason, bool(at <= watermark)
+
+    def _wake(self, at: int) -> None:
+        """Keep one timer, for the earliest request that waits."""
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if now is None or at < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def _judged(self, key: tuple[Any, ...], rows: list[tuple]) -> pd.DataFrame:
+        known = json.loads(key[0])
+        entity, entity_id = known.get("entity_type"), known.get("entity_id")
+        current = self.state.get()[0] if self.state.exists() else INITIAL
+        out = []
+        for _, seq, target, user, reason, late in sorted(rows, key=lambda r: r[1]):
+            outcome, before = _outcome(entity, current, target), current
+            current = target if outcome == "accepted" else current
+            out.append((entity, entity_id, seq, before, target, outcome, current, user, reason, late))
+        self.state.update((current,))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype({"user_id": "Int64", "entity_id": "Int64"})
 
 
-def stream_transitions(requests: DataFrame) -> DataFrame:
-    """Judge a stream of ``(entity_type, entity_id, seq, to_state, user_id, reason)``, keeping each entity's state.
+def stream_transitions(requests: DataFrame, delay: str = "10 minutes", time: str = "requested_at") -> DataFrame:
+    """Judge a stream of ``(entity_type, entity_id, seq, to_state, user_id, reason)`` with the time of each request.
 
-    Requests of an entity must arrive in ``seq`` order across micro-batches; the result then equals the batch replay.
+    Requests may arrive in any order within ``delay``: each waits until the watermark says that no earlier one can come,
+    and the result equals the batch replay. One that is later still is judged with those that
+    wait, as it arrives, and marked ``late``: what was judged before stays. A row
+    without ``to_state`` is a heartbeat: it moves time on, so that the last requests of a quiet stream are judged, too.
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
-    return requests.groupBy("entity_type", "entity_id").applyInPandasWithState(
-        _advance, outputStructType=OUTPUT, stateStructType="state string", outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout
+    timed = requests.withWatermark(time, delay).withColumn("at", F.unix_millis(time))
+    # One key that is never null: a null part of a key would be taken for that of the rows beside it.
+    keyed = timed.withColumn("entity", F.to_json(F.struct("entity_type", "entity_id")))
+    return keyed.select("entity", "seq", "to_state", "user_id", "reason", time, "at").groupBy("entity").transformWithStateInPandas(
+        statefulProcessor=Transitions(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )

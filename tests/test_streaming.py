@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.embedding import DIMENSION
 from dossier.sources import entities, exports, storage, tables
-from dossier.streaming.documents import base_epoch, compact, current_table, stream_documents
+from dossier.streaming.documents import commit, commits, compact, current_table, epoch_of, process_batch, stream_documents
 from dossier.streaming.events import write_audit_events
 
 PAGE = "doc_id long, page_number int, text string, document_type string, storage_path string, user_id long"
@@ -29,8 +29,12 @@ def test_documents_stream_is_incremental_and_repeatable(spark, tmp_path):
     assert current_table(spark, out, "chunks").count() == 2
     feed([page(2, 1, " -- ")])
     assert [r["doc_id"] for r in current_table(spark, out, "vectors").collect()] == [1]
-    # A new checkpoint starts past all epochs, so its versions win; a repeated start does not move it.
-    assert base_epoch(spark, out, cp) == 0 and base_epoch(spark, out, "other") == base_epoch(spark, out, "other") == 3
+    assert {(r.sequence, r.epoch) for r in commits(spark, out).collect()} == {(i, epoch_of(cp, i)) for i in range(3)}
+    # A batch that is committed is not run again; one that is not leaves nothing that readers see.
+    process_batch(out, cp)(spark.createDataFrame([page(9, 1, "otra vez")], PAGE), 1)
+    spark.createDataFrame([(9, "sin registro")], "doc_id long, text string").write.parquet(f"{out}/documents/epoch=unfinished")
+    assert current_table(spark, out, "documents").where("doc_id = 9").count() == 0
+    # The versions of a new checkpoint win.
     again = str(tmp_path / "in2")
     spark.createDataFrame([page(1, 1, "tercera versión del acta")], PAGE).write.parquet(again)
     stream_documents(spark.readStream.schema(PAGE).parquet(again), out, str(tmp_path / "cp2")).awaitTermination(120)
@@ -41,6 +45,26 @@ def test_documents_stream_is_incremental_and_repeatable(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "small" / "documents")).count() == 2
 
 
+def test_checkpoints_take_turns_without_loss(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def feed(side, rows):
+        source = str(tmp_path / f"in-{side}")
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.mode("append").parquet(source)
+        stream_documents(spark.readStream.schema(PAGE).parquet(source), out, str(tmp_path / f"cp-{side}")).awaitTermination(120)
+
+    feed("a", [page(1, 1, "uno de a"), page(2, 1, "dos de a")])
+    feed("b", [page(1, 1, "uno de b"), page(3, 1, "tres de b")])
+    feed("a", [page(3, 1, "tres de a"), page(4, 1, "cuatro de a")])
+    feed("b", [page(4, 1, "cuatro de b")])
+    feed("a", [page(5, 1, "cinco de a")])
+    texts = {r.doc_id: r.text for r in current_table(spark, out, "vectors").collect()}
+    assert texts == {1: "uno de b", 2: "dos de a", 3: "tres de a", 4: "cuatro de b", 5: "cinco de a"}
+    assert sorted(r.sequence for r in commits(spark, out).collect()) == list(range(5))
+    commit(spark, out, "later")
+    assert commits(spark, out).where("epoch = 'later'").first().sequence == 5
+
+
 def test_audit_stream(spark, tmp_path):
     schema = "user_id long, request_method string, payload_keys array<string>, status_code int, created_at timestamp"
     rows = [(1, "POST", ["_token", "title"]), (1, "GET", []), (None, "POST", []), (2, "DELETE", None)]

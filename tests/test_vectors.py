@@ -106,6 +106,60 @@ def test_best_candidate_equals_exhaustive_search(spark):
         assert got[i][0] == best[0] and got[i][1] == pytest.approx(best[1])
 
 
+def plain_common(a, b):
+    """Longest common stretch, the first in a and then in b, and what is left and right of it."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            best = (n, i, j) if n > best[0] else best
+    n, i, j = best
+    return n + plain_common(a[:i], b[:j]) + plain_common(a[i + n :], b[j + n :]) if n else 0
+
+
+def test_stretches_equal_plain_search():
+    rng = random.Random(2)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abc", "abcdefgh", "ñé a"])
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 25))).encode() for _ in range(2))
+        stretches = similarity.Stretches(a)
+        common = similarity.common_bytes(a, b, stretches)
+        assert common == plain_common(a, b) == similarity.common_bytes(a, b)
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        assert stretches.subsequence(b) == row[-1] >= common
+    # By hand: "World" and "Word" share "Wor", then "d"; the order of the texts matters for equal lengths.
+    assert similarity.percent("World", "Word") == pytest.approx(800 / 9)
+    assert similarity.common_bytes(b"bafoobar", b"mafoorar") == 6 and similarity.percent("", "") == 0.0
+
+
+def test_long_texts_take_linear_time():
+    text = "".join(random.Random(1).choice("etaoin shrdlu") for _ in range(60_000))
+    assert similarity.percent(text, text[:30_000] + "@" + text[30_001:]) == pytest.approx(100 * 59_999 / 60_000)
+
+
+def test_places_equal_plain_count(spark):
+    rng = random.Random(8)
+    stretch = lambda: list(range(a := rng.randint(1, 12), a + rng.randint(0, 4)))
+    gaps = lambda: rng.sample(range(1, 14), rng.randint(0, 4))
+    known = {(d, i): (stretch() if rng.random() < 0.7 else gaps()) for d in range(4) for i in range(25)}
+    asked = {k: (p if rng.random() < 0.6 else stretch() if rng.random() < 0.7 else gaps()) for k, p in known.items() if rng.random() < 0.8}
+    schema = "doc_id long, chunk_index int, page_numbers array<int>"
+    frames = [spark.createDataFrame([(*k, p) for k, p in x.items()], schema) for x in (known, asked)]
+    got = {(r["doc_id"], r["chunk_index"]): r["_place"] for r in correction._places(*frames).collect() if r["_listed"]}
+    want = {}
+    for (d, i), pages in asked.items():
+        near = [j for (e, j), own in known.items() if e == d and set(own) & set(pages)]
+        if i in near:
+            want[d, i] = near.index(i)
+    assert got == want
+
+
 def test_bounds(spark):
     cases = [("a" * 100, "b" * 39, "too_short"), ("a" * 100, "b" * 40, None), ("a" * 100, "b" * 1800, None), ("a" * 100, "b" * 1801, "too_long"), ("a" * 1000, "b" * 299, "too_short"), ("a" * 1000, "b" * 2200, None)]
     df = spark.createDataFrame(cases, "current string, corrected string, want string")

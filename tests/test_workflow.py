@@ -1,6 +1,9 @@
+import datetime
 import random
 
-from dossier.functions.ranking import dense_position
+import pytest
+
+from dossier.functions.ranking import dense_position, ranged_position
 from dossier.operators import workflow
 from dossier.streaming.transitions import stream_transitions
 from pyspark.sql import functions as F
@@ -43,18 +46,52 @@ def test_replay_is_independent_of_blocks(spark, monkeypatch):
         assert rows_of(workflow.replay_transitions(requests, initial, levels)) == want
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    rows = random_requests(300)
-    for part in range(3):
-        spark.createDataFrame(rows[part * 100 : part * 100 + 100], REQUEST).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(REQUEST).parquet(str(tmp_path / "in"))
-    query = (
-        stream_transitions(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append")
-        .trigger(availableNow=True).start(str(tmp_path / "out"))
-    )
-    query.awaitTermination(120)
+TIMED = f"{REQUEST}, requested_at timestamp"
+START = datetime.datetime(2024, 1, 1)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(key, before)
+
+
+def streamed(spark, folder, files, delay):
+    """Judged rows of a stream that gets one file per micro-batch, in this order."""
+    for file in files:
+        timed = [(*row, START + datetime.timedelta(seconds=row[2])) for row in file]
+        spark.createDataFrame(timed, TIMED).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = stream_transitions(source, delay).writeStream.format("parquet").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination(300)
     assert query.exception() is None
-    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == brute(rows)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def test_stream_in_any_order_equals_replay(spark, tmp_path, rocksdb):
+    rows = random_requests(300)
+    rng = random.Random(3)
+    files = [[], [], [], []]
+    for row in rows:
+        files[min(3, (row[2] + rng.randrange(60)) // 75)].append(row)
+    for file in files:
+        rng.shuffle(file)
+    heartbeat = (None, None, 5000, None, None, None)
+    files[3].insert(0, heartbeat)
+    got = streamed(spark, tmp_path, files, "200 seconds")
+    assert rows_of(got) == brute(rows) and got.where("late").count() == 0
+
+
+def test_requests_wait_and_late_ones_are_judged_on_arrival(spark, tmp_path, rocksdb):
+    first = [("tender", 1, 10, "ready", 1, None), ("tender", None, 20, "ready", None, "r"), ("tender", 1, 400, "draft", 1, "r")]
+    late = [("tender", 1, 5, "analyzing", 1, "r"), ("tender", 1, 401, "analyzing", 1, "r")]
+    got = streamed(spark, tmp_path, [first, late], "10 seconds")
+    rows = sorted((r.entity_id or 0, r.seq, r.from_state, r.state, r.late) for r in got.collect())
+    # The one at 400 seconds still waits: nothing says yet that no earlier one will come.
+    assert rows == [(0, 20, "draft", "ready", False), (1, 5, "draft", "analyzing", True), (1, 10, "analyzing", "ready", False)]
 
 
 def test_self_transition_of_the_matrix_is_no_op(spark):
@@ -68,3 +105,16 @@ def test_dense_position_with_a_hot_key(spark):
     check = got.groupBy("k").agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count_distinct("position").alias("n"), F.count("*").alias("c"))
     assert check.where("lo <> 0 or hi <> c - 1 or n <> c").count() == 0
     assert got.alias("a").join(got.alias("b"), F.expr("a.k = b.k and a.v < b.v and a.position >= b.position")).count() == 0
+
+
+def test_ranged_position_with_equal_keys_and_nulls(spark):
+    df = spark.range(4000).selectExpr("case when id % 3 = 0 then 7 when id % 11 = 0 then null else id % 50 end as k", "4000 - id as v").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = ranged_position(df, [], [F.asc_nulls_last("k"), F.desc("v")])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = sorted(((r.k, r.v) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, -r[1]))
+    assert [(r.k, r.v) for r in got.orderBy("position").collect()] == rows and got.agg(F.max("position")).first()[0] == 3999
+    keyed = ranged_position(df, ["k"], [F.asc("v")])
+    check = keyed.groupBy("k").agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count_distinct("position").alias("n"), F.count("*").alias("c"))
+    assert check.count() == 51 and check.where("lo <> 0 or hi <> c - 1 or n <> c").count() == 0
+    assert ranged_position(df.limit(0), ["k"], [F.asc("v")]).count() == 0
