@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,23 +20,63 @@ END = 0
 BLOCK = 1 << 18
 
 
-def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, text_column: str = "text") -> DataFrame:
-    """(data binary): each document's numbers as they stand in a file, without the end mark. Null text has none."""
+def token_rows(docs: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(kind, data): of each document its numbers as they stand in a token file, without the end mark, and its id as text.
+
+    Null text has no numbers, a null id is empty.
+    """
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data = [(encode(t, vocabulary) + 1).astype("<u2").tobytes() for t in strings(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["data"])
+        data = [(encode(t, vocabulary) + 1).astype("<u2").tobytes() for t in strings(batch.column(1))]
+        ids = [b"" if x is None else b"%d" % x for x in batch.column(0).to_pylist()]
+        for kind, values in (("tokens", data), ("ids", ids)):
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values), pa.string()), pa.array(values, pa.binary())], names=["kind", "data"])
 
-    return map_batches(docs.select(text_column), each, "data binary")
+    return map_batches(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")), each, "kind string, data binary")
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, text_column: str = "text") -> None:
-    """One gzip-compressed flat file per partition of ``docs``, in its row order, by Spark's text sink.
+def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> None:
+    """Gzip files below ``path`` by Spark's text sink, in one pass: the k-th id of ``kind=ids/part-N`` is that of the k-th
+    document of ``kind=tokens/part-N``.
 
-    The sink writes a row's bytes and then the separator, which here is the end mark: two zero bytes.
+    The sink writes a row's bytes and then the separator, which here is the end mark: two zero bytes. A task keeps both of
+    its files open and adds rows as they come, so that nothing is sorted and both have one order, whatever partitions the
+    scan makes, now or in a repeated task.
     """
-    rows = token_rows(docs, vocabulary, text_column)
-    rows.select(F.col("data").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\x00\x00").text(path)
+    spark = docs.sparkSession
+    rows = token_rows(docs, vocabulary, id_column, text_column)
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, "2")
+    try:
+        values = rows.select("kind", F.col("data").cast("string").alias("value"))
+        values.write.option("compression", "gzip").option("lineSep", "\x00\x00").option("maxRecordsPerFile", 0).partitionBy("kind").text(path)
+    finally:
+        spark.conf.set(writers, before)
+
+
+def _files(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, content) of the files of one kind; an empty table wrote none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.col("path").contains(f"/kind={kind}/")).select("path", "content")
+
+
+def file_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(part, ordinal, doc_id) of every document, from the files of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = zlib.decompress(data.as_py(), 31).split(b"\x00\x00")[:-1]
+                ids = pa.array([int(x) if x else None for x in values], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), _part(name))), pa.array(np.arange(len(ids))), ids], names=["part", "ordinal", "doc_id"])
+
+    bounded_batches(spark)
+    return _files(spark, path, "ids").mapInArrow(run, "part long, ordinal long, doc_id long")
+
+
+def _part(name: str) -> int:
+    return int(re.search(r"part-(\d+)", name.rsplit("/", 1)[-1])[1])
 
 
 def _numbers(data: bytes, block: int) -> Iterator[np.ndarray]:
@@ -75,7 +116,7 @@ def scan_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame
                 for k, numbers in enumerate(_numbers(data.as_py(), block)):
                     yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([k], pa.int64()), pa.array([len(numbers)], pa.int64()), pa.array([np.flatnonzero(numbers == END)], pa.list_(pa.int64()))], schema=schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content").mapInArrow(run, BLOCKS)
+    return _files(spark, path, "tokens").mapInArrow(run, BLOCKS)
 
 
 def document_counts(blocks: DataFrame) -> DataFrame:
@@ -93,7 +134,9 @@ def document_counts(blocks: DataFrame) -> DataFrame:
     stitched = placed.withColumn("carry", F.coalesce(F.max("last").over(before), F.lit(-1))).withColumn("ended_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
     lead = F.concat(F.array("carry"), F.transform("ends", lambda e: e + F.col("start")))
     each = F.transform(F.sequence(F.lit(1), F.size("ends")), lambda i: F.struct((F.col("ended_before") + i - 1).alias("ordinal"), (F.element_at(lead, i.cast("int")) + 1).alias("start"), (F.element_at(lead, (i + 1).cast("int")) - F.element_at(lead, i.cast("int")) - 1).alias("n_tokens")))
-    ended = stitched.where(F.size("ends") > 0).select("file", F.explode(each).alias("d")).select("file", "d.ordinal", "d.start", "d.n_tokens", F.lit(True).alias("ended"))
+    # Blocks are dealt out before they become rows of documents: they are few and small, so Spark would put them together.
+    dealt = stitched.where(F.size("ends") > 0).repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "block")
+    ended = dealt.select("file", F.explode(each).alias("d")).select("file", "d.ordinal", "d.start", "d.n_tokens", F.lit(True).alias("ended"))
     ends = placed.groupBy("file").agg(F.sum("numbers").alias("numbers"), F.sum(F.size("ends")).alias("ordinal"), F.coalesce(F.max("last"), F.lit(-1)).alias("end"))
     tail = ends.where(F.col("numbers") > F.col("end") + 1).select("file", "ordinal", (F.col("end") + 1).alias("start"), (F.col("numbers") - F.col("end") - 1).alias("n_tokens"), F.lit(False).alias("ended"))
     return ended.unionByName(tail)
@@ -102,18 +145,15 @@ def document_counts(blocks: DataFrame) -> DataFrame:
 def count_documents(docs: DataFrame, path: str | None = None, block: int = BLOCK, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, file, ordinal, start, n_tokens): every document's place and length, read from flat files written for it.
 
-    The k-th document of a file is the k-th row of the partition that wrote it; ids are laid beside the counts by that
-    place alone. ``docs`` must be a scan of files, which Spark splits alike each time, or a written table.
+    Ids are written in the same pass as the tokens and laid beside the counts by file and ordinal, so nothing depends on
+    how a second scan would be split.
 
     Null or empty text is a document of no tokens. Null ids stay null, repeated rows are counted each, an empty table gives
     no rows, other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     write_token_files(docs, path, vocabulary)
     counts = document_counts(written(scan_blocks(spark, path, block), "blocks"))
-    place = F.monotonically_increasing_id()
-    ids = docs.select("doc_id", "text").withColumn("part", F.shiftright(place, 33)).withColumn("ordinal", place.bitwiseAND(F.lit((1 << 33) - 1))).select("doc_id", "part", "ordinal")
     counts = counts.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
-    return ids.join(counts, ["part", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")
+    return file_ids(spark, path).join(counts, ["part", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens")
