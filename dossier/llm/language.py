@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,14 +25,24 @@ REJECT_SIGMAS = 8.0
 LEAST_DEVIATION = 0.08
 UNDETERMINED = "und"
 
+#: A word: a letter and the letters and marks (vowel signs, accents) that follow it.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+#: In texts of these characters the words are what is left between all but \w without digits and underscores.
+_LATIN = re.compile("[\\x00-\\xa9\\xab-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf-\\u02c1\u2000-\u2069\u20a0-\u20bf]*")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _PREFIX_BITS = 18
 
 
 def normalize(text: str) -> str:
-    """Lower-case letters; every run of anything else is one space."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-case words of letters and their marks, by Unicode category; every run of anything else is one space.
+
+    Numbers of any kind (fractions, circled and raised digits, Roman numerals) are no letters.
+    """
+    text = text.lower()
+    if _LATIN.fullmatch(text):
+        return _NOT_LETTERS.sub(" ", text).strip()
+    return " ".join(_WORD.findall(text))
 
 
 def keys_of(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
