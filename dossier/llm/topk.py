@@ -24,11 +24,13 @@ EXACT = 2**53
 
 
 def whole_vectors(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>, dim) of the vectors that take part: not null, no null or non-finite component, and every
-    scaled component within a signed 32-bit number, so that products and sums stay exact."""
+    """(vec_id, v array<long>, dim) of the vectors that take part: not null, no null or non-finite component.
+
+    Whole numbers are floors of doubles, so that doubles hold them exactly at any size; scores of long vectors are summed
+    in Python's whole numbers. Components beyond a long after scaling are cut to it: no score of theirs would fit a long."""
     x = F.col(vector_column)
     scaled = F.transform(x, lambda c: F.floor(c.cast("double") * scale))
-    inside = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) * scale < 2**31))
+    inside = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     return table.where(F.coalesce(inside, F.lit(False)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("vec_id"), scaled.cast("array<bigint>").alias("v"), F.size(x).alias("dim"))
 
 
