@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +25,8 @@ LABELERS = ["format", "shape", "known", "sample", "context", "other_context"]
 TRAIN_SPANS = 20_000
 THRESHOLD = 0.5
 
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = string.ascii_letters + string.digits + "._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -33,18 +35,18 @@ _DIGITS = re.compile(r"[^0-9]")
 #: Where an added kind may be; group 1 is the span.
 _ADDED = {
     "secret": re.compile(r"(?:pass(?:word|wd|phrase)|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{6,})", re.I),
-    "masked_email": re.compile(r"([A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|\s[Aa][Tt]\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|\s[Dd][Oo][Tt]\s|\.)\s?[A-Za-z0-9-]{1,63}){1,4})"),
+    "masked_email": re.compile(r"((?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\s?(?:\[at\]|\(at\)|\s[Aa][Tt]\s)\s?[A-Za-z0-9-]++(?:\s?(?:\[dot\]|\(dot\)|\s[Dd][Oo][Tt]\s|\.)\s?[A-Za-z0-9-]++){1,4}(?:\.[A-Za-z0-9-]++)*+)"),
     "local_phone": re.compile(r"(?<![\w+.-])(\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![\w-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
     "national_id": re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"),
-    "name": re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20|(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:)\x20)([A-ZÀ-Þ][\w'-]{1,40}(?:\x20[A-ZÀ-Þ][\w'-]{1,40}){0,2})"),
-    "address": re.compile(r"(?<!\w)([0-9]{1,5}[A-Za-z]?\x20(?:[A-ZÀ-Þ][\w'-]{1,40}\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Straße|Strasse))\b"),
+    "name": re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20|(?:[Mm]y name is|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:)\x20)([A-ZÀ-Þ][\w'-]+(?:\x20[A-ZÀ-Þ][\w'-]+){0,2})"),
+    "address": re.compile(r"(?<!\w)([0-9]{1,5}[A-Za-z]?\x20(?:[A-ZÀ-Þ][\w'-]+\x20){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Straße|Strasse))\b"),
     "birth_date": re.compile(r"(?:\b(?:born(?: on)?|[Dd]ate of birth|DOB|geboren am|né(?:e)? le|nacido el)\b:?\x20)([0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4})"),
 }
 #: Something that every match of the pattern above contains, so no candidate is lost; keeps whole-text passes cheap.
 _HINT = {
     "secret": re.compile(r"(?:[Pp][Aa][Ssſ][Ssſ]|[Pp][Ww][Dd]|[Tt][Oo][Kk\u212A][Ee][Nn]|[Ssſ][Ee][Cc][Rr][Ee][Tt]|[Kk\u212A][Ee][Yy])[\w-]{0,8}[\"']?\s{0,3}[:=]"),
-    "masked_email": re.compile(r"(?:\[at\]|\(at\)|\s[Aa][Tt]\s)\s?[A-Za-z0-9-]{1,63}\s?(?:\[dot\]|\(dot\)|\s[Dd][Oo][Tt]\s|\.)\s?[A-Za-z0-9-]"),
+    "masked_email": re.compile(r"(?:\[at\]|\(at\)|\s[Aa][Tt]\s)\s?[A-Za-z0-9-]++\s?(?:\[dot\]|\(dot\)|\s[Dd][Oo][Tt]\s|\.)\s?[A-Za-z0-9-]"),
     "local_phone": re.compile(r"[0-9]{3}[\x20.-][0-9]{4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}"),
     "national_id": re.compile(r"[0-9]-[0-9]{2}-[0-9]"),
@@ -80,17 +82,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the four base kinds, each leftmost and non-overlapping, by kind and start; failing matches are dropped."""
     out = []
     if "@" in text:
-        done = 0
-        for at in re.finditer("@", text):
-            if at.start() < done:
-                continue
-            start = at.start()
-            # A match lies within one run of address characters; only runs that hold an @ are searched.
-            while start > done and _EMAIL_RUN.match(text[start - 1]):
-                start -= 1
-            run = _EMAIL_RUN.match(text, start)
-            out += [("email", start + m.start(), start + m.end()) for m in _EMAIL.finditer(run[0])]
-            done = run.end()
+        done, last = 0, -1
+        while (at := text.find("@", last + 1)) >= 0:
+            # The local part is the run of its characters before the sign: any shorter one is followed by the same domain.
+            run = text[max(done, last + 1) : at]
+            start = at - len(run) + len(run.rstrip(_LOCAL))
+            domain = _DOMAIN.match(text, at + 1) if start < at else None
+            if domain:
+                out.append(("email", start, domain.end()))
+                done = domain.end()
+            last = at
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
@@ -111,20 +112,35 @@ def added_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[
 
     Of a secret that overlaps base spans, the parts between them are candidates.
     """
-    out, taken = [], [(a, b) for _, a, b in base]
+    out: list[tuple[str, int, int]] = []
+    starts: list[int] = []  # of taken stretches, in order; they do not meet
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind in ADDED_KINDS:
         if not _HINT[kind].search(text):
             continue
         for m in _ADDED[kind].finditer(text):
             a, b = m.span(1)
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                out.append((kind, a, b))
-            elif kind == "secret":
-                cuts = sorted((x, y) for x, y in taken if x < b and a < y)
-                free = [(x, y) for x, y in zip([a, *(y for _, y in cuts)], [*(x for x, _ in cuts), b], strict=True) if y - x >= 6]
-                taken += free
-                out += [(kind, x, y) for x, y in free]
+            first = at = bisect_right(ends, a)
+            free = []
+            while at < len(starts) and starts[at] < b:
+                free.append((a, starts[at]))
+                a = ends[at]
+                at += 1
+            if at > first:
+                free = [(x, y) for x, y in [*free, (a, b)] if y - x >= 6] if kind == "secret" else []
+            else:
+                free = [(a, b)]
+            for x, y in free:
+                place = bisect_right(ends, x)
+                starts.insert(place, x)
+                ends.insert(place, y)
+                out.append((kind, x, y))
     return out
 
 
