@@ -54,13 +54,20 @@ MAPPINGS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def paths_of(value, prefix: str = "") -> set[str]:
+def paths_of(value) -> set[str]:
     """Nested field paths of a JSON value; list steps are ``[]``, and fields that are null do not count."""
-    if isinstance(value, dict):
-        return set().union(*(paths_of(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else set()
-    if isinstance(value, list):
-        return set().union(*(paths_of(v, prefix + "[]") for v in value)) if value else {prefix + "[]"}
-    return set() if value is None else {prefix}
+    out, todo = set(), [(value, "")]
+    while todo:
+        value, prefix = todo.pop()
+        if isinstance(value, dict):
+            todo += [(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [(v, prefix + "[]") for v in value]
+            if not value:
+                out.add(prefix + "[]")
+        elif value is not None:
+            out.add(prefix)
+    return out
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -113,7 +120,7 @@ def canonical_turns(records: DataFrame, key: str, record: str = "record", order:
         for k, raw, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             try:
                 value = json.loads(raw) if raw is not None else None
-            except ValueError:
+            except (ValueError, RecursionError):  # no JSON, or nested deeper than it can be read
                 value = None
             value = value if isinstance(value, dict) else {}
             name, mapping = registry.choose(paths_of(value))
