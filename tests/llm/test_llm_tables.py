@@ -106,7 +106,7 @@ def test_layouts_give_the_same_turns(spark):
         {"system": s, "conversations": [{"from": "human", "value": u}, {"from": "gpt", "value": a}]},
         {"system": s, "prompt": u, "completion": a}, {"system": s, "prompt": u, "response": a}, {"system": s, "instruction": u, "input": "", "output": a}, {"system": s, "question": u, "answer": a},
     ]
-    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, json.dumps({"prompt": "p", "chosen": "c", "rejected": "r"})), (91, json.dumps({"instruction": "do", "input": "this", "output": "done"})), (92, "no json"), (93, None), (94, "[1]"), (95, json.dumps({"zz": {"y": [1, {"x": 2}]}}))]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, json.dumps({"prompt": "p", "chosen": "c", "rejected": "r"})), (91, json.dumps({"instruction": "do", "input": "this", "output": "done"})), (92, "no json"), (93, None), (94, "[1]"), (96, "[" * 100_000 + "]" * 100_000), (97, '{"a":' * 100_000 + "1" + "}" * 100_000), (98, '{"a":' * 900 + "[1]" + "}" * 900), (95, json.dumps({"zz": {"y": [1, {"x": 2}]}}))]
     found = collections.defaultdict(list)
     for r in chat.canonical_turns(spark.createDataFrame(rows, "id long, record string"), "id").orderBy("key", "turn").collect():
         found[r.key].append(r)
@@ -115,7 +115,7 @@ def test_layouts_give_the_same_turns(spark):
     assert len({found[i][0].fingerprint for i in range(len(records))}) == len(records)
     assert [(r.role, r.text) for r in found[90]] == [("user", "p"), ("assistant", "c")]
     assert [(r.role, r.text) for r in found[91]] == [("user", "do\n\nthis"), ("assistant", "done")]
-    assert all(found[i][0].layout is None and len(found[i]) == 1 for i in (92, 93, 94, 95))
+    assert all(found[i][0].layout is None and len(found[i]) == 1 for i in (92, 93, 94, 95, 96, 97, 98))
     assert chat.paths_of({"a": [{"b": 1, "c": None}, {"d": {"e": []}}]}) == {"a[].b", "a[].d.e[]"}
 
 
@@ -277,3 +277,18 @@ def test_pipeline_stages(spark, odd, monkeypatch):
 def test_registered_queries():
     assert [q for q in queries.QUERIES if q.startswith("op")] == [*queries.QUERIES] and {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
 
+
+
+def test_long_vectors_take_part(spark):
+    """Components from 2**21 on are scaled, ranked and scored like all others."""
+    rows = [(i, [float(2**21 + i), -float(i * 2**18), 0.5]) for i in range(6)] + [(7, [float("inf"), 1.0, 1.0]), (8, [1.0, None, 1.0]), (9, [3.0e6, 1.0, float("nan")]), (10, [1e-3, 2.0, 3.0])]
+    vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows if i not in (7, 8, 9)}
+    assert {r.vec_id: r.v for r in vectors.collect()} == whole
+    got = [tuple(r) for r in topk.top_inner_products(vectors, vectors, 3).orderBy("query_id", "rank").select("query_id", "vec_id", "score").collect()]
+    top = 2**63 - 1
+    expected = []
+    for q in sorted(whole):
+        scores = sorted(((sum(x * y for x, y in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q), key=lambda s: (-s[0], s[1]))[:3]
+        expected += [(q, c, max(-top, min(top, s))) for s, c in scores]
+    assert got == expected

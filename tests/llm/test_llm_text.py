@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -411,6 +412,65 @@ def test_token_files(spark, odd, block):
         assert token_files.count_documents(odd.limit(0)).count() == 0
 
 
+def test_letters_are_of_letter_categories(spark):
+    assert [language.normalize(t) for t in ("½ ²", "①", "Ⅷ", "12_3", "हिन्दी भाषा", "Naïve Café", "a\u0301b ́c")] == ["", "", "", "", "हिन्दी भाषा", "naïve café", "a\u0301b c"]
+    docs = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(8)], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "½ ²"), (2, "①"), (3, "the mat")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(odd, language.train(docs)).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "en"
+
+
+@pytest.mark.parametrize("reading", [1, 7])
+def test_token_counts_do_not_depend_on_splits(spark, reading):
+    """Other splits when the table is scanned again, and a limit on records per file, change nothing."""
+    keys = {"spark.sql.leafNodeDefaultParallelism": str(reading), "spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.maxRecordsPerFile": "7"}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(6)
+    docs = written(docs, "t")
+    expected = collections.Counter((r.doc_id, len(encode(r.text or ""))) for r in docs.collect())
+    counts = token_files.count_documents(docs)
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in counts.collect()) == expected
+        again = token_files.count_documents(docs)
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in again.collect()) == expected
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
 def test_a_file_without_a_last_mark(spark):
     blocks = spark.createDataFrame([("f", 0, 4, [1]), ("f", 1, 4, []), ("f", 2, 4, [0, 1]), ("f", 3, 2, [])], token_files.BLOCKS)
     assert sorted(tuple(r) for r in token_files.document_counts(blocks).collect()) == [("f", 0, 0, 1, True), ("f", 1, 2, 6, True), ("f", 2, 9, 0, True), ("f", 3, 10, 4, False)]
+
+
+def plain_emails(text):
+    return [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+
+
+def test_emails_equal_the_pattern():
+    rnd = random.Random(6)
+    for _ in range(4000):
+        text = "".join(rnd.choice("aB9.%-@@. é") for _ in range(rnd.randint(0, 40)))
+        assert [s for s in pii.base_spans(text) if s[0] == "email"] == plain_emails(text), text
+
+
+def test_long_runs_take_linear_time():
+    start = time.perf_counter()
+    assert [s for s in pii.base_spans("a" * 1_000_000 + "@ " + "b" * 500_000 + "@b.c") if s[0] == "email"] == [("email", 1_000_002, 1_500_006)]
+    assert pii.added_candidates("x" * 1_000_000 + " at y", []) == []
+    many = "id 123-45-6789, " * 100_000
+    assert len(pii.added_candidates(many, [])) == 100_000
+    assert len(pii.base_spans("@" * 200_000 + "a@" * 200_000)) == 0
+    assert time.perf_counter() - start < 20
+
+
+def test_long_names_and_addresses_are_whole_spans():
+    name, local = "X" + "y" * 90, "j" * 200
+    for text, kind, value in [
+        (f"Dr {name} {name} came", "name", f"{name} {name}"),
+        (f"mail {local} at example dot com now", "masked_email", f"{local} at example dot com"),
+        (f"mail joe at {'h' * 100}.a.b.c.d.e.f.com now", "masked_email", f"joe at {'h' * 100}.a.b.c.d.e.f.com"),
+        (f"at 12 {name} Street.", "address", f"12 {name} Street"),
+    ]:
+        assert [(k, text[a:b]) for k, a, b in pii.added_candidates(text, [])] == [(kind, value)]
