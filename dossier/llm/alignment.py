@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ BLOCK_CHARS = 1 << 22
 #: Windows remembered by a worker; beyond that it forgets all and goes on, so memory is bounded and results are equal.
 WINDOWS = 200_000
 #: Between the two id tuples of a window; no vocabulary has this id.
-MARK = b"\xff\xff\xff\xff"
+MARK = 0xFFFFFFFF
 
 
 class Aligner:
@@ -37,6 +36,7 @@ class Aligner:
         self.vocabulary = vocabulary
         self.exact = Tokenizer.from_file(vocabulary)
         self.exact.encode_special_tokens = True
+        self.changes = self.exact.normalizer is not None
         self.other = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.bytes_a = _byte_level(self.exact)
         self.bytes_b = _piece_bytes(self.other)
@@ -45,76 +45,84 @@ class Aligner:
         self.spaced_a = np.array([x.startswith(b" ") for x in self.bytes_a])
         self.spaced_b = np.array([x.startswith(b" ") for x in self.bytes_b])
         # Ids as they stand in a list of groups: of A inside and at the end of a group, of B also at the end of the list.
-        self.written = [f"{i}{x}" for i in range(len(self.bytes_a)) for x in ",|"]
+        self.written = [f"{i}{x}".encode() for i in range(len(self.bytes_a)) for x in ",|"]
         self.first_b = len(self.written)
-        self.written += [f"{i}{x}" for i in range(len(self.bytes_b)) for x in (",", ";", "")]
-        self.memo: dict[bytes, tuple[str, int, list[int]]] = {}
+        self.written += [f"{i}{x}".encode() for i in range(len(self.bytes_b)) for x in (",", ";", "")]
+        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def token_ids(self, text: str) -> tuple[list[int], list[int]] | None:
+    def token_ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of ``text`` by both tokenizers, or None if the bytes of either are not those of a space and the text."""
         if not text:
             return None
-        data = b" " + text.encode("utf-8", "surrogatepass")
-        a = self.exact.encode(" " + text, add_special_tokens=False).ids if SPECIAL in text else encode(" " + text, self.vocabulary).tolist()
-        if b"".join([self.bytes_a[i] for i in a]) != data:
-            return None
+        spaced = " " + text
+        data = spaced.encode("utf-8", "surrogatepass")
         b = self.other.encode(text)
         if b"".join([self.bytes_b[i] for i in b]) != data:
             return None
-        return a, b
+        if SPECIAL in text:
+            a = np.array(self.exact.encode(spaced, add_special_tokens=False).ids, dtype=np.int64)
+        else:
+            a = encode(spaced, self.vocabulary).astype(np.int64)
+        # Byte-level tokens are cut from the bytes of the text as they stand; a vocabulary that changes them is found here.
+        if int(self.size_a[a].sum()) != len(data) or self.changes and b"".join([self.bytes_a[i] for i in a.tolist()]) != data:
+            return None
+        return a, np.array(b, dtype=np.int64)
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, np.ndarray]:
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, np.ndarray]:
         """(groups as text, number of groups, links as a << 32 | b) of a document, window by window.
 
         Windows are cut where tokens of both end and the next token of both starts with a space. One that is remembered
         is not aligned again; the others of the document are aligned together.
         """
-        ids_a, ids_b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         at = np.searchsorted(ends_b, ends_a)
-        cut_a = np.flatnonzero((ends_b[at[:-1]] == ends_a[:-1]) & self.spaced_a[ids_a[1:]])
-        cut_a = cut_a[self.spaced_b[ids_b[at[cut_a] + 1]]]
-        stops_a, stops_b = np.append(cut_a, len(a) - 1) + 1, np.append(at[cut_a], len(b) - 1) + 1
-        packed_a, packed_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-        to_a, to_b = (4 * stops_a).tolist(), (4 * stops_b).tolist()
-        # The tuples of ids, packed: those of A, a mark that is no id, those of B.
-        keys = [packed_a[i:j] + MARK + packed_b[k:m] for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b, strict=False)]
+        closes_a = ends_b[at] == ends_a  # a token ends where one of the other side does
+        cut_a = np.flatnonzero(closes_a[:-1] & self.spaced_a[a[1:]])
+        cut_a = cut_a[self.spaced_b[b[at[cut_a] + 1]]]
+        stop_a, stop_b = np.append(cut_a, len(a) - 1) + 1, np.append(at[cut_a], len(b) - 1) + 1
+        count_a, count_b, order = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0), np.arange(len(stop_a))
+        # The id tuples of each window, packed: those of A, a mark that is no id, those of B.
+        packed = np.full(len(a) + len(b) + len(order), MARK, dtype="<u4")
+        packed[np.arange(len(a)) + np.repeat(stop_b - count_b + order, count_a)] = a
+        packed[np.arange(len(b)) + np.repeat(stop_a + order + 1, count_b)] = b
+        ids, stops = packed.tobytes(), (4 * (stop_a + stop_b + order + 1)).tolist()
+        keys = [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
         known = list(map(self.memo.get, keys))
         if None in known:
             new = np.array([x is None for x in known])
-            count_a, count_b = np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0)
-            found = self._aligned(ids_a[np.repeat(new, count_a)], ids_b[np.repeat(new, count_b)], count_a[new], count_b[new])
+            closes_b = np.zeros(len(b), dtype=bool)
+            closes_b[at[closes_a]] = True
+            own_a, own_b = np.repeat(new, count_a), np.repeat(new, count_b)
+            found = self._aligned(a[own_a], b[own_b], np.flatnonzero(closes_a[own_a]), np.flatnonzero(closes_b[own_b]), np.cumsum(count_a[new]), np.cumsum(count_b[new]))
             if len(self.memo) >= WINDOWS:
                 self.memo.clear()
             for i, entry in zip(np.flatnonzero(new).tolist(), found, strict=True):
                 known[i] = self.memo[keys[i]] = entry
-        texts, groups, links = zip(*known, strict=True)
-        return ";".join(texts), sum(groups), np.fromiter(chain.from_iterable(links), np.int64)
+        texts, links = zip(*known, strict=True)
+        text = b";".join(texts)
+        return text, text.count(b";") + 1, np.frombuffer(b"".join(links), dtype="<i8")
 
-    def _aligned(self, a: np.ndarray, b: np.ndarray, count_a: np.ndarray, count_b: np.ndarray) -> Iterator[tuple[str, int, list[int]]]:
-        """(groups as text, number of groups, links) of windows with ``count_a`` and ``count_b`` ids, laid end to end."""
-        last_a, last_b = np.intersect1d(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), assume_unique=True, return_indices=True)[1:]
+    def _aligned(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """(groups as text, links as 64-bit numbers) of windows laid end to end, which stop before ``stop_a`` and
+        ``stop_b``; the last tokens of their groups are ``last_a`` and ``last_b``."""
         in_a, in_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-        group_a, group_b = np.repeat(np.arange(len(last_a)), in_a), np.repeat(np.arange(len(last_b)), in_b)
-        stop_a, stop_b = np.cumsum(count_a), np.cumsum(count_b)
+        before_a, before_b = np.repeat(last_b + 1 - in_b, in_a), np.repeat(last_a + 1, in_b)
         # A token stands after the tokens of earlier groups, one of B also after those of A in its own.
-        words = np.empty(len(a) + len(b), dtype=np.int64)
-        ends = np.zeros(len(a), dtype=np.int64)
-        ends[last_a] = 1
-        words[np.arange(len(a)) + (last_b + 1 - in_b)[group_a]] = 2 * a + ends
-        ends = np.zeros(len(b), dtype=np.int64)
-        ends[last_b] = 1
-        ends[stop_b - 1] = 2
-        words[np.arange(len(b)) + (last_a + 1)[group_b]] = self.first_b + 3 * b + ends
+        words, form = np.empty(len(a) + len(b), dtype=np.int64), 2 * a
+        form[last_a] += 1
+        words[np.arange(len(a)) + before_a] = form
+        form = self.first_b + 3 * b
+        form[last_b] += 1
+        form[stop_b - 1] += 1
+        words[np.arange(len(b)) + before_b] = form
         text = [self.written[i] for i in words.tolist()]
-        times = in_b[group_a]
-        begins = np.cumsum(times) - times
-        partner = np.repeat((last_b + 1 - in_b)[group_a] - begins, times) + np.arange(int(times.sum()))
-        links = ((np.repeat(a, times) << 32) | b[partner]).tolist()
-        to_text, to_link = (stop_a + stop_b).tolist(), np.cumsum(times)[stop_a - 1].tolist()
-        groups = np.diff(group_a[stop_a - 1], prepend=-1).tolist()
-        for i, j, k, m, n in zip([0, *to_text], to_text, [0, *to_link], to_link, groups, strict=False):
-            yield "".join(text[i:j]), n, links[k:m]
+        times = np.repeat(in_b, in_a)
+        total = np.cumsum(times)
+        partner = np.repeat(before_a - total + times, times) + np.arange(int(total[-1]))
+        links = ((np.repeat(a, times) << 32) | b[partner]).astype("<i8").tobytes()
+        to_text, to_link = (stop_a + stop_b).tolist(), (8 * total[stop_a - 1]).tolist()
+        for i, j, k, m in zip([0, *to_text], to_text, [0, *to_link], to_link, strict=False):
+            yield b"".join(text[i:j]), links[k:m]
 
 
 def _byte_level(tokenizer: Tokenizer) -> list[bytes]:
@@ -185,7 +193,7 @@ def aligned_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
                     linked.append(np.empty(0, dtype=np.int64))
                 else:
                     groups, n_groups, links = aligner.align(*found)
-                    rows.append((len(found[0]), len(found[1]), n_groups, len(links), hashlib.sha256(groups.encode()).hexdigest()))
+                    rows.append((len(found[0]), len(found[1]), n_groups, len(links), hashlib.sha256(groups).hexdigest()))
                     linked.append(links)
                 size += len(text)
                 if size >= block_chars:
