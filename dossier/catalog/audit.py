@@ -226,7 +226,7 @@ def _(v):
 
 @register("export_findings", f"SELECT validation_id, part, pos, {_SHEET_TITLES} FROM v_export_rows")
 def _(v):
-    return exports.sheet_rows(audit.export_rows(v.validations(), v.findings(), v.report_rows())).drop("bucket")
+    return exports.sheet_rows(audit.export_rows(v.validations(), v.findings(), v.report_rows()))
 
 
 # The documents of a bundle, field by field, as the JSON says them.

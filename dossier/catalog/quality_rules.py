@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.catalog import register, view_sql
@@ -280,3 +283,26 @@ def _(v):
         )
 
     return line("companies").unionByName(line("tenders", F.col("company_letterhead_id").isNull())).unionByName(line("bridge")).unionByName(line("findings"))
+
+
+@register("cascade_changes", """
+    WITH gone AS (SELECT id FROM v_users WHERE name IN ('NATION_3', 'NATION_7')),
+    c AS (SELECT id FROM v_companies WHERE user_id IN (SELECT id FROM gone)),
+    r AS (SELECT id FROM v_regulations WHERE user_id IN (SELECT id FROM gone)),
+    l AS (SELECT id FROM v_letterheads WHERE company_id IN (SELECT id FROM c)),
+    t AS (SELECT id FROM v_tenders WHERE user_id IN (SELECT id FROM gone) OR company_id IN (SELECT id FROM c)),
+    w AS (SELECT id FROM v_validations WHERE user_id IN (SELECT id FROM gone) OR licitacion_id IN (SELECT id FROM t))
+    SELECT 'companies' AS entity, 'deleted' AS change, id FROM c UNION ALL SELECT 'regulations', 'deleted', id FROM r UNION ALL SELECT 'tenders', 'deleted', id FROM t
+    UNION ALL SELECT 'validations', 'deleted', id FROM w
+    UNION ALL SELECT 'tenders', 'nulled', id FROM v_tenders WHERE id NOT IN (SELECT id FROM t) AND company_letterhead_id IN (SELECT id FROM l)
+    UNION ALL SELECT 'bridge', 'deleted', licitacion_id FROM v_bridge WHERE licitacion_id IN (SELECT id FROM t) OR regulation_id IN (SELECT id FROM r)
+    UNION ALL SELECT 'findings', 'deleted', proposal_validation_id FROM v_findings WHERE proposal_validation_id IN (SELECT id FROM w)""")
+def _(v):
+    changes = rules.cascade_changes(entities(v), v.users().where("name in ('NATION_3', 'NATION_7')"))
+    keys = {"companies": "id", "regulations": "id", "tenders": "id", "validations": "id", "bridge": "licitacion_id", "findings": "proposal_validation_id"}
+    lines = [
+        side.select(F.lit(name).alias("entity"), F.lit(change).alias("change"), F.col(key).cast("long").alias("id"))
+        for name, key in keys.items()
+        for change, side in zip(("deleted", "nulled"), changes[name])
+    ]
+    return reduce(DataFrame.unionByName, lines)

@@ -9,7 +9,9 @@ from dossier.functions import pages as page_functions
 from dossier.functions import text
 from dossier.functions.tilde_words import TILDE_WORDS
 from dossier.operators import pages, ranked_lists
+from dossier.session import fresh_folder
 from dossier.sources import entities, storage, tables
+from dossier.sources.buckets import BucketTable
 
 _MAP = "MAP {" + ", ".join(f"'{k}': '{w}'" for k, w in TILDE_WORDS.items()) + "}"
 _TILDE = r"(?i)\b(?:" + "|".join(TILDE_WORDS) + r")\b"
@@ -245,6 +247,67 @@ def _(v):
     return scanned.select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_name")
 
 
+# Customers as they might be delivered: balances and nations that are no numbers, lines that are cut.
+_DELIVERED = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, absent date"
+view_sql.register_view("v_delivered", """
+    SELECT c_custkey, c_name, c_custkey % 7 = 3 AS cut, c_custkey % 11 = 5 AS no_balance, c_custkey % 13 = 1 AS no_nation, c_nationkey, c_acctbal FROM customer""")
+
+
+def delivered(v):
+    return v.table("customer").selectExpr(
+        "c_custkey", "c_name", "case when c_custkey % 13 = 1 then 'none' else cast(c_nationkey as string) end as c_nationkey",
+        "case when c_custkey % 11 = 5 then '12,50 x' else cast(c_acctbal as string) end as c_acctbal",
+    )
+
+
+def _checked(v, path, file_format):
+    good, bad = entities.load_checked(v.spark, path, _DELIVERED, file_format)
+    rows = good.selectExpr("c_custkey", "c_name", "cast(c_nationkey as bigint) as c_nationkey", "round(c_acctbal, 2) as c_acctbal", "cast(null as string) as problems")
+    key = F.regexp_extract("raw", r'"c_custkey":(\d+)', 1).cast("long")
+    kept = bad.select(key.alias("c_custkey"), F.lit(None).cast("string").alias("c_name"), F.lit(None).cast("long").alias("c_nationkey"), F.lit(None).cast("double").alias("c_acctbal"), F.array_join("problems", ",").alias("problems"))
+    return rows.unionByName(kept)
+
+
+@register("load_checked_parquet", """
+    SELECT c_custkey, CASE WHEN p = '' THEN c_name END AS c_name, CASE WHEN p = '' THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey, CASE WHEN p = '' THEN round(c_acctbal, 2) END AS c_acctbal,
+           CASE WHEN p <> '' THEN p END AS problems
+    FROM (SELECT *, concat_ws(',', CASE WHEN no_nation THEN 'c_nationkey' END, CASE WHEN no_balance THEN 'c_acctbal' END) AS p FROM v_delivered)""")
+def _(v):
+    path = fresh_folder(v.spark, "delivered")
+    delivered(v).write.parquet(path)
+    return _checked(v, path, "parquet")
+
+
+@register("load_checked_json", """
+    SELECT c_custkey, CASE WHEN p = '' THEN c_name END AS c_name, CASE WHEN p = '' THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey, CASE WHEN p = '' THEN round(c_acctbal, 2) END AS c_acctbal,
+           CASE WHEN p <> '' THEN p END AS problems
+    FROM (SELECT *, CASE WHEN cut THEN '_corrupt_record' ELSE concat_ws(',', CASE WHEN no_nation THEN 'c_nationkey' END, CASE WHEN no_balance THEN 'c_acctbal' END) END AS p FROM v_delivered)""")
+def _(v):
+    path = fresh_folder(v.spark, "delivered")
+    line = F.to_json(F.struct("c_custkey", "c_name", "c_nationkey", "c_acctbal"))
+    delivered(v).select(F.when(F.col("c_custkey") % 7 == 3, F.concat(F.left(line, F.length(line) - 9), F.lit(" ..."))).otherwise(line).alias("value")).write.text(path)
+    return _checked(v, path, "json")
+
+
+_SUBMITTED = """
+    WITH incoming AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Acta' ELSE 'Regulation' END AS t, user_id % 40 AS d, arg_max(event_id, event_id) AS seq FROM events GROUP BY 1, 2)
+    SELECT coalesce(documentable_type, t) AS documentable_type, coalesce(documentable_id, d) AS documentable_id,
+           CASE WHEN seq IS NOT NULL THEN 'pending' ELSE status END AS status, CASE WHEN seq IS NOT NULL THEN 'nuevo/' || seq ELSE storage_path END AS storage_path, x.id
+    FROM v_document_index x FULL OUTER JOIN incoming i ON x.documentable_type = t AND x.documentable_id = d"""
+
+
+@register("change_document_index", _SUBMITTED)
+def _(v):
+    incoming = v.table("events").selectExpr(
+        "case when event_id % 2 = 0 then 'Acta' else 'Regulation' end as documentable_type", "user_id % 40 as documentable_id", "event_id as seq",
+        "user_id", "'acta' as document_type", "'s3' as storage_disk", "concat('nuevo/', cast(event_id as string)) as storage_path",
+    )
+    table = BucketTable(fresh_folder(v.spark, "index"), tuple(tables.INDEX_KEY), 16)
+    table.write(v.document_index().withColumn("storage_disk", F.lit("s3")))
+    tables.change_document_index(table, incoming)
+    return table.read(v.spark).select("documentable_type", "documentable_id", "status", "storage_path", "id")
+
+
 @register("upsert_document_index", """
     WITH incoming AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'Acta' ELSE 'Regulation' END AS t, user_id % 40 AS d, arg_max(event_id, event_id) AS seq FROM events GROUP BY 1, 2)
     SELECT coalesce(documentable_type, t) AS documentable_type, coalesce(documentable_id, d) AS documentable_id,

@@ -12,6 +12,8 @@ from dossier.functions.pages import page_overlap
 from dossier.functions.similarity import text_similarity
 from dossier.operators import correction, ranked_lists, vectors
 from dossier.operators.resolution import RETRY_QUERIES
+from dossier.session import fresh_folder
+from dossier.sources.buckets import BucketTable
 
 # A text as a unit vector over 64 hashed word slots.
 _SLOTS = r"list_transform(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> ''), lambda t: CAST('0x' || md5(t)[1:8] AS BIGINT) % 64)"
@@ -97,6 +99,15 @@ def _(v):
     return vectors.maintain_index(v.vectors(), incoming(v))[0].select("id", "doc_id", "text")
 
 
+@register("apply_index_changes", f"""
+    SELECT id, doc_id, CASE WHEN {_REPLACED} THEN 'nuevo' ELSE text END AS text FROM v_vectors WHERE NOT ({_REPLACED}) OR id IN (SELECT id FROM v_incoming)""")
+def _(v):
+    table = BucketTable(fresh_folder(v.spark, "vectors"), tuple(vectors.DOCUMENT), 16)
+    table.write(v.vectors())
+    vectors.apply_index_changes(table, incoming(v))
+    return table.read(v.spark).select("id", "doc_id", "text")
+
+
 @register("stale_vectors", f"SELECT id, doc_id FROM v_vectors WHERE {_REPLACED} AND id NOT IN (SELECT id FROM v_incoming)")
 def _(v):
     return vectors.maintain_index(v.vectors(), incoming(v))[1].select("id", "doc_id")

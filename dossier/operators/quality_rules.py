@@ -239,7 +239,10 @@ def integrity_report(entities: dict[str, DataFrame]) -> DataFrame:
 
 
 def cascade_delete(entities: dict[str, DataFrame], deleted_users: DataFrame) -> dict[str, DataFrame]:
-    """What is left of every table after deleting users, following the references."""
+    """What is left of every table after deleting users, following the references; orphans of before go, too.
+
+    Where references are known to hold, :func:`cascade_changes` gives the same by the deleted keys alone.
+    """
     left = dict(entities)
     left["users"] = left["users"].join(deleted_users.select("id"), "id", "left_anti")
     for ref in REFERENCES:
@@ -254,3 +257,34 @@ def cascade_delete(entities: dict[str, DataFrame], deleted_users: DataFrame) ->
                 child.join(alive, ref.column, "left").withColumn(ref.column, F.when(F.col("_alive"), F.col(ref.column))).drop("_alive")
             )
     return left
+
+
+def cascade_changes(entities: dict[str, DataFrame], deleted_users: DataFrame) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Per table the rows that deleting users takes along, and the rows whose reference becomes null, as they are after it.
+
+    Only keys of deleted rows travel, level by level: a table meets the deleted keys of its parents, never rows that stay,
+    so the work after the scans grows with what is deleted. Apply them as deletes and updates by key.
+    """
+    users = entities["users"].join(deleted_users.select("id"), "id", "left_semi")
+    gone = {"users": users.select("id")}
+    out = {"users": (users, entities["users"].limit(0))}
+    for child in dict.fromkeys(ref.child for ref in REFERENCES if ref.child in entities):
+        rows, columns = entities[child], entities[child].columns
+        refs = [r for r in REFERENCES if r.child == child and r.parent in gone]
+        marked = rows
+        for n, ref in enumerate(refs):
+            keys = gone[ref.parent].select(F.col("id").alias(ref.column), F.lit(True).alias(f"_gone{n}"))
+            marked = marked.join(keys, ref.column, "left")
+        marks = [F.coalesce(F.col(f"_gone{n}"), F.lit(False)) for n in range(len(refs))]
+        lost = reduce(lambda a, b: a | b, [m for m, r in zip(marks, refs, strict=True) if r.on_delete == "cascade"], F.lit(False))
+        nulled = reduce(lambda a, b: a | b, [m for m, r in zip(marks, refs, strict=True) if r.on_delete == "null"], F.lit(False))
+        cleared = [r.column for r in refs if r.on_delete == "null"]
+        deleted = marked.where(lost).select(*columns)
+        changed = marked.where(~lost & nulled)
+        for n, ref in enumerate(refs):
+            if ref.column in cleared:
+                changed = changed.withColumn(ref.column, F.when(~marks[n], F.col(ref.column)))
+        out[child] = deleted, changed.select(*columns)
+        if "id" in columns:
+            gone[child] = deleted.select("id").distinct()
+    return out

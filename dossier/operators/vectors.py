@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.functions.embedding import cosine, embed_chunks, hashed_vector
 from dossier.functions.pages import parse_page_numbers
 from dossier.functions.ranking import dense_position, top_per_key
+from dossier.sources.buckets import BucketTable, store_for_joins
 from dossier.functions.text import limit_text, strip
 from dossier.operators.chunk_quality import chunk_quality, correction_flags
 from dossier.operators.chunking import attach_page_map, chunk_text_for_index
@@ -80,6 +81,14 @@ def index_changes(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, D
     return incoming, mine.join(incoming.select("namespace", "id"), ["namespace", "id"], "left_anti")
 
 
+def apply_index_changes(table: BucketTable, incoming: DataFrame) -> list[int]:
+    """The incoming documents' vectors in place of their own in a stored index with keys ``DOCUMENT``.
+
+    Upserts and deletes stay in the documents' buckets, so those are written anew and all other files stay as they are.
+    """
+    return table.change(incoming, lambda current, new: maintain_index(current, new)[0].select(*current.columns))
+
+
 def maintain_index(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The whole index after :func:`index_changes`, for indexes small enough to be written anew, and the stale rows."""
     documents = incoming.select(*DOCUMENT).distinct()
@@ -120,6 +129,11 @@ def retrieve(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return _best(pairs.select(*DOCUMENT, "query_key", "id", "text", cosine(F.col("values"), F.col("vector")).alias("similarity")), k)
 
 
+def store_vectors(vectors: DataFrame, table: str, buckets: int = 512) -> DataFrame:
+    """Vectors as a catalog table bucketed by their document, which :func:`retrieve` reads without an exchange of it."""
+    return store_for_joins(vectors, table, DOCUMENT, buckets)
+
+
 def broad_context(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = BROAD_K) -> DataFrame:
     """Snippets of the four general queries, else the first chunks of a document whose queries all came back empty.
 

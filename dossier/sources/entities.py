@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 _FILE = "document_path string, document_original_name string, created_at timestamp, updated_at timestamp"
@@ -47,6 +49,46 @@ def load_entity(spark: SparkSession, folder: str, name: str, file_format: str =
     return spark.read.schema(SCHEMAS[name]).format(file_format).load(f"{folder}/{name}")
 
 
+#: Where a scan keeps the text of a row that it could not read.
+CORRUPT = "_corrupt_record"
+
+
+def load_checked(spark: SparkSession, path: str, schema: str, file_format: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """A table with its declared types, and beside it the rows that do not have them: (typed, quarantine).
+
+    quarantine: ``raw`` (the row as JSON, or the line that is none) and ``problems``, the columns whose value is not of the
+    declared type. JSON lines are scanned permissively into a corrupt-record column; of other formats every column is read
+    as stored and cast where that is possible. A column that the files do not have is null and no problem. Every row goes
+    to one of both.
+    """
+    declared = T.StructType.fromDDL(schema)
+    if file_format == "json":
+        # As text first, so that a value of another type is kept as it was written.
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in declared.fields] + [T.StructField(CORRUPT, T.StringType())])
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        parsed = lines.withColumn("row", F.from_json("value", texts, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+        stored = parsed.select("row.*", F.col("value").alias("_raw"))
+        broken = F.col(CORRUPT).isNotNull()
+    else:
+        found = spark.read.format(file_format).load(path)
+        stored = found.withColumn("_raw", F.to_json(F.struct(*found.columns)))
+        broken = F.lit(False)
+    typed, wrong = [], []
+    for field in declared.fields:
+        if field.name not in stored.columns:
+            typed.append(F.lit(None).cast(field.dataType).alias(field.name))
+            continue
+        own = F.col(field.name)
+        nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)) and file_format == "json"
+        value = F.from_json(own, field.dataType) if nested else own.try_cast(field.dataType)
+        typed.append(value.alias(field.name))
+        wrong.append(F.when(own.isNotNull() & value.isNull(), F.lit(field.name)))
+    problems = F.when(broken, F.array(F.lit(CORRUPT))).otherwise(F.array_compact(F.array(*wrong)) if wrong else F.array().cast("array<string>"))
+    judged = stored.select(*typed, "_raw", problems.alias("_problems"))
+    good = judged.where(F.size("_problems") == 0).select(*declared.names)
+    return good, judged.where(F.size("_problems") > 0).select(F.col("_raw").alias("raw"), F.col("_problems").alias("problems"))
+
+
 def load_entities(spark: SparkSession, folder: str, file_format: str = "parquet") -> dict[str, DataFrame]:
     """Every business table found below ``folder``."""
     found = {}

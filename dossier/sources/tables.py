@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.ranking import top_per_key
+from dossier.sources.buckets import BucketTable
 
 INDEX_KEY = ["documentable_type", "documentable_id"]
 _FROM_INCOMING = ["user_id", "document_type", "storage_disk", "storage_path"]
@@ -28,9 +32,23 @@ def upsert_document_index(current: DataFrame, incoming: DataFrame) -> DataFrame:
     return joined.select(*current.columns)
 
 
-def append_trace(steps: DataFrame, path: str) -> None:
-    """Append processing steps ``(doc_id, seq, at, step, status, final)`` to the trace log."""
-    steps.write.mode("append").parquet(path)
+def change_document_index(table: BucketTable, incoming: DataFrame) -> list[int]:
+    """:func:`upsert_document_index` on a stored index with keys ``INDEX_KEY``: only buckets of the submissions are written."""
+    return table.change(incoming, upsert_document_index)
+
+
+def append_trace(steps: DataFrame, path: str, run: str | None = None) -> None:
+    """Add the processing steps ``(doc_id, seq, at, step, status, final)`` of one run to the trace log.
+
+    A run owns a folder of the log and writes it as a whole, so a repeated job with the same ``run`` adds nothing. Without
+    a name the run is a new one.
+    """
+    steps.write.mode("overwrite").parquet(_run_folder(path, run))
+
+
+def _run_folder(path: str, run: str | None) -> str:
+    """Folder of a run; the letter keeps names that look like numbers or dates text."""
+    return f"{path}/run=r-{quote(run or uuid.uuid4().hex, safe='')}"
 
 
 def trace_reference(steps: DataFrame) -> DataFrame:
@@ -60,5 +78,6 @@ def event_rows(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in EVENT_TYPES.items()])
 
 
-def append_events(df: DataFrame, path: str) -> None:
-    event_rows(df).withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_events(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Add the events of one run to the audit log, by day; a repeated job with the same ``run`` adds nothing."""
+    event_rows(df).withColumn("day", F.to_date("created_at")).write.mode("overwrite").partitionBy("day").parquet(_run_folder(path, run))
