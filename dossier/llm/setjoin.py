@@ -18,12 +18,12 @@ from dossier.llm.shared import bounded_batches, map_batches, strings, written
 
 #: Minwise tokens of a set; trees choose their branches among them.
 TOKENS = 64
-#: Sets in a node that are compared with each other by their tokens; a larger node branches.
-NODE = 2048
-#: Levels of branching. What is still larger below the last one is compared tile by tile.
-DEPTH = 6
-#: Trees of the first round. It joins families of like sets, so that the other trees only meet what is still apart.
-FIRST_TREES = 2
+#: Sets in a node that are all compared with each other; a larger node branches.
+NODE = 16_384
+#: Sets that one comparison holds at once. A node of more is compared tile against tile, in tiles of half as many.
+GROUP = 2_048
+#: Levels of branching. What is still larger below the last one is compared like a small node: tile against tile.
+DEPTH = 3
 #: Share of nodes that branch by a second token. One token alone would lose a pair with chance 1 - similarity at every
 #: level; the second makes up for that, as in a branching process whose mean does not fall below one.
 SECOND = 0.25
@@ -122,42 +122,43 @@ def _by_group(df: DataFrame, each: Callable[[pa.Table], Iterator[pa.RecordBatch]
     return df.repartition("grp").sortWithinPartitions("grp").mapInArrow(groups, schema)
 
 
-def _finished(half: int) -> Column:
+def _compared() -> Column:
     """Nodes that are compared whole: small ones, and those of one large component and few sets besides."""
-    return (F.col("n") <= NODE) | ((F.col("largest") > 1) & (F.col("n") - F.col("largest") <= half))
+    return (F.col("n") <= NODE) | ((F.col("largest") > 1) & (F.col("n") - F.col("largest") <= GROUP))
 
 
-def _group_rows(nodes: DataFrame, last: bool) -> DataFrame:
-    """(grp, cls, comp) of the comparisons to make in ``nodes`` (node, cls, comp, n, leader, largest, largest_comp).
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """(grp, cls, comp) of a first look at ``nodes``: small ones whole, larger ones dealt into groups by hash.
 
-    A node of at most ``NODE`` sets is a group. Of a larger one with one large component, the component is dealt into parts
-    by hash and every part also gets all the other sets: no pair of two components is left out, and rows grow with the
-    node. Any other node is dealt into groups with its leader, so that a family of like sets becomes one component in one
-    level; it branches afterwards. At the last level every pair of its tiles is a group, which leaves no pair out.
+    Sets of a large family have many alike, so that a part of them is enough to join most of it.
     """
-    half = NODE // 2
-    small = nodes.where(F.col("n") <= NODE).select(F.col("node").alias("grp"), "cls", "comp")
-    lopsided = nodes.where((F.col("n") > NODE) & _finished(half)).withColumn("parts", F.ceil(F.col("largest") / half))
-    part = F.pmod(F.xxhash64("cls"), F.col("parts"))
-    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    sides = lopsided.withColumn("part", F.explode(F.when(F.col("comp") == F.col("largest_comp"), F.array(part)).otherwise(every)))
-    large = nodes.where(~_finished(half))
-    out = small.unionByName(sides.select(F.xxhash64("node", "part").alias("grp"), "cls", "comp"))
-    if last:
-        tiles = F.ceil(F.col("n") / half)
-        tiled = large.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        return out.unionByName(tiled.select(F.xxhash64("node", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"), "cls", "comp"))
-    parts = F.ceil(F.col("n") / (NODE - 1))
-    dealt = large.withColumn("grp", F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts)))
-    leaders = large.where("cls = leader").withColumn("grp", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda p: F.xxhash64("node", p))))
-    return out.unionByName(dealt.select("grp", "cls", "comp")).unionByName(leaders.select("grp", "cls", "comp"))
+    parts = F.ceil(F.col("n") / GROUP)
+    return nodes.select(F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts)).alias("grp"), "cls", "comp")
+
+
+def _group_rows(nodes: DataFrame) -> DataFrame:
+    """(grp, cls, comp) of the comparisons that ``nodes`` (node, cls, comp, n, largest, largest_comp) need.
+
+    A node of at most ``GROUP`` sets is a group. Of a larger one the largest component and the other sets are dealt into
+    tiles, and every pair of tiles is a group but those within the component: no pair of two components is left out.
+    """
+    half = GROUP // 2
+    small = nodes.where(F.col("n") <= GROUP).select(F.col("node").alias("grp"), "cls", "comp")
+    single = F.col("largest") == 1
+    apart = single | (F.col("comp") != F.col("largest_comp"))
+    others = F.ceil(F.when(single, F.col("n")).otherwise(F.col("n") - F.col("largest")) / half)
+    inside = F.ceil(F.when(single, F.lit(0)).otherwise(F.col("largest")) / half)
+    tiled = nodes.where(F.col("n") > GROUP).withColumn("others", others).withColumn("inside", inside).withColumn("apart", apart)
+    tile = F.when(F.col("apart"), F.pmod(F.xxhash64("cls"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("cls"), F.greatest("inside", F.lit(1))))
+    met = tiled.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("apart"), F.col("others") + F.col("inside")).otherwise(F.col("others")) - 1)))
+    return small.unionByName(met.select(F.xxhash64("node", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"), "cls", "comp"))
 
 
 def _candidates(groups: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """(grp, cls, comp): of each group the sets that by their tokens may be similar to one of another component.
 
     Sets that such pairs connect are a group of their own now, named by its members, so that one that several trees find
-    is compared once.
+    is compared once. A pair that others connect already need not be looked at: its group is compared on full sets.
     """
     floor = similarity - ERRORS * math.sqrt(similarity * (1 - similarity) / TOKENS)
 
@@ -167,16 +168,23 @@ def _candidates(groups: DataFrame, classes: DataFrame, similarity: float) -> Dat
         if len(cls) < 2 or (comp == comp[0]).all():
             return
         tokens = group.column("tokens").combine_chunks().values.to_numpy().reshape(-1, TOKENS)[first]
-        label = np.arange(len(cls))
-        for i in range(len(cls) - 1):
-            after = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        # Sets outside the largest component first: pairs inside it are not looked for.
+        _, code, size = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.argsort(size[code], kind="stable")
+        cls, comp, tokens, code = cls[order], comp[order], tokens[order], code[order]
+        label, left = np.arange(len(cls)), len(cls)
+        for i in range(int((code != code[-1]).sum()) if size.max() > 1 else len(cls) - 1):
+            after = np.flatnonzero((comp[i + 1 :] != comp[i]) & (label[i + 1 :] != label[i])) + i + 1
             hit = after[(tokens[after] == tokens[i]).sum(axis=1) >= floor * TOKENS]
             if len(hit):
                 joined = np.unique(np.append(label[hit], label[i]))
-                if len(joined) > 1:
-                    label[np.isin(label, joined)] = joined[0]
+                label[np.isin(label, joined)] = joined[0]
+                left -= len(joined) - 1
+                if left == 1:
+                    break
         order = np.argsort(label, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            part = part[np.argsort(cls[part])]
             if len(part) > 1:
                 name = int.from_bytes(hashlib.blake2b(cls[part].tobytes(), digest_size=8).digest(), "little", signed=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(cls[part]), pa.array(comp[part])], names=["grp", "cls", "comp"])
@@ -249,19 +257,19 @@ def forest(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> Iterator[t
 
 
 def _with_stats(rows: DataFrame) -> DataFrame:
-    """Rows (node, cls, comp) of nodes that hold two components at least, with size, leader and largest component; equal
-    nodes stay once."""
-    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("leader"), F.max("cls").alias("greatest"), F.bit_xor(F.xxhash64("cls")).alias("members"))
+    """Rows (node, cls, comp) of nodes that hold two components at least, with size and largest component; equal nodes
+    stay once."""
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("least"), F.max("cls").alias("greatest"), F.bit_xor(F.xxhash64("cls")).alias("members"))
     stats = (
         parts.groupBy("node")
         .agg(
-            F.sum("n").alias("n"), F.min("leader").alias("leader"), F.max("greatest").alias("greatest"), F.bit_xor("members").alias("members"),
+            F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.bit_xor("members").alias("members"),
             F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("top"),
         )
         .where("comps > 1")
     )
-    one = stats.groupBy("n", "leader", "greatest", "members").agg(F.min("node").alias("node"), F.first("top").alias("top"))
-    return rows.join(one.select("node", "n", "leader", F.col("top.n").alias("largest"), F.col("top.comp").alias("largest_comp")), "node")
+    one = stats.groupBy("n", "least", "greatest", "members").agg(F.min("node").alias("node"), F.first("top").alias("top"))
+    return rows.join(one.select("node", "n", F.col("top.n").alias("largest"), F.col("top.comp").alias("largest_comp")), "node")
 
 
 def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: float = 0.9999, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -269,9 +277,9 @@ def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: flo
 
     Rows of equal sets are one class. In each of several trees (as many as ``recall`` asks for at the similarity itself)
     a node's classes branch by one or two minwise tokens that the node chooses, a class going to the child of its value.
-    A node of at most ``NODE`` classes is compared exhaustively: tokens first, then full sets. Larger nodes are dealt into
-    groups with a leader, which joins families of like sets; then those that still hold several components branch on.
-    Two trees go first; what they join need not be compared again by the others.
+    A node of at most ``NODE`` classes is compared exhaustively: tokens first, then full sets. Larger nodes that hold
+    several components branch on. A first look at parts of one tree's nodes joins families of like sets, so that all
+    trees only compare what is still apart.
     component_id is the smallest doc_id that links reach, the row's own included.
 
     Texts null, empty or blank have no shingles: n_shingles 0, linked with nothing, component_id their own id. A text of
@@ -287,22 +295,25 @@ def similar_sets(docs: DataFrame, percent: int = 85, words: int = 5, recall: flo
         nodes = F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda t: F.xxhash64(t, F.get("tokens", t)))
         return classes.select(F.explode(nodes).alias("node"), "cls")
 
-    rows = first_level(0, min(trees, FIRST_TREES)).withColumn("comp", F.col("cls"))
-    links: DataFrame | None = None
+
+    def compare(groups: DataFrame, step: int) -> DataFrame | None:
+        clusters = written(_candidates(groups, classes, percent / 100), f"clusters{step}")
+        if clusters.isEmpty():
+            return None
+        wanted = written(clusters.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), f"wanted{step}")
+        return written(_confirmed(clusters, _full_sets(docs, wanted, words), percent), f"links{step}")
+
+    links = compare(_dealt(written(_with_stats(first_level(0, 1).withColumn("comp", F.col("cls"))), "nodes0")), 0)
+    rows = _relabelled(first_level(0, trees), links)
     for level in range(1, DEPTH + 1):
         nodes = written(_with_stats(rows), f"nodes{level}")
-        clusters = written(_candidates(_group_rows(nodes, level == DEPTH), classes, percent / 100), f"clusters{level}")
-        if not clusters.isEmpty():
-            wanted = written(clusters.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), f"wanted{level}")
-            found = written(_confirmed(clusters, _full_sets(docs, wanted, words), percent), f"links{level}")
+        found = compare(_group_rows(nodes if level == DEPTH else nodes.where(_compared())), level)
+        if found is not None:
             links = found if links is None else links.unionByName(found)
-        large = nodes.where(~_finished(NODE // 2)).select("node", "cls")
-        rest = level == 1 and trees > FIRST_TREES
-        if level == DEPTH or not rest and large.isEmpty():
+        large = nodes.where(~_compared()).select("node", "cls")
+        if level == DEPTH or large.isEmpty():
             break
         rows = _children(_relabelled(large, links), classes)
-        if rest:
-            rows = rows.unionByName(_relabelled(first_level(FIRST_TREES, trees), links))
     named = classes.select("cls", "rep", F.col("cls").alias("root"))
     if links is not None:
         found = components.roots(links).select(F.col("node").alias("cls"), F.col("root").alias("linked"))

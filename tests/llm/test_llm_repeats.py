@@ -179,12 +179,11 @@ def families(rnd):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("node", [2048, 16])
-def test_similar_sets_equal_all_pairs(spark, node, monkeypatch):
+@pytest.mark.parametrize("node, group", [(16_384, 2048), (16_384, 16), (40, 16)])
+def test_similar_sets_equal_all_pairs(spark, node, group, monkeypatch):
     """With small nodes, families and the shared passage branch, meet leaders and are compared tile by tile."""
     monkeypatch.setattr(setjoin, "NODE", node)
-    if node == 16:
-        monkeypatch.setattr(setjoin, "DEPTH", 3)
+    monkeypatch.setattr(setjoin, "GROUP", group)
     rows = families(random.Random(3))
     got = setjoin.similar_sets(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows)
