@@ -39,7 +39,7 @@ def test_encode_equals_tokenizers(spark):
     exact = Tokenizer.from_file(VOCABULARY)
     rnd = random.Random(1)
     pool = ["a", "B", " ", "  ", "\n", "é", "Ö", "'s", "'LL", "12", "³", "\x0b", " ", " ", "日", "😀", "<|endoftext|>", "_", "-", "\t"]
-    texts = ["", " ", "\n\n x", "it's  fine\r\n", "x" * 4000, " " * 3000] + ["".join(rnd.choices(pool, k=rnd.randint(1, 40))) for _ in range(1500)]
+    texts = ["", " ", "\n\n x", "it's  fine\r\n", "x" * 4000, " " * 3000, *[c * n + " end" for n in (1999, 2000, 2001) for c in ("x", "é", "7", "-", " ", "\n", "\t ", "aB")]] + ["".join(rnd.choices(pool, k=rnd.randint(1, 40))) for _ in range(1500)]
     for text in texts:
         assert encode(text).tolist() == exact.encode(text, add_special_tokens=False).ids, repr(text)
 
