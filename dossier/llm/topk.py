@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.shared import bounded_batches, written
@@ -59,13 +59,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), dim)
 
 
-def best_of_strip(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, turn: np.ndarray) -> list[tuple[int, int, int]]:
+def best_of_strip(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, turn: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """(query, candidate, score) of each query's ``k`` highest scores among the candidates, ties to the smaller id.
 
     Candidates go by descending length. A chunk is skipped for a query whose k-th score is above the product of its length
     and the chunk's greatest; else a pair survives if its partial sum over the first rotated dimensions plus the product
     of both residual lengths reaches that score. Survivors are scored in whole numbers. Bounds are raised by more than the
-    rounding of doubles, and only what is strictly below goes, so ties are kept.
+    rounding of doubles, and only what is strictly below goes, so ties are kept. ``known``: a score per query below which
+    no candidate is wanted.
     """
     dim = q.shape[1]
     head = max(1, int(dim * HEAD)) if dim else 0
@@ -78,7 +79,7 @@ def best_of_strip(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray
     exact = not len(c) or not len(q) or float(length_c.max()) * float(length_q.max()) < EXACT
     best_score = [np.empty(0, dtype=object if not exact else np.int64) for _ in qid]
     best_id = [np.empty(0, dtype=np.int64) for _ in qid]
-    floor = np.full(len(qid), -np.inf)
+    floor = np.full(len(qid), -np.inf) if known is None else known.copy()
     for at in range(0, len(c), CHUNK):
         to = slice(at, at + CHUNK)
         slack = 1e-9 * length_q * length_c[at] + 1e-6
@@ -98,52 +99,79 @@ def best_of_strip(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray
             top = np.array(sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k]) if not exact else np.lexsort((ids, -scores))[:k]
             best_score[i], best_id[i] = scores[top], ids[top]
             if len(top) == k:
-                floor[i] = float(best_score[i][-1])
+                floor[i] = max(floor[i], float(best_score[i][-1]))
     return [(int(a), int(b), int(s)) for a, scores, ids in zip(qid, best_score, best_id, strict=True) for b, s in zip(ids, scores, strict=True)]
 
 
+def _length() -> Column:
+    return F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
+
+
+def strips_by_length(candidates: DataFrame, strip_rows: int) -> DataFrame:
+    """Candidates with their length and the strip that they are in: a range of about ``strip_rows`` of equal dimension, the
+    longest first. Equal lengths are cut by a hash of the id. Written, as the cuts come from a sample."""
+    strips = max(1, -(-candidates.count() // strip_rows))
+    ranged = candidates.withColumn("length", _length()).repartitionByRange(strips, F.asc("dim"), F.desc("length"), F.xxhash64("vec_id"))
+    return written(ranged.withColumn("strip", F.spark_partition_id()), "strips")
+
+
+def wanted_strips(asked: DataFrame, tops: DataFrame) -> DataFrame:
+    """Queries beside every strip of their dimension whose longest vector may reach their score so far: a product of
+    lengths below it (Cauchy-Schwarz) rules out all of the strip."""
+    reach = F.col("length") * F.col("longest")
+    return asked.join(tops, "dim").where(reach * (1 + 1e-9) + 1e-6 >= F.col("floor"))
+
+
 def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int = 10, strip_rows: int = STRIP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Each query's ``k`` highest inner products among the candidates: (query_id, rank from 1, vec_id, score).
 
-    Both tables come from ``whole_vectors``. Queries meet all candidates in blocks: candidates are dealt into strips by a
-    hash of their id, queries into blocks, and every block visits every strip in a task of bounded size. A strip gives at
-    most ``k`` rows per query, and the best of all strips win.
+    Both tables come from ``whole_vectors``. Candidates are cut into strips by descending length. All queries meet the
+    strip of the longest vectors first; their k-th scores then say which other strips can still matter to them. Queries
+    are put into blocks by how far they must look, and only blocks and strips that must meet are brought together, each
+    meeting in a task of bounded size. A strip gives at most ``k`` rows per query, and the best of all strips win.
 
-    Ties go to the smaller vec_id; rows with the query's own id never count. Vectors meet those of their own length only;
-    an empty vector scores 0. Repeated candidates each count, as do repeated queries' answers once per query id. A query
-    without a partner gives no row.
+    Ties go to the smaller vec_id; rows with the query's own id never count. Vectors meet those of their own dimension
+    only; an empty vector scores 0. Repeated candidates each count, as do repeated queries' answers once per query id. A
+    query without a partner gives no row.
     """
     spark = queries.sparkSession
     bounded_batches(spark, 2_048)
     queries = queries.dropDuplicates(["vec_id", "v"])
     dims = [r["dim"] for r in queries.select("dim").distinct().collect()]  # different vector lengths: a property of models
-    turns = spark.sparkContext.broadcast({dim: rotation(candidates, dim) if dim else np.eye(0) for dim in dims})
-    sizes = {r["dim"]: r["n"] for r in candidates.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    asked = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    pairs_s, pairs_b = [], []
-    for dim in dims:
-        pairs_s += [F.lit(dim), F.lit(max(1, -(-sizes.get(dim, 0) // strip_rows)))]
-        pairs_b += [F.lit(dim), F.lit(max(1, -(-asked[dim] // query_rows)))]
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    strips, blocks = F.create_map(*pairs_s), F.create_map(*pairs_b)
-
-    def side(table: DataFrame, own: str, other: str, counts, others) -> DataFrame:
-        table = table.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.try_element_at(counts, F.col("dim"))).cast("int"))
-        return table.where(F.col(own).isNotNull()).withColumn(other, F.explode(F.sequence(F.lit(0), F.try_element_at(others, F.col("dim")) - 1)))
-
-    asked_side = side(queries, "block", "strip", blocks, strips).withColumn("is_query", F.lit(True))
-    cand_side = side(candidates, "strip", "block", strips, blocks).withColumn("is_query", F.lit(False))
-    both = asked_side.select("dim", "block", "strip", "is_query", "vec_id", "v").unionByName(cand_side.select("dim", "block", "strip", "is_query", "vec_id", "v"))
+    candidates = candidates.where(F.col("dim").isin(dims))
+    turns = spark.sparkContext.broadcast({dim: rotation(candidates, dim) if dim else np.eye(0) for dim in dims})
+    strips = strips_by_length(candidates, strip_rows)
+    tops = strips.groupBy("dim", "strip").agg(F.max("length").alias("longest"))
+    first = tops.groupBy("dim").agg(F.min("strip").alias("strip"))
+    asked = queries.withColumn("length", _length())
+    blocks = max(1, -(-asked.count() // query_rows))
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         dim, mask, ids = group.column("dim")[0].as_py(), np.asarray(group.column("is_query")), np.asarray(group.column("vec_id"))
         v = np.asarray(pa.concat_arrays([c.flatten() for c in group.column("v").chunks]), dtype=np.float64).reshape(len(ids), dim)
-        found = best_of_strip(ids[mask], v[mask], ids[~mask], v[~mask], k, turns.value[dim]) if mask.any() and not mask.all() else []
+        floor = np.asarray(group.column("floor"), dtype=np.float64)
+        found = best_of_strip(ids[mask], v[mask], ids[~mask], v[~mask], k, turns.value[dim], floor[mask]) if mask.any() and not mask.all() else []
         top = np.iinfo(np.int64).max
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "vec_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array([max(-top, min(top, f[2])) for f in found], pa.int64())})
 
-    found = both.groupBy("dim", "block", "strip").applyInArrow(search, "query_id long, vec_id long, score long")
+    def met(asks: DataFrame, others: DataFrame) -> DataFrame:
+        """What the strips of ``others`` give to ``asks`` (with block and strip); strips go to the blocks that ask for them."""
+        columns = ["dim", "block", "strip", "is_query", "vec_id", "v", "floor"]
+        meetings = asks.select("dim", "strip", "block").distinct()
+        sides = others.join(meetings, ["dim", "strip"]).withColumn("is_query", F.lit(False)).withColumn("floor", F.lit(0.0))
+        both = asks.withColumn("is_query", F.lit(True)).select(*columns).unionByName(sides.select(*columns))
+        return both.groupBy("dim", "block", "strip").applyInArrow(search, "query_id long, vec_id long, score long")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    opening = asked.join(first, "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("floor", F.lit(float("-inf")))
+    begun = written(met(opening, strips.join(first, ["dim", "strip"], "left_semi")), "opening")
+    reached = begun.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    told = asked.join(reached, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    by_reach = told.repartitionByRange(blocks, F.asc("dim"), F.col("floor") / F.greatest("length", F.lit(1e-9)), F.xxhash64("vec_id"))
+    placed = written(by_reach.withColumn("block", F.spark_partition_id()), "asked")
+    rest = tops.join(first, ["dim", "strip"], "left_anti")
+    found = begun.unionByName(met(wanted_strips(placed, rest), strips))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
