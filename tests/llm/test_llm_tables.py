@@ -275,8 +275,36 @@ def test_pipeline_stages(spark, odd, monkeypatch):
 
 
 def test_registered_queries():
-    assert [q for q in queries.QUERIES if q.startswith("op")] == [*queries.QUERIES] and {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 11))
-
+    assert [q for q in queries.QUERIES if q.startswith("op")] == [*queries.QUERIES] and {int(q[2:].split("_")[0]) for q in queries.QUERIES} == set(range(1, 14))
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"word{i}" for i in range(3000))
+    near, other = text + " more", " ".join(f"other{i}" for i in range(3000))
+    rows = [(None, text), (None, text), (None, near), (7, near), (5, text), (5, text), (5, other), (None, other), (None, "alone here and now"), (None, "alone here and now"), (8, None), (9, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert simhash.near_duplicates(docs.where("doc_id in (5, 7) and text not like 'other%'")).select("component_id").distinct().count() == 1
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, docs, "").collect())
+    assert got == collections.Counter([(5, text), (5, other), (None, "alone here and now"), (3, "")])
+
+
+def test_strips_beyond_reach_are_not_met(spark):
+    rnd = np.random.Generator(np.random.PCG64(3))
+    rows = [(i, [float(x) for x in rnd.normal(size=4) * (50.0 if i < 40 else 1.0 / (1 + i))]) for i in range(400)]
+    vectors = written(topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "t")
+    strips = topk.strips_by_length(vectors, 40)
+    tops = strips.groupBy("dim", "strip").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).orderBy("strip").collect()
+    assert len(tops) >= 5 and all(a.shortest >= b.longest for a, b in zip(tops[:-1], tops[1:]))
+    asked = strips.where("vec_id < 40").withColumn("floor", F.lit(1000.0))
+    wanted = topk.wanted_strips(asked, strips.groupBy("dim", "strip").agg(F.max("length").alias("longest")))
+    assert 0 < wanted.count() < 40 * len(tops) / 2
+    whole = {i: [int(np.floor(x * 1024)) for x in v] for i, v in rows}
+    got = [tuple(r) for r in topk.top_inner_products(vectors, vectors, 5, strip_rows=40, query_rows=90).orderBy("query_id", "rank").select("query_id", "vec_id", "score").collect()]
+    expected = []
+    for q in whole:
+        scores = sorted(((sum(x * y for x, y in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q), key=lambda x: (-x[0], x[1]))[:5]
+        expected += [(q, c, x) for x, c in scores]
+    assert got == expected
 
 
 def test_long_vectors_take_part(spark):
