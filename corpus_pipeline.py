@@ -22,15 +22,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group, keep the document with the smallest id.
+    """Of each near-duplicate group, keep one document: that with the smallest id, one without an id only if none has any.
 
-    A row repeated with the same id and text stays once. Rows without an id stay once per text: they name no group.
+    Rows are told apart by a hash of id and text, so rows that share an id are documents of their own, and near copies
+    without ids go like all others. A row repeated with the same id and text stays once.
     """
-    groups = simhash.near_duplicates(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    docs = docs.select(*DOCUMENT)
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*DOCUMENT)
+    key = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text"))
+    keyed = docs.select(*DOCUMENT).withColumn("row_key", key)
+    groups = simhash.near_duplicates(keyed, id_column="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    rows = keyed.select("row_key", "doc_id").distinct().join(groups.distinct(), "row_key")
+    heads = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("head")).select("head.row_key")
+    return keyed.join(heads, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*DOCUMENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
