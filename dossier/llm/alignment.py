@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -181,6 +182,15 @@ def aligned_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Remembered windows are many small objects without cycles; looking for cycles among them is lost time.
+        before = gc.get_threshold()
+        gc.set_threshold(1_000_000, *before[1:])
+        try:
+            yield from rows_of(batches)
+        finally:
+            gc.set_threshold(*before)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(vocabulary, pieces)
         number, size = TaskContext.get().partitionId() << 32, 0
         ids, rows, linked = [], [], []
