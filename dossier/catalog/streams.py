@@ -39,38 +39,43 @@ def _(v):
     return flow.chunk_vectors(flow.rated_chunks(build_index_pages(pages)), facts).select("namespace", "id", "chunk_index", "text", F.size("values").alias("dimension"))
 
 
-#: Files that the requests arrive in, one per micro-batch.
+#: Parts that the requests arrive in, one per micro-batch.
 ARRIVALS = 4
+#: Requests of one group of entities, on average.
+GROUP_REQUESTS = 2000
 
 
 def arriving_requests(v):
-    """The requests with their time and the file in which each arrives: up to half a file's stretch of time too late."""
+    """The requests with their time and the part in which each arrives: up to half a part's stretch of time too late."""
     times = v.table("events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("requested_at"))
     timed = v.transition_requests().join(times, "seq")
-    first, last = timed.agg(F.unix_micros(F.min("requested_at")), F.unix_micros(F.max("requested_at"))).first()
+    first, last, count = timed.agg(F.unix_micros(F.min("requested_at")), F.unix_micros(F.max("requested_at")), F.count(F.lit(1))).first()
     stretch = max(1, (last - first) // ARRIVALS) if first is not None else 1
     arrival = F.unix_micros("requested_at") - (first or 0) + F.pmod(F.xxhash64("seq"), F.lit(stretch // 2 + 1))
-    return timed.withColumn("file", F.least(F.floor(arrival / stretch), F.lit(ARRIVALS - 1))), stretch, last
+    return timed.withColumn("file", F.least(F.floor(arrival / stretch), F.lit(ARRIVALS - 1))), stretch, last, count
 
 
 @register("stream_transitions", "SELECT entity_type, entity_id, seq, from_state, to_state, outcome, next_state AS state, FALSE AS late FROM v_replay")
 def _(v):
-    requests, stretch, last = arriving_requests(v)
+    requests, stretch, last, count = arriving_requests(v)
     source, target = fresh_folder(v.spark, "requests"), fresh_folder(v.spark, "judged")
     columns = [c for c in requests.columns if c != "file"]
-    # The heartbeat in the last file lets all requests before it be judged.
-    end = F.timestamp_micros(F.lit(last or 0) + 10 * F.lit(stretch))
-    heartbeat = v.spark.range(1).select(*[end.alias(c) if c == "requested_at" else F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in columns])
     for file in range(ARRIVALS):
         part = requests.where(F.col("file") == file).select(*columns)
-        part = part.unionByName(heartbeat) if file == ARRIVALS - 1 else part
-        part.sort(F.xxhash64("seq")).write.mode("append").parquet(f"{source}/file={file}")
-    arriving = v.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        part.repartition(F.xxhash64("seq")).sortWithinPartitions(F.xxhash64("seq")).write.mode("append").parquet(f"{source}/file={file}")
+    # The heartbeat comes after all files and lets all requests before it be judged.
+    end = F.timestamp_micros(F.lit(last or 0) + 10 * F.lit(stretch))
+    heartbeat = v.spark.range(1).select(*[end.alias(c) if c == "requested_at" else F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in columns])
+    heartbeat.write.mode("append").parquet(f"{source}/file={ARRIVALS}")
+    # A part is as many files as had tasks to write them, so micro-batches are cut by their share of all files. Requests
+    # are late by at most one and a half stretches wherever the cuts fall, and the delay is two.
+    files = len(v.spark.read.schema(requests.schema).parquet(source).inputFiles())
+    arriving = v.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", -(-files // ARRIVALS)).parquet(source)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = v.spark.conf.get(provider)
     v.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        judged = stream_transitions(arriving, f"{2 * stretch} microseconds")
+        judged = stream_transitions(arriving, f"{2 * stretch} microseconds", groups=1 + count // GROUP_REQUESTS)
         query = judged.writeStream.format("parquet").option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start(target)
     finally:
         v.spark.conf.set(provider, before)

@@ -1,10 +1,13 @@
 import datetime
+import glob
 import random
 
 import pytest
 
+from __spark_entry__ import queries
 from dossier.functions.ranking import dense_position, ranged_position
 from dossier.operators import workflow
+from dossier.session import shared_folder
 from dossier.streaming.transitions import stream_transitions
 from pyspark.sql import functions as F
 
@@ -118,3 +121,34 @@ def test_ranged_position_with_equal_keys_and_nulls(spark):
     check = keyed.groupBy("k").agg(F.min("position").alias("lo"), F.max("position").alias("hi"), F.count_distinct("position").alias("n"), F.count("*").alias("c"))
     assert check.count() == 51 and check.where("lo <> 0 or hi <> c - 1 or n <> c").count() == 0
     assert ranged_position(df.limit(0), ["k"], [F.asc("v")]).count() == 0
+
+
+def test_entities_share_the_state_of_their_group(spark, tmp_path, rocksdb):
+    rows = [(("tender", "validation")[i % 2], i, i, ("ready", "reviewed")[i % 2], None if i % 5 == 0 else 2**60 + i, None) for i in range(400)]
+    files = [rows[:200], [(None, None, None, None, None, None), *rows[200:]], [(None, None, 5000, None, None, None)]]
+    for file in files:
+        timed = [(*row, START + datetime.timedelta(seconds=row[2] or 0)) for row in file]
+        spark.createDataFrame(timed, TIMED).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    judged = stream_transitions(source, "300 seconds", groups=3)
+    query = judged.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination(300)
+    assert query.exception() is None
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert rows_of(got) == brute(rows) and {(r.seq, r.user_id) for r in got.collect()} == {(r[2], r[4]) for r in rows}
+    # A few rows for each group, whatever the number of its entities.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3 * 6
+
+
+def test_requests_in_many_files_are_a_few_batches(spark):
+    folder = shared_folder(spark)
+    before = set(glob.glob(f"{folder}/judged-*-log"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        judged = queries()["stream_transitions"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    [log] = set(glob.glob(f"{folder}/judged-*-log")) - before
+    assert len(glob.glob(f"{log}/commits/[0-9]*")) <= 7
+    assert judged.where("late").count() == 0
+    assert rows_of(judged) == rows_of(queries()["replay_transitions"](spark, "/root/testdata/sf0.001"))
