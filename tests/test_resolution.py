@@ -3,6 +3,8 @@ import random
 
 from dossier.operators import resolution
 from dossier.operators.extraction import extract_regulation_fields
+from dossier.plans.views import Views
+from pyspark.sql import functions as F
 
 CANDIDATE = "doc_id long, source_key string, source string, stage_order long, field string, value string, value_json string, page_number long"
 
@@ -97,3 +99,22 @@ def test_regulation_title(spark):
     df = spark.createDataFrame([(1, "corta\r\n  12345678 \n 123456789 \nresto"), (2, "x")], "doc_id long, text string")
     got = {r["doc_id"]: r["value"] for r in extract_regulation_fields(df).where("field = 'title'").collect()}
     assert got == {1: "123456789"}
+
+
+def test_rows_of_a_document_meet_in_its_part_without_another_exchange(spark, tmp_path):
+    spark.range(4000).withColumnRenamed("id", "doc_id").withColumn("text", F.lit("Acto: Poder; 9")).write.parquet(f"{tmp_path}/documents.parquet")
+    v = Views(spark, str(tmp_path))
+    v.parts = 5
+    regex = resolution.as_candidates(v.table("documents").selectExpr("doc_id", "'acto' as field", "text as value"))
+    alone = resolution.resolve_deeds(regex, v.candidates(), v.decisions())
+    dealt = resolution.resolve_deeds(regex, v.candidates(dealt=True), v.decisions(dealt=True), v.parts)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, alone.collect()))
+    assert dealt.rdd.getNumPartitions() == 5 and dealt.select(F.spark_partition_id().alias("p"), "doc_id").distinct().groupBy("doc_id").count().where("count > 1").count() == 0
+
+
+def test_parts_grow_with_the_documents(spark, tmp_path):
+    for n in (10, 40_000):
+        spark.range(n).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+    parts = [Views(spark, f"{tmp_path}/{n}").parts for n in (10, 40_000)]
+    rows = Views(spark, f"{tmp_path}/40000").candidates(dealt=True).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert parts == [1, 9] and rows < 1.1 * 60 * 5000
