@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import quality_rules, vectors
+from dossier.plans import views
 from dossier.sources import entities, exports, tables
 from dossier.sources.buckets import BucketTable
 
@@ -119,3 +120,12 @@ def test_delta_deletes_equal_whole_deletes_where_references_hold(spark):
         kept = table.join(deleted.select("id"), "id", "left_anti").join(changed.select("id"), "id", "left_anti").unionByName(changed).select(*table.columns)
         assert sorted(map(str, kept.collect())) == sorted(map(str, whole[name].select(*table.columns).collect())), name
     assert changes["tenders"][1].count() > 0
+
+
+def test_pairs_of_a_tender_meet_in_one_of_parts_that_grow_with_the_lines(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id div 4 as l_orderkey", "id % 3 as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(views, "PART_LINES", 500)
+    pairs = views.Views(spark, str(tmp_path)).bridge()
+    at = pairs.withColumn("part", F.spark_partition_id())
+    assert pairs.count() == 3000 and pairs.rdd.getNumPartitions() == 9
+    assert at.select("licitacion_id", "part").distinct().count() == 1000 and at.groupBy("part").count().agg(F.max("count")).first()[0] < 3 * 3000 / 9
